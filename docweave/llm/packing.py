@@ -121,7 +121,7 @@ def _merge(size: int, fan_in: int):
     return run
 
 
-def pack(docs: DataFrame, size: int = 1024, windows: int = 128, end_id: int = 0, path: str | None = None, fan_in: int = 64, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, size: int = 1024, windows: int = 128, end_id: int = 0, path: str | None = None, fan_in: int = 16, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Pack all documents into sequences of at most ``size`` ids.
 
     One row per piece: the document, the piece's ``start`` and ``length`` in its

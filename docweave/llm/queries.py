@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, packing, tokens
+from docweave.llm import mixing, packing, quality_lm, quality_rules, tokens, url_filter, warc
 from docweave.llm.common import table
 
 
+#: The rules of op1: host and path to verdict.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every ``pages`` url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals for every context limit over all ``documents``."""
     return tokens.limit_totals(tokens.length_histogram(table(spark, sf_dir, "documents")))
@@ -25,10 +34,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the line labeller for all ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    crf = quality_rules.fit_line_crf(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.quality_rules(docs, crf)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of all ``documents``."""
+    return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as archives and read back, a row per capture."""
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_warc": op7_warc,
 }
 
 SQL: dict[str, str] = {}
