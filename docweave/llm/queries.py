@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, packing, quality_lm, quality_rules, tokens, url_filter, warc
+from docweave.llm import mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, warc
 from docweave.llm.common import table
 
 
@@ -51,6 +51,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 100 bytes leave of each of all ``documents``."""
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -59,6 +65,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 SQL: dict[str, str] = {}
