@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, warc
+from docweave.llm import jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, warc
 from docweave.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of each of all ``documents``: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
