@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, warc
+from docweave.llm import hnsw, jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, warc
 from docweave.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all ``embeddings`` to each whose id 20 divides."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
