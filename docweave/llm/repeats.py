@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from docweave.llm.common import materialize
 
 DEPTH, GRAM = 100, 24
@@ -74,7 +76,7 @@ class _Hashes:
 
 
 def suffix_runs(raw: np.ndarray, ends: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring suffixes with one first digit: (first, last, digit, digest of the run's bytes).
+    """Runs of neighbouring suffixes with one first digit: (first, last, anchor, digit, digest of the run's bytes).
 
     ``raw`` holds documents one after another, ``ends`` their ends. A suffix's
     anchor is the gram of least hash, the leftmost of equals, among those that
@@ -82,7 +84,7 @@ def suffix_runs(raw: np.ndarray, ends: np.ndarray, depth: int = DEPTH, gram: int
     """
     n, span = len(raw), depth - gram + 1
     if n < depth:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     hashes = _Hashes(raw)
     g = hashes.grams(gram)
     low = (g >> np.uint64(24) << np.uint64(24)) | np.arange(len(g), dtype=np.uint64)
@@ -105,7 +107,7 @@ def suffix_runs(raw: np.ndarray, ends: np.ndarray, depth: int = DEPTH, gram: int
     at = anchor[first]
     shape = ((at - first) * 256 + last - first).astype(np.uint64)
     digest = _mix(hashes.of(1, first, last + depth) + shape * np.uint64(0x9E3779B97F4A7C15))
-    return first, last, g[at].view(np.int64), digest.view(np.int64)
+    return first, last, at, g[at].view(np.int64), digest.view(np.int64)
 
 
 def _pieces(ids, texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,42 +148,47 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[head], start[head], reach[np.append(head[1:] - 1, len(doc) - 1)]
 
 
-#: A row is a run of suffixes to be sorted (ALONE: its digit has one digest in this task; MIXED: several), a sign that
-#: some task has a digit with several digests (SIGN), or a span of bytes to be removed (SPAN).
-RUN = "digit long, salt long, digest long, doc_id long, first long, last long, kind int"
+#: A row is a run of suffixes: its group, the digest of its bytes, its document, and its place: where its first suffix
+#: starts, how far from there its anchor is, how many suffixes follow, and its kind. ALONE: the digit, which is the group, has one digest in this task. MIXED:
+#: several; the group is of digit and digest. SIGN: no run, some task has several digests in this group. SPAN: bytes
+#: to be removed, from the place up to the digest's value.
+RUN = "key long, digest long, doc_id long, place long"
 ALONE, MIXED, SIGN, SPAN = range(4)
 
 
-def _run_rows(digit, salt, digest, doc, first, last, kind: int) -> pa.RecordBatch:
-    columns = [*map(pa.array, (digit, salt, digest, doc, first, last)), pa.array(np.full(len(doc), kind, np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RUN.split(", ")])
+def _place(first: np.ndarray, offset: np.ndarray | int, more: np.ndarray | int, kind: int) -> np.ndarray:
+    return first << 16 | np.asarray(offset) << 9 | np.asarray(more) << 2 | kind
+
 
+def _run_rows(key, digest, doc, place) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, (key, digest, doc, place))], names=[c.split()[0] for c in RUN.split(", ")])
 
-def _least(digit, digest, doc, first, last) -> Iterator[pa.RecordBatch]:
+
+def _least(digit, digest, doc, first, last, offset) -> Iterator[pa.RecordBatch]:
     """Of a task's equal runs only the earliest goes on; the bytes of the others are to be removed.
 
     Runs of a digit with several digests here are sure to be taken apart, so
-    they needn't meet the digit's other runs, only those of their digest: the
-    salt deals them out, however many share the digit, and a sign tells the
+    they needn't meet the digit's other runs, only those of their digest, and
+    are grouped with these, however many share the digit; a sign tells the
     others. So no group holds more than a few rows of each task.
     """
     order = np.lexsort((first, doc, digest, digit))
-    digit, digest, doc, first, last = (x[order] for x in (digit, digest, doc, first, last))
+    digit, digest, doc, first, last, offset = (x[order] for x in (digit, digest, doc, first, last, offset))
     new_digit = np.append(True, digit[1:] != digit[:-1])
     new_digest = np.append(True, new_digit[1:] | (digest[1:] != digest[:-1]))
     lead = np.flatnonzero(new_digest)
     leader = lead[np.cumsum(new_digest) - 1]
     # A row of the same id and place as the earliest isn't later: it fares as that one.
     later = ~new_digest & ((doc != doc[leader]) | (first != first[leader]))
-    group = np.cumsum(new_digit) - 1
-    several = (np.bincount(group, new_digest) > 1)[group] if len(group) else np.zeros(0, bool)
-    nothing = lambda n: np.zeros(n, np.int64)
+    several = (np.bincount(np.cumsum(new_digit) - 1, new_digest) > 1)[np.cumsum(new_digit) - 1]
     alone, mixed, sign = ~later & ~several, ~later & several, new_digit & several
-    yield _run_rows(digit[alone], nothing(alone.sum()), digest[alone], doc[alone], first[alone], last[alone], ALONE)
-    yield _run_rows(digit[mixed], digest[mixed] | 1, digest[mixed], doc[mixed], first[mixed], last[mixed], MIXED)
-    yield _run_rows(digit[sign], *[nothing(sign.sum())] * 5, SIGN)
+    yield _run_rows(digit[alone], digest[alone], doc[alone], _place(first[alone], offset[alone], (last - first)[alone], ALONE))
+    both = _mix(digit[mixed].view(np.uint64) ^ digest[mixed].view(np.uint64) * _MUL).view(np.int64)
+    yield _run_rows(both, digest[mixed], doc[mixed], _place(first[mixed], offset[mixed], (last - first)[mixed], MIXED))
+    none = np.zeros(sign.sum(), np.int64)
+    yield _run_rows(digit[sign], none, none, _place(none, 0, 0, SIGN))
     spans = _joined(doc[later], first[later], last[later] + DEPTH)
-    yield _run_rows(*[nothing(len(spans[0]))] * 3, *spans, SPAN)
+    yield _run_rows(_mix(spans[0].view(np.uint64)).view(np.int64), spans[2], spans[0], _place(spans[1], 0, 0, SPAN))
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +197,10 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).fill_null(NO_ID).to_pylist()
         texts = (None if t is None else t.encode() for t in map(lambda x: x.as_py(), batch.column(1)))
         for raw, ends, docs, starts in _pieces(ids, texts):
-            first, last, digit, digest = suffix_runs(raw, ends)
+            first, last, anchor, digit, digest = suffix_runs(raw, ends)
             which = np.searchsorted(ends, first, side="right")
             shift = starts[which] - np.concatenate([[0], ends[:-1]])[which]
-            held.append((digit, digest, docs[which], first + shift, last + shift))
+            held.append((digit, digest, docs[which], first + shift, last + shift, anchor - first))
             size += len(first)
         if size >= HELD:
             yield from _least(*map(np.concatenate, zip(*held)))
@@ -202,80 +209,115 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _least(*map(np.concatenate, zip(*held)))
 
 
-#: The suffixes of the runs that are taken apart, each with the digests of its first DEPTH bytes.
-SUFFIX = "digit long, digest long, doc_id long, first long"
+def _parts(first: np.ndarray, last: np.ndarray, offset: np.ndarray, together: int) -> tuple[np.ndarray, ...]:
+    """Cut runs where the distance to their anchor is a multiple of ``together``: (first, last, offset, where the nearest such multiple lies)."""
+    anchor, near = first + offset, (first + offset - last) // together
+    n = offset // together - near + 1
+    which = np.repeat(np.arange(len(first)), n)
+    block = near[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    head = anchor[which] - block * together
+    start, end = np.maximum(first[which], head - together + 1), np.minimum(last[which], head)
+    return start, end, anchor[which] - start, head
 
 
-def _take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for doc, packed, runs in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("runs")):
-            data = unpack(packed.as_py())
-            runs = runs.values
-            first, last = (runs.field(i).to_numpy() for i in (0, 1))
-            for at in range(0, max(1, len(data) - DEPTH + 1), CHUNK):
-                part = np.frombuffer(data[at : at + CHUNK + DEPTH - 1], np.uint8)
-                a, b = np.maximum(first, at), np.minimum(last, at + len(part) - DEPTH)
-                a, b = a[a <= b], b[a <= b]
-                if not len(a):
-                    continue
-                n = b - a + 1
-                starts = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) - at
-                h = _Hashes(part)
-                digests = [h.of(i, starts, starts + DEPTH).view(np.int64) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*digests, np.full(len(starts), doc), starts + at)], names=[c.split()[0] for c in SUFFIX.split(", ")])
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed, original columns): ids without nulls, UTF-8 text compressed; null text is empty."""
+def _take_apart(together: int):
+    """Cut runs into shorter ones of at most ``together`` suffixes, and give them as ``_least`` does.
+
+    The digit of such a run is a digest of the bytes that all suffixes at its
+    distances from the anchor share. With ``together`` 1 it is a suffix's own.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, held, size = zstandard.ZstdDecompressor().decompress, [], 0
+        for batch in batches:
+            for doc, packed, runs in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("runs")):
+                data = unpack(packed.as_py())
+                first, last, offset = (runs.values.field(i).to_numpy() for i in range(3))
+                first, last, offset, head = _parts(first, last, offset, together)
+                for at in range(0, max(1, len(data) - DEPTH + 1), CHUNK):
+                    here = (first >= at) & (first < at + CHUNK) & (last + DEPTH <= len(data))
+                    if here.any():
+                        a, b, c = first[here] - at, last[here] - at, head[here] - at
+                        h = _Hashes(np.frombuffer(data[at : at + CHUNK + 2 * DEPTH], np.uint8))
+                        shared, whole = h.of(0, c, c - together + 1 + DEPTH), h.of(1, a, b + DEPTH)
+                        digest = _mix(whole + ((c - a) * 256 + b - a).astype(np.uint64) * _MUL)
+                        held.append((shared.view(np.int64), digest.view(np.int64), np.full(len(a), doc), a + at, b + at, offset[here]))
+                        size += len(a)
+            if size >= HELD:
+                yield from _least(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            yield from _least(*map(np.concatenate, zip(*held)))
+
+    return go
+
+
+def _packed(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, packed, carried): ids without nulls, UTF-8 text compressed (null text is empty), and some columns as a struct."""
 
     @pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
         run = zstandard.ZstdCompressor(level=3).compress
         return texts.map(lambda t: run((t or "").encode()))
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), pack(F.col("text")).alias("packed"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), pack(F.col("text")).alias("packed"), *([F.struct(*carried).alias("carried")] if carried else []))
+
 
+def _sort_pass(rows: DataFrame, label: str) -> DataFrame:
+    """One pass over ``RUN`` rows: (doc_id, first, last, offset, open).
 
-def _of_document(spans: DataFrame, name: str) -> DataFrame:
-    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias(name))
+    Equal runs of a group follow each other. All but the earliest become spans
+    to be removed (open is false, last the end of their bytes). The earliest
+    stays open if its group has other digests, and else is done and left out.
+    """
+    kind, first = F.col("place").bitwiseAND(3), F.shiftright("place", 16)
+    is_run = kind < SIGN
+    same = Window.partitionBy("key", "digest")
+    group = Window.partitionBy("key")
+    digest = F.when(is_run, F.col("digest"))
+    dealt = (
+        rows.repartition("key")
+        .withColumn("lead", F.min(F.when(is_run, F.struct("doc_id", first.alias("first")))).over(same))
+        .withColumn("mixed", (F.max(F.when(kind != SPAN, kind)).over(group) > ALONE) | (F.min(digest).over(group) != F.max(digest).over(group)))
+    )
+    leads = is_run & (F.col("lead") == F.struct("doc_id", first.alias("first")))
+    more = F.shiftright("place", 2).bitwiseAND(127)
+    last = F.when(kind == SPAN, F.col("digest")).when(leads, first + more).otherwise(first + more + DEPTH)
+    out = dealt.where((kind == SPAN) | (is_run & (~leads | F.col("mixed"))))
+    return materialize(out.select("doc_id", first.alias("first"), last.alias("last"), F.shiftright("place", 9).bitwiseAND(127).alias("offset"), leads.alias("open")), label)
+
+
+def _of_document(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
 
-def repeated_spans(docs: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, packed: DataFrame | None = None, together: int = 8) -> DataFrame:
     """(doc_id, spans): the bytes of ``docs`` (doc_id, text) covered by a string of ``DEPTH`` bytes that also starts earlier.
 
     Earlier is in a document of smaller id, or in the same one before. ``spans``
-    is an array of (first, last), the end exclusive, in no merged form yet.
+    is an array of (first, last), the end exclusive, not merged yet. Three
+    passes: runs of suffixes by the digest of their anchor; what stays open in
+    runs of at most ``together`` suffixes by the bytes these share; and then
+    suffix by suffix, by all bytes.
     """
-    found = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find_runs, RUN), "runs")
-    # First pass: by digit. Equal runs of a digit follow each other, the earliest first.
-    by_digit = Window.partitionBy("digit", "salt")
-    by_digest = Window.partitionBy("digit", "salt", "digest").orderBy("doc_id", "first")
-    digests = F.when(F.col("kind") != SIGN, F.col("digest"))
-    ordered = (
-        found.where(F.col("kind") != SPAN)
-        .withColumn("lead", F.first(F.when(F.col("kind") != SIGN, F.struct("doc_id", "first")), ignorenulls=True).over(by_digest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("mixed", (F.max("kind").over(by_digit) != ALONE) | (F.min(digests).over(by_digit) != F.max(digests).over(by_digit)))
-        .where(F.col("kind") != SIGN)
-    )
-    is_lead = F.col("lead") == F.struct("doc_id", "first")
-    sorted_runs = materialize(ordered.where(~is_lead | F.col("mixed")).select("doc_id", "first", "last", is_lead.alias("open")), "sorted")
-    whole = sorted_runs.where("NOT open").select("doc_id", "first", (F.col("last") + DEPTH).alias("last"))
-    # Last pass: the suffixes of runs with equal digits and different bytes, through the full depth.
     packed = _packed(docs) if packed is None else packed
-    apart = packed.join(_of_document(sorted_runs.where("open"), "runs"), "doc_id").mapInArrow(_take_apart, SUFFIX)
-    apart = materialize(apart, "suffixes")
-    least = apart.groupBy("digit", "digest").agg(F.min(F.struct("doc_id", "first")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = apart.join(least, ["digit", "digest"]).where(F.col("lead") < F.struct("doc_id", "first"))
-    single = later.select("doc_id", "first", (F.col("first") + DEPTH).alias("last"))
-    early = found.where(F.col("kind") == SPAN).select("doc_id", "first", "last")
-    return _of_document(early.unionByName(whole).unionByName(single), "spans")
+    runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find_runs, RUN)
+    spans = None
+    for step in (together, 1, None):
+        done = _sort_pass(runs, "pass")
+        part = done.where("NOT open").select("doc_id", "first", "last")
+        spans = part if spans is None else spans.unionByName(part)
+        if step:
+            open_runs = _of_document(done.where("open"), "runs", "first", "last", "offset")
+            runs = packed.join(open_runs, "doc_id").mapInArrow(_take_apart(step), RUN)
+    return _of_document(spans, "spans", "first", "last")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for doc, packed, spans in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("spans")):
+        carried = batch.column("carried") if "carried" in batch.schema.names else [None] * batch.num_rows
+        for doc, packed, spans, rest in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("spans"), carried):
             data = unpack(packed.as_py())
             first, last = np.empty(0, np.int64), np.empty(0, np.int64)
             if spans.is_valid:
@@ -288,7 +330,7 @@ def _cut(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple]:
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
-            yield make(None if doc == NO_ID else doc, data, list(zip(first.tolist(), last.tolist())), b"".join(kept))
+            yield make(None if doc == NO_ID else doc, data, list(zip(first.tolist(), last.tolist())), b"".join(kept), rest)
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept binary"
@@ -303,23 +345,47 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     rows neither is earlier, and what goes at a place of one goes at that place
     of all. Null ids count as one id after all others. Every row gives a row.
     """
+
+    def make(doc, data, spans, kept, _):
+        removed = len(data) - len(kept)
+        return doc, len(data), removed, len(spans), hashlib.sha256(kept).hexdigest(), [{"first": a, "last": b} for a, b in spans] if with_text else None, kept if with_text else None
+
+    types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.binary()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     packed = _packed(docs)
+    return packed.join(repeated_spans(docs, packed), "doc_id", "left").mapInArrow(_rows(make, names, types), REMOVED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(doc, data, spans, kept):
-            removed = len(data) - len(kept)
-            return doc, len(data), removed, len(spans), hashlib.sha256(kept).hexdigest(), [{"first": a, "last": b} for a, b in spans] if with_text else None, kept if with_text else None
 
-        types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.binary()]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+def _rows(make, names: list[str], types: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for row in _cut(batches, make):
             rows.append(row)
-            size += len(row[-1] or b"")
-            if len(rows) == 5000 or size > 1 << 24:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            size += len(row[-1] or b"") if isinstance(row[-1], bytes) else 0
+            if len(rows) == 2000 or size > 1 << 24:
+                yield give()
                 rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            yield give()
+
+    return run
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with each text cut as in ``remove_repeats``, all columns kept, ``n_chars`` counted anew where there is one.
+
+    Bytes left of a character that was cut in two go as well.
+    """
 
-    return packed.join(repeated_spans(docs, packed), "doc_id", "left").mapInArrow(run, REMOVED)
+    def make(doc, data, spans, kept, rest):
+        text = kept.decode("utf-8", "ignore")
+        return text, len(text), rest.as_py()
+
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    carried = docs.select(*others).schema
+    spans = repeated_spans(docs)
+    schema = f"text string, n_chars long, carried {carried.simpleString()}"
+    types = [pa.string(), pa.int64(), to_arrow_type(carried)]
+    cut = _packed(docs, *others).join(spans, "doc_id", "left").mapInArrow(_rows(make, ["text", "n_chars", "carried"], types), schema)
+    return cut.select(*[F.col(f"carried.{c}") if c in others else F.col(c) for c in docs.columns])
