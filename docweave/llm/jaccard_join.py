@@ -277,6 +277,22 @@ def similarity_classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), bl
     return out.unionByName(named.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the near duplicates of a document of smaller id; the one of least id of each class stays, with all columns.
+
+    Rows go by id: an id goes if all its rows are near duplicates of smaller
+    ids. Of repeated rows of one id and text one stays. Null ids stay where
+    their class has no other.
+    """
+    no_id = F.lit(-(1 << 63))
+    classes = materialize(similarity_classes(docs, **options), "classes")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    ids = classes.groupBy(F.coalesce("doc_id", no_id).alias("_id")).agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
+    out = sized_join(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), no_id)), ids.where("NOT stays").select("_id"), "_id", "left_anti").drop("_id")
+    repeated = ids.where("stays AND n > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, packed): a compressed text for each of ``nodes`` (node, least: an id of its rows)."""
 

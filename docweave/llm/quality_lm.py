@@ -203,7 +203,7 @@ def trusted_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order: int = ORDER) -> DataFrame:
-    """Score all ``docs`` (doc_id, text, lang): doc_id, lang, n_chars, perplexity, threshold, kept.
+    """Score all ``docs`` (doc_id, text, lang): doc_id, lang, n_chars, text_hash, perplexity, threshold, kept.
 
     The model is trained on all trusted documents but the held-out fifth; a
     language's threshold is the quantile ``quantile`` of the perplexities of
@@ -214,8 +214,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order:
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text")]
     flagged = trusted_flags(docs.select(*columns), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic"))
     model = KneserNey(materialize(count_ngrams(flagged.where("trusted = 1"), order), "counts"), order)
-    keep = [F.col("doc_id"), F.col("lang"), F.col("trusted"), F.length("text").cast("long")]
-    scored = materialize(perplexity(flagged, model, keep).toDF("doc_id", "lang", "trusted", "n_chars", "perplexity"), "scored")
+    keep = [F.col("doc_id"), F.col("lang"), F.col("trusted"), F.length("text").cast("long"), F.xxhash64("text")]
+    scored = materialize(perplexity(flagged, model, keep).toDF("doc_id", "lang", "trusted", "n_chars", "text_hash", "perplexity"), "scored")
     held = scored.where("trusted = 2 AND perplexity IS NOT NULL")
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = held.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_own"))
@@ -223,4 +223,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order:
     out = scored.join(F.broadcast(overall)).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.coalesce("_own", "_all")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
-    return out.select("doc_id", "lang", "n_chars", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    return out.select("doc_id", "lang", "n_chars", "text_hash", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
+    scored = classify(docs, labels, **options)
+    key = lambda h: [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), h.alias("_hash"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang")]
+    bad = scored.where("NOT kept").select(*key(F.col("text_hash"))).distinct()
+    keyed = docs.select("*", *key(F.xxhash64("text")))
+    return sized_join(keyed, bad, ["_id", "_hash", "_lang"], "left_anti").select(*docs.columns)
