@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.functions import dates, mrz, text
+from docweave.functions import dates, extract, mrz, text
 from docweave.operators import matching, order, reconcile, rules
 from docweave.sources import readers, writers
 
@@ -385,6 +385,48 @@ def q_labelled(spark, sf_dir):
     return flat.select("*", F.concat(F.lit("type: "), "type").alias("first_label"))
 
 
+@query("""
+SELECT c_custkey, 'E' || lpad((c_custkey % 1000000)::VARCHAR, 6, '0') || 'ABC1' AS number, 'c' || c_custkey || '@mail.example.org' AS email,
+       CASE WHEN c_nationkey < 12 THEN lpad((c_nationkey + 1)::VARCHAR, 2, '0') || '/05/1990' ELSE (c_nationkey + 1) || '/05/1990' END AS birth FROM customer""")
+def q_lookup(spark, sf_dir):
+    """Number, address and birth found in messages, in any order."""
+    c = F.col("c_custkey").cast("string")
+    said = F.concat(F.lit("born "), (F.col("c_nationkey") + 1).cast("string"), F.lit(".5.1990, mail c"), c, F.lit("@mail.example.org and e"), F.lpad((F.col("c_custkey") % 1000000).cast("string"), 6, "0"), F.lit("abc1."))
+    return table(spark, sf_dir, "customer").select("c_custkey", extract.lookup_details(said).alias("r")).select("c_custkey", "r.number", "r.email", "r.birth")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN '84' END AS code, CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE '84' END || lpad(c_custkey::VARCHAR, 9, '9') AS number FROM customer""")
+def q_phone(spark, sf_dir):
+    """Phone numbers parted from their dialling codes, which only a plus announces."""
+    said = F.concat(F.when(F.col("c_nationkey") % 2 == 0, "+84 ").otherwise("84-"), F.lpad(F.col("c_custkey").cast("string"), 9, "9"))
+    return table(spark, sf_dir, "customer").select("c_custkey", extract.split_phone(said, ["7", "84", "1"]).alias("r")).select("c_custkey", "r.code", "r.number")
+
+
+@query("""
+SELECT c_custkey, c_mktsegment AS purpose, 'air' AS mode, CASE WHEN c_acctbal < 0 THEN 'late' ELSE 'named' END AS status, CASE WHEN c_acctbal < 0 THEN '' ELSE 'email' END AS missing FROM customer""")
+def q_declaration(spark, sf_dir):
+    """A target form's values and what it still needs."""
+    given = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("status"), F.lit("named"), F.lit("mode"), F.lit(""))
+    extra = F.create_map(F.lit("status"), F.when(F.col("c_acctbal") < 0, "late").otherwise(""), F.lit("email"), F.when(F.col("c_acctbal") < 0, "x@y"))
+    fields = [{"key": "purpose", "from": "segment"}, {"key": "mode", "fixed": "air"}, {"key": "status"}, {"key": "email"}, {"key": "note", "required": False}]
+    r = table(spark, sf_dir, "customer").select("c_custkey", extract.declaration(fields, given, extra).alias("r"))
+    value = lambda k: F.element_at("r.values", k).alias(k)
+    return r.select("c_custkey", value("purpose"), value("mode"), value("status"), F.array_join("r.missing", ",").alias("missing"))
+
+
+@query("""
+SELECT c_custkey AS doc, 'VN' || lpad((c_custkey % 900 + 100)::VARCHAR, 3, '0') AS flight, lpad((c_nationkey % 28 + 1)::VARCHAR, 2, '0') || '/09/2026' AS arrival, 'Delhi' AS departed_from FROM customer""")
+def q_ticket(spark, sf_dir):
+    """The arriving flight of itineraries of two legs, whose dates stand on later lines."""
+    number, day = F.lpad((F.col("c_custkey") % 900 + 100).cast("string"), 3, "0"), (F.col("c_nationkey") % 28 + 1).cast("string")
+    lines = F.array(
+        F.lit("BOOKING REFERENCE: X"), F.lit("Delhi    Bangkok  AI332"), F.lit("economy"), F.lit("seat 1"), F.lit("none"), F.lit("none"),
+        F.concat(F.lit("Bangkok    HANOI (Viet Nam)  VN"), number), F.lit("economy"), F.concat(F.lit("departs "), day, F.lit("Sep2026")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.posexplode(lines).alias("line_no", "line"))
+    return extract.ticket_fields(extract.ticket_legs(rows))
+
+
 # Order
 
 

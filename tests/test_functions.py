@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.functions import dates, mrz, text
+from docweave.functions import dates, extract, mrz, text
 from docweave.operators import order, rules
 from docweave.sources import readers, writers
 
@@ -96,3 +96,23 @@ def test_scores(apply):
     assert tuple(apply(f, "a@airindia.com", "Flight refund: big SALE"))[:2] == (2, False)
     assert tuple(apply(f, "ME@x.y", "Отмена рейса"))[:2] == (-100, False)
     assert apply(f, "x", "ОТМЕНА рейса").score == 3
+
+
+def test_lookup_details(apply):
+    assert tuple(apply(extract.lookup_details, "a.b+c@x.org, 5.13.1990 e250101vnm12!")) == ("E250101VNM12", "a.b+c@x.org", "13/05/1990")
+    assert tuple(apply(extract.lookup_details, "31/12/1980")) == (None, None, "31/12/1980")
+    assert tuple(apply(extract.lookup_details, None)) == (None, None, None)
+
+
+def test_visa_page(apply):
+    page = "ELECTRONIC VISA Good for entry valid from\nSố: 123456789/EV\nHỌ TÊN: ANN LEE \nGIÁ TRỊ TỪ NGÀY 01/02/2026 ĐẾN NGÀY 01/05/2026\nSỐ HỘ CHIẾU: AB12\nMã: e250101vnm7"
+    assert apply(extract.document_kind, page) == "evisa" and apply(extract.document_kind, "Booking Reference") == "ticket" and apply(extract.document_kind, "x") is None
+    r = apply(extract.evisa_fields, page)
+    assert (r.number, r.application, r.issued, r.expires, r.full_name, r.passport, r.birth) == ("123456789/EV", "E250101VNM7", "01/02/2026", "01/05/2026", "ANN LEE", "AB12", None)
+    assert apply(extract.visa_number, "123456789 / ev") == "123456789" and apply(extract.visa_number, " ") is None
+
+
+def test_places_and_phones(apply):
+    assert apply(extract.without_unit, "PHUONG Tan Dinh Ward") == "Tan Dinh" and apply(extract.without_unit, "Hue city") == "Hue"
+    phone = lambda c: extract.split_phone(c, ["1", "84"])
+    assert tuple(apply(phone, "+84 12-3")) == ("84", "123") and tuple(apply(phone, "8412")) == (None, "8412") and tuple(apply(phone, "+1")) == (None, "1") and tuple(apply(phone, "")) == (None, None)
