@@ -26,6 +26,8 @@ def apportion(units: DataFrame, group: list[str], votes: str, seats: str, order:
     v, s = F.col(votes).cast("double"), F.col(seats)
     first = units.withColumn("_all", F.sum(v).over(whole)).withColumn("_units", F.count("*").over(whole))
     first = first.withColumn("_share", F.when(F.col("_all") > 0, v / F.col("_all")).otherwise(0.0))
+    in_order = Window.partitionBy(*group).orderBy(*order) if group else Window.partitionBy(F.lit(0)).orderBy(*order)
+    first = first.withColumn("_place", F.row_number().over(in_order))
     first = first.withColumn("_first", F.floor(F.col("_share") * s + 0.5).cast("long"))
     first = first.withColumn("_move", F.when(F.col("_all") > 0, s - F.sum("_first").over(whole)).otherwise(0).cast("long"))
     #: A unit can move by its share of all seats that move, and of one a unit, at most.
@@ -37,7 +39,9 @@ def apportion(units: DataFrame, group: list[str], votes: str, seats: str, order:
     quotient = F.when(seat >= 1, F.when(F.col("_move") > 0, -v / (2 * seat - 1)).otherwise(v / (2 * seat - 1)))
     steps = steps.withColumn("_quotient", quotient)
     best = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(best.orderBy(F.col("_quotient").asc_nulls_last(), *order, "_step"))
+    # Of equal quotients, the first units get seats and the last lose them.
+    tie = F.when(F.col("_move") > 0, F.col("_place")).otherwise(-F.col("_place"))
+    rank = F.row_number().over(best.orderBy(F.col("_quotient").asc_nulls_last(), tie, "_step"))
     by = F.when((rank <= F.abs("_move")) & F.col("_quotient").isNotNull(), F.signum(F.col("_move").cast("double"))).otherwise(0.0)
     return (
         steps.withColumn("_by", by).groupBy(*units.columns, "_first")
