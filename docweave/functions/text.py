@@ -270,3 +270,37 @@ def words_agree(a: Column, b: Column, least: int = 5, distance: int = 2) -> Colu
     fewer, more = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
     near = lambda w, o: F.levenshtein(w, o) <= F.when(F.length(w) >= least, distance).otherwise(0)
     return F.forall(fewer, lambda w: F.exists(more, lambda o: near(w, o)))
+
+
+# Words for kinds of places, in Vietnamese (without accents) and English.
+PLACE_WORDS = ["thanh pho", "tp", "tinh", "quan", "huyen", "phuong", "xa", "tt", "thi tran", "city", "province", "district", "ward", "commune", "town"]
+
+
+def place_key(c: Column) -> Column:
+    """A place's plain name without words for its kind and punctuation."""
+    v = F.regexp_replace(plain_latin(c), r"\s+", " ")
+    v = F.regexp_replace(v, rf"(?<![a-z0-9_])(?:{'|'.join(PLACE_WORDS)})(?![a-z0-9_])", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(v, "[.,]", " "), r"\s+", " "))
+
+
+def address_parts(c: Column) -> Column:
+    """The parts of an address between commas, trimmed, blank ones left out, with a comma put before each house, building or flat mark."""
+    marked = F.regexp_replace(text(c), r"(?iu)(?<=[^\s,])\s+(?=(?:д|дом|к|корп|корпус|стр|кв|квартира|house|bldg|building|flat|apt)\.?\s*\d)", ", ")
+    return F.filter(F.transform(F.split(marked, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def looks_like_address(c: Column, least: int = 2) -> Column:
+    """At least ``least`` marks of an address (unit words, a postal code), or one with three parts and a digit."""
+    v = text(c)
+    marks = F.regexp_count(v, F.lit(r"(?iu)(?<![\p{L}])(?:г|ул|д|кв|обл|р-н|пр-т|пер|street|st|house|flat|apt|city|region)\.?(?=[\s,\d])")) + F.regexp_count(v, F.lit(r"(?<!\d)\d{6}(?!\d)"))
+    return (marks >= least) | ((marks >= 1) & (F.size(address_parts(c)) >= 3) & v.rlike(r"\d"))
+
+
+def confirmation(c: Column, words: list[str]) -> Column:
+    """Whether a whole message is one of ``words``, whatever its case and end marks."""
+    return F.lower(F.trim(F.regexp_replace(text(c), r"[\s.!)]+$", ""))).isin([w.lower() for w in words])
+
+
+def captcha_like(c: Column) -> Column:
+    """Four to eight letters and digits and nothing else."""
+    return F.trim(text(c)).rlike("^[A-Za-z0-9]{4,8}$")

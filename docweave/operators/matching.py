@@ -134,3 +134,12 @@ def first_by_content(rows: DataFrame, content: str, key: str, least: int = 0) ->
 def which_contain(texts: DataFrame, values: list[str]) -> DataFrame:
     """``texts`` (text) with ``hits``: the listed values that the text contains, whatever their case."""
     return texts.withColumn("hits", F.filter(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(F.lower("text"), F.lower(v))))
+
+
+def match_places(values: DataFrame, options: DataFrame) -> DataFrame:
+    """``values`` (place) with ``matched``: the option (option) of equal place key, if just one has it; else null."""
+    from docweave.functions.text import place_key
+
+    keyed = options.select("option", place_key(F.col("option")).alias("_key")).where("_key <> ''").distinct()
+    unique = keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.min("option").alias("matched")).where("_n = 1").drop("_n")
+    return values.withColumn("_key", place_key(F.col("place"))).join(unique, "_key", "left").drop("_key")

@@ -116,3 +116,10 @@ def test_places_and_phones(apply):
     assert apply(extract.without_unit, "PHUONG Tan Dinh Ward") == "Tan Dinh" and apply(extract.without_unit, "Hue city") == "Hue"
     phone = lambda c: extract.split_phone(c, ["1", "84"])
     assert tuple(apply(phone, "+84 12-3")) == ("84", "123") and tuple(apply(phone, "8412")) == (None, "8412") and tuple(apply(phone, "+1")) == (None, "1") and tuple(apply(phone, "")) == (None, None)
+
+
+def test_address_lines(apply):
+    assert apply(text.address_parts, "Moscow, ul. Lenina дом 5 кв. 7,,") == ["Moscow", "ul. Lenina", "дом 5", "кв. 7"]
+    assert apply(text.looks_like_address, "119021, г. Москва, ул. Льва Толстого, д. 16") and not apply(text.looks_like_address, "see you in Moscow")
+    assert apply(lambda c: text.confirmation(c, ["да", "yes"]), "Yes!") and not apply(lambda c: text.confirmation(c, ["yes"]), "yes but")
+    assert apply(text.captcha_like, " a1B2 ") and not apply(text.captcha_like, "a b c")

@@ -103,6 +103,12 @@ def test_lookups(make):
     assert rows(matching.first_by_content(dup, "t", "id")) == [(1, 1), (2, 2), (3, 1), (4, 4)]
 
 
+def test_places(make):
+    options = make([("Phường Tân Định",), ("Xã Hòa Bình",), ("Hoa Binh Ward",), ("Đà Nẵng City",)], "option string")
+    got = matching.match_places(make([("tan dinh ward",), ("Hòa Bình",), ("DA NANG",), (None,), ("x",)], "place string"), options)
+    assert {r.place: r.matched for r in got.collect()} == {"tan dinh ward": "Phường Tân Định", "Hòa Bình": None, "DA NANG": "Đà Nẵng City", None: None, "x": None}
+
+
 def test_validate(make):
     df = make([("A", "bad", 3), (None, None, None)], "name string, day string, n int")
     checked = rules.validate(df, rules.schema_rules([{"id": "name", "required": True, "max": 1}, {"id": "day", "date": True}]) + [("n is large", F.col("n") > 2)])
