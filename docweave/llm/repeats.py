@@ -30,7 +30,7 @@ from docweave.llm.common import materialize
 
 DEPTH, GRAM = 100, 24
 #: Bytes of text hashed at once, and rows a task holds before it gives them out.
-CHUNK, HELD = 1 << 20, 3_000_000
+CHUNK, HELD = 1 << 19, 1_000_000
 #: Stands for a null id; such documents come after all others.
 NO_ID = (1 << 63) - 1
 _MUL = np.uint64(0xFF51AFD7ED558CCD)
