@@ -122,7 +122,7 @@ def _split(similarity: float):
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 at, paths = deeper(part.column("bucket").to_numpy().view(np.uint64), _values(part.column("values")), similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column("node").take(pa.array(at))], names=["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column("node").take(pa.array(at)), part.column("n").take(pa.array(at))], names=["bucket", "node", "parent"])
 
     return go
 
@@ -174,30 +174,38 @@ def _compare(alike: int):
     return go
 
 
+#: A bucket with this share of the wanted similarity's part of the one above counts as not split.
+UNSPLIT = 0.875
+
+
 def candidate_links(sets: DataFrame, similarity: float = 0.8, recall: float = 0.9999, levels: int = 3, brute_force: int = 256, most_levels: int = 8) -> DataFrame:
     """(a, b): links that join all sets of ``sets`` (node, values) that may be similar, through others at times.
 
     A bucket of at most ``brute_force`` sets is compared by min-hash; sets are
     joined if the share of equal values is within four standard deviations of
-    ``similarity``. Larger buckets go down a level, until at ``most_levels``
-    all their sets, which then agree in so many sampled shingles, are joined:
-    verification comes later, so this costs time but no correctness.
+    ``similarity``. Larger buckets go down a level. A large bucket that holds
+    nearly all of the one above isn't split by further levels, as its sets are
+    alike: they are joined, and so are those that are large at ``most_levels``.
+    Verification comes later, so this costs time but no correctness.
     """
     alike = math.floor(VALUES * (similarity - 4 * math.sqrt(similarity * (1 - similarity) / VALUES)))
     rows = materialize(sets.select("node", "values").mapInArrow(_paths(similarity, levels, runs_for(recall, levels)), "bucket long, node binary"), "paths")
+    rows = rows.withColumn("parent", F.lit(None).cast("long"))
     out = None
     for level in range(levels, most_levels + 1):
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-        met = materialize(rows.join(sizes, "bucket"), "met")
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("parent").alias("of")).where("n > 1")
+        met = materialize(rows.select("bucket", "node").join(sizes, "bucket"), "met")
         small = met.where(F.col("n") <= brute_force).select("bucket", "node").join(sets.select("node", "values"), "node")
         small = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(alike), "a binary, b binary").distinct()
         out = small if out is None else out.unionByName(small)
         large = met.where(F.col("n") > brute_force)
-        if level == most_levels:
-            return out.unionByName(large.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct()
+        settled = F.lit(level == most_levels) | F.coalesce(F.col("n") >= UNSPLIT * similarity * F.col("of"), F.lit(False))
+        out = out.unionByName(large.where(settled & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
+        large = large.where(~settled)
         if large.isEmpty():
             return out.distinct()
-        rows = materialize(large.select("bucket", "node").join(sets.select("node", "values"), "node").mapInArrow(_split(similarity), "bucket long, node binary"), "paths")
+        deep = large.select("bucket", "node", "n").join(sets.select("node", "values"), "node")
+        rows = materialize(deep.mapInArrow(_split(similarity), "bucket long, node binary, parent long"), "paths")
 
 
 def _overlaps(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
@@ -219,8 +227,8 @@ def _overlaps(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
     return out.astype(np.int64)
 
 
-#: For each document of a block pair: the documents it is linked to, and the first set of its component there.
-LINKS = "node binary, linked long, root binary"
+#: For each set of a block pair: how many documents it is linked to, the first set of its class there, and whether there are other blocks.
+LINKS = "node binary, linked long, root binary, more boolean"
 
 
 def _verify(num: int, den: int):
@@ -235,7 +243,7 @@ def _verify(num: int, den: int):
         if (side != side[0]).any():
             near &= side[:, None] != side
         root = _roots(near)
-        return pa.table({"node": pa.array(node, pa.binary()), "linked": pa.array(near @ copies), "root": pa.array([node[i] for i in root], pa.binary())})
+        return pa.table({"node": pa.array(node, pa.binary()), "linked": pa.array(near @ copies), "root": pa.array([node[i] for i in root], pa.binary()), "more": pa.array([t.column("blocks")[0].as_py() > 1] * len(node), pa.bool_())})
 
     return go
 
@@ -266,10 +274,14 @@ def similarity_classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), bl
     # One text of each set in a component; found by the digest that its text has.
     texts = _texts_of(docs, parts.select("node").join(reps.select("node", "least"), "node"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = parts.join(texts, "node").select("*", other).select("root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.col("own").alias("side"), "node", "copies", "packed")
+    paired = parts.join(texts, "node").select("*", other).select("root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.col("own").alias("side"), "blocks", "node", "copies", "packed")
     found = materialize(paired.groupBy("root", "b1", "b2").applyInArrow(_verify(num, den), LINKS), "links")
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
-    classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # A component of one block was settled there; the classes of others may span blocks.
+    classes, spread = found.where("NOT more").select("node", "root"), found.where("more")
+    if not spread.isEmpty():
+        joined = connected_components(spread.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        classes = classes.unionByName(joined)
     whole = reps.select("node", "copies", "least").join(linked, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("least").alias("class_id"))
     whole = whole.join(least, "root").select("node", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
