@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import hnsw, jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, warc
-from docweave.llm.common import table
+from docweave.llm.common import materialize, table
 
 
 #: The rules of op1: host and path to verdict.
@@ -20,7 +20,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals for every context limit over all ``documents``."""
-    return tokens.limit_totals(tokens.length_histogram(table(spark, sf_dir, "documents")))
+    return tokens.limit_totals(materialize(tokens.length_histogram(table(spark, sf_dir, "documents")), "lengths"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,49 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+e AS (SELECT d.*, ('0x' || substr(h, 1, 8))::BIGINT % (SELECT greatest(1, (count(*) + 49999) // 50000) FROM d) AS shard FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+l AS (SELECT max((total - capped) / open_w) AS level FROM (SELECT (SELECT sum(source_size) FROM s)::BIGINT AS total,
+  coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
+  sum(w) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM s)),
+t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, level * w) AS target, (SELECT sum(source_size) FROM s)::BIGINT AS total FROM s, l),
+k AS (SELECT source, target / (2 * k - 1) AS quotient, k, total // 16 AS blocks FROM (SELECT *, unnest(range(1, (target / total * (total // 16))::BIGINT + 60)) AS k FROM t)),
+r AS (SELECT *, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, k) AS place FROM k),
+q AS (SELECT t.source, any_value(source_size) AS source_size, any_value(target) AS target, count(place) FILTER (place <= blocks) AS blocks FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source GROUP BY t.source),
+p AS (SELECT source, shard, sum(size)::BIGINT AS shard_size FROM e GROUP BY ALL),
+j AS (SELECT p.*, q.source_size, q.target, q.blocks FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source),
+m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k - 1) DESC, shard, k) AS place FROM (SELECT *, unnest(range(1, (shard_size / source_size * blocks)::BIGINT + 60)) AS k FROM j)),
+u AS (SELECT source, shard, any_value(source_size) AS source_size, any_value(target) AS target, any_value(shard_size) AS shard_size, least(16 * count(*) FILTER (place <= blocks), 3 * any_value(shard_size)) AS words FROM m GROUP BY source, shard),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e)
+SELECT doc_id, size, source_size, target, (words // shard_size * size + greatest(0, least(size, words % shard_size - start)))::BIGINT AS taken
+FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source AND c.shard = u.shard""",
+    "op7_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p""",
+    "op8_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node)
+SELECT node AS doc_id, min(c) AS class_id, (SELECT count(*) FROM l WHERE a = node) AS n_links FROM r GROUP BY node""",
+    "op10_suffix_array_dedup": r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d WHERE length(h) >= 200)),
+x AS (SELECT doc_id, s AS a, s + 100 AS b FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+o AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM x),
+i AS (SELECT *, sum((m IS NULL OR a > m)::INT) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM o),
+sp AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM i GROUP BY doc_id, k),
+q AS (SELECT doc_id, a AS pos, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM sp),
+e AS (SELECT * FROM q UNION ALL SELECT d.doc_id, 1000000000, coalesce(m.b, 0), length(h) // 2 FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM sp GROUP BY doc_id) m USING (doc_id)),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY pos) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS n FROM sp GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)""",
+}
