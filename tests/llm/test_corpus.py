@@ -104,6 +104,8 @@ def test_apportion_is_highest_quotients(spark, seed):
     rng = random.Random(seed)
     groups = {g: [rng.choice([0, 1, 5, 5, 17, 1000, rng.randint(1, 10**6)]) for _ in range(rng.randint(1, 12))] for g in range(5)}
     seats = {g: rng.choice([0, 1, 7, 100, 1001]) for g in groups}
+    groups |= {10: [1] * 4, 11: [3, 1, 1, 1, 3]}
+    seats |= {10: 2, 11: rng.choice([2, 4, 7])}
     units = spark.createDataFrame([(g, i, float(v), seats[g]) for g, vs in groups.items() for i, v in enumerate(vs)], "g int, i int, votes double, seats long")
     from pyspark.sql import functions as F
 
