@@ -551,3 +551,42 @@ SELECT entity, '# ' || entity || chr(10) || chr(10) || '- ' || CASE status WHEN
 def q_report(spark, sf_dir):
     """A Markdown report per order."""
     return writers.check_report(q_compare(spark, sf_dir))
+
+
+# Queries above whose SQL reads part of a table or text, over all of it; without SQL, the tests have their results by brute force
+
+
+@query()
+def q_name_key_whole(spark, sf_dir):
+    """Sorted words, and plain capitals, of the whole texts of all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.name_key(F.col("text")).alias("name_key"), F.md5(text.normal_name(F.col("text"))).alias("plain"))
+
+
+@query()
+def q_commit_whole(spark, sf_dir):
+    """How many numbered results of a user can be committed in order, over all events."""
+    e = table(spark, sf_dir, "events").select("user_id", (F.round(F.col("value") * 100).cast("long") % 40 + 1).alias("seq"))
+    return order.contiguous(e, "user_id", "seq").groupBy("user_id").agg(F.count("*").alias("committed"))
+
+
+@query()
+def q_block_whole(spark, sf_dir):
+    """Blocks of all lines of documents, however long."""
+    return order.blocks(order.text_lines(table(spark, sf_dir, "documents")), "doc_id", "line_no", "line").groupBy("doc_id", "block").agg(F.count("*").alias("lines"))
+
+
+@query()
+def q_unique_sub_whole(spark, sf_dir):
+    """Brands and types that just one name of a part, brand, type and size of all parts contains."""
+    p = table(spark, sf_dir, "part")
+    names = p.select(F.concat_ws(" ", "p_brand", "p_type", F.col("p_size").cast("string")).alias("name")).distinct()
+    return matching.unique_contains(p.select(F.concat_ws(" ", "p_brand", "p_type").alias("needle")).distinct(), names)
+
+
+@query()
+def q_merge_whole(spark, sf_dir):
+    """A tag per id from three sources, the last that has one, with its provenance; texts of the benchmark are whole."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity"), F.col("lang").alias("value"), F.lit("documents").alias("source"), F.lit(1).alias("ordinal"))
+    la = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity"), F.when(F.col("quality") == 0, "poor").otherwise("").alias("value"), F.lit("labels").alias("source"), F.lit(2).alias("ordinal"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity"), F.col("text").alias("value"), F.lit("benchmark").alias("source"), F.lit(3).alias("ordinal"))
+    return reconcile.merge_sources(d.unionByName(la).unionByName(b).withColumn("field", F.lit("tag")))
