@@ -6,11 +6,16 @@ continuation counts and probabilities are DataFrames, sharded and joined by
 n-gram; the model is never brought to one place. Documents are dealt into
 blocks: each block asks for the probabilities of its distinct n-grams, and the
 answers come back to the block's texts.
+
+Trusted documents are scored out of fold: each fold has a model of its own,
+counted without it. The models lie in the same DataFrames, told apart by a part
+number above the bytes of an n-gram; 0 is the model of all folds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -22,7 +27,7 @@ from pyspark.sql.functions import pandas_udf
 
 from docweave.llm.common import materialize, sized_join
 
-ORDER = 5
+ORDER, FOLDS = 5, 5
 #: Bytes of text from which n-grams are drawn at once.
 CHUNK = 1 << 20
 
@@ -80,10 +85,40 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def count_without_folds(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n) of ``texts`` (text, fold from 1): part 0 has the n-grams of all texts, part f those of all folds but f. ``order`` is at most 7."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            folds = batch.column(1).to_numpy()
+            for fold in np.unique(folds):
+                k, c = _distinct((batch.column(0)[int(i)].as_py() for i in np.flatnonzero(folds == fold)), order)
+                keys, at = np.unique(np.concatenate([keys, k | int(fold) << 8 * order]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, c]).astype(float), len(keys)).astype(np.int64)
+            if len(keys) > 2_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                keys, counts = keys[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+    found = texts.select("text", F.col("fold").cast("long").alias("fold")).mapInArrow(run, "key long, n long")
+    fold = F.shiftright("key", 8 * order)
+    sums = [F.coalesce(F.sum(F.when(fold == f, F.col("n"))), F.lit(0)).alias(f"n{f}") for f in range(1, FOLDS + 1)]
+    grams = found.groupBy(F.col("key").bitwiseAND(_mask(order)).alias("gram")).agg(F.sum("n").alias("n0"), *sums)
+    parts = F.array(F.col("n0"), *[F.col("n0") - F.col(f"n{f}") for f in range(1, FOLDS + 1)])
+    return grams.select("gram", F.posexplode(parts).alias("part", "n")).where("n > 0").select(F.col("gram").bitwiseOR(F.shiftleft(F.col("part").cast("long"), 8 * order)).alias("key"), "n")
+
+
 def _mask(order: int) -> int:
     return (1 << 8 * order) - 1
 
 
+def _shorter(order: int) -> Column:
+    """The next shorter n-gram of the same part."""
+    gram = F.col("key").bitwiseAND(_mask(order - 1))
+    return gram if order > 7 else gram.bitwiseOR(F.shiftleft(F.shiftright("key", 8 * order), 8 * (order - 1)))
+
+
 class KneserNey:
     """Counts of each order: raw ones at the top, continuation counts (distinct left neighbours) below."""
 
@@ -92,14 +127,14 @@ class KneserNey:
         self.types = {order: counts}
         for k in range(order - 1, 0, -1):
             longer = self.types[k + 1]
-            self.types[k] = longer.groupBy(F.col("key").bitwiseAND(_mask(k)).alias("key")).agg(F.count("*").alias("n"))
+            self.types[k] = longer.groupBy(_shorter(k + 1).alias("key")).agg(F.count("*").alias("n"))
         self.discounts = self._discounts()
 
     def _discounts(self) -> dict[int, tuple[float, float, float]]:
-        """D1, D2, D3+ of each order from the numbers of its n-grams with counts 1 to 4; usual values where those don't give any."""
+        """D1, D2, D3+ of each order from the numbers of its n-grams (part 0) with counts 1 to 4; usual values where those don't give any."""
         tallies = None
         for k, t in self.types.items():
-            part = t.agg(F.lit(k).alias("k"), *[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
+            part = (t.where(F.shiftright("key", 8 * k) == 0) if k < 8 else t).agg(F.lit(k).alias("k"), *[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
             tallies = part if tallies is None else tallies.unionByName(part)
         out = {}
         for k, *n in tallies.collect():
@@ -116,7 +151,7 @@ class KneserNey:
         below = None
         wanted = {self.order: keys}
         for k in range(self.order - 1, 0, -1):
-            wanted[k] = wanted[k + 1].select(F.col("key").bitwiseAND(_mask(k)).alias("key")).distinct()
+            wanted[k] = wanted[k + 1].select(_shorter(k + 1).alias("key")).distinct()
         for k in range(1, self.order + 1):
             d1, d2, d3 = self.discounts[k]
             n = F.col("n")
@@ -125,7 +160,7 @@ class KneserNey:
                 F.sum("n").alias("total"),
                 (d1 * F.count(F.when(n == 1, 1)) + d2 * F.count(F.when(n == 2, 1)) + d3 * F.count(F.when(n >= 3, 1))).alias("held"),
             )
-            asked = wanted[k].withColumn("context", F.shiftright("key", 8)).withColumn("shorter", F.col("key").bitwiseAND(_mask(k - 1)))
+            asked = wanted[k].withColumn("context", F.shiftright("key", 8)).withColumn("shorter", _shorter(k))
             asked = asked.join(types, "key", "left").join(contexts, "context", "left")
             if below is None:
                 asked = asked.withColumn("lower", F.lit(1 / 256))
@@ -151,25 +186,33 @@ def _unpack(packed: bytes | None) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
 
 
-def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_rows: int = 8192) -> DataFrame:
+def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_rows: int = 8192, part: Column | None = None) -> DataFrame:
     """Perplexity a byte of every whole text, with the columns ``keep`` of ``docs``; null for null and empty texts.
 
     Texts travel once, compressed, to one of about rows / ``block_rows`` blocks
     dealt by a hash of the text's id, length and place. A block's distinct
-    n-grams, not its documents', are joined with the counts.
+    n-grams, not its documents', are joined with the counts. ``part`` tells the
+    part of the model that scores a text; a block has texts of one part.
     """
     order = model.order
-    blocks = max(1, -(-docs.count() // block_rows))
+    part = (F.lit(0) if part is None else part).cast("long")
+    blocks, first, start = F.lit(1), F.lit(0), 0
+    for p, n in sorted(tuple(r) for r in docs.groupBy(part.alias("part")).count().collect()):
+        some = max(1, -(-n // block_rows))
+        blocks, first = F.when(part == p, some).otherwise(blocks), F.when(part == p, start).otherwise(first)
+        start += some
     names = [f"k{i}" for i in range(len(keep))]
     dealt = docs.select(
         *[c.alias(n) for c, n in zip(keep, names)],
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.substring("text", 1, 64)), F.length("text")), F.lit(blocks)).alias("block"),
+        (first + F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.substring("text", 1, 64)), F.length("text")), blocks)).cast("long").alias("block"),
+        part.alias("part"),
         packed(F.col("text")).alias("packed"),
     )
 
     def ask(t: pa.Table) -> pa.Table:
         keys, _ = _distinct((_unpack(x.as_py()) for x in t.column("packed")), order)
         block = t.column("block")[0].as_py()
+        keys |= t.column("part")[0].as_py() << 8 * order
         return pa.table({"block": pa.array(np.full(len(keys), block, np.int64)), "key": pa.array(keys)})
 
     asked = materialize(dealt.groupBy("block").applyInArrow(ask, "block long, key long"), "asked")
@@ -181,7 +224,7 @@ def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_rows
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, logs = right.column("key").to_numpy(), right.column("log_p").to_numpy()
         at = np.argsort(keys)
-        keys, logs = keys[at], logs[at]
+        keys, logs = keys[at] & (_mask(order) if order < 8 else -1), logs[at]
         out = []
         for row in left.column("packed"):
             data = _unpack(row.as_py())
@@ -196,30 +239,60 @@ def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_rows
 
 
 def trusted_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``trusted``: 1 for documents labelled of good quality and not toxic, of which every fifth by hash is 2 (held out)."""
+    """``docs`` with ``trusted``: the fold, from 1, of documents labelled of good quality and not toxic, by a hash of the id; 0 for others."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t"))
-    good = good.where("_q = 1 AND coalesce(_t, 0) = 0").select(F.col("doc_id"), F.when(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, 2).otherwise(1).alias("trusted"))
+    good = good.where("_q = 1 AND coalesce(_t, 0) = 0").select(F.col("doc_id"), (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) + 1).cast("int").alias("trusted"))
     return sized_join(docs, good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(0)))
 
 
+#: Degrees of freedom that the languages' common variance has beside a language's own.
+COMMON = 10
+
+
+def thresholds(scores: DataFrame, quantile: float = 0.999) -> tuple[DataFrame, DataFrame]:
+    """(_lang, _own) and one row (_all): thresholds of perplexity from ``scores`` (lang, perplexity) of trusted documents.
+
+    With 1 / (1 - ``quantile``) scores or more it is their quantile. Fewer
+    scores don't reach that far: then it is the greatest of their quantile, of
+    the prediction bound of a normal distribution of log perplexities, whose
+    variance leans on that within all languages, and of the threshold of all.
+    """
+    enough, z = round(1 / (1 - quantile)), NormalDist().inv_cdf(quantile)
+    x, limit = F.log("perplexity"), F.percentile_approx("perplexity", quantile, 10_000)
+
+    def bound(mean: Column, variance: Column, n: Column, df: Column) -> Column:
+        t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df)
+        return F.when((df > 0) & variance.isNotNull(), F.exp(mean + t * F.sqrt(variance * (1 + 1 / n))))
+
+    stats = [F.count("*").alias("n"), limit.alias("q"), F.avg(x).alias("m"), F.var_samp(x).alias("v")]
+    by_lang, every = scores.groupBy(F.col("lang").alias("_lang")).agg(*stats), scores.agg(*stats)
+    n = F.col("n")
+    every = every.select("v", F.when(n >= enough, F.col("q")).otherwise(F.greatest("q", bound(F.col("m"), F.col("v"), n, n - 1))).alias("_all"))
+    within = by_lang.agg(F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("wdf"), F.sum((n - 1) * F.coalesce("v", F.lit(0.0))).alias("ws"))
+    spread = every.join(F.broadcast(within)).select("_all", F.least("wdf", F.lit(COMMON)).alias("df0"), F.coalesce(F.when(F.col("wdf") > 0, F.col("ws") / F.col("wdf")), F.col("v")).alias("v0"))
+    df = F.greatest(F.col("df0") + n - 1, F.lit(1))
+    v = (F.col("df0") * F.col("v0") + (n - 1) * F.coalesce("v", F.lit(0.0))) / df
+    own = F.when(n >= enough, F.col("q")).otherwise(F.greatest("q", bound(F.col("m"), F.when(F.col("df0") > 0, v).otherwise(F.col("v0")), n, df), "_all"))
+    return by_lang.join(F.broadcast(spread)).select("_lang", own.alias("_own")), every.select("_all")
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order: int = ORDER) -> DataFrame:
     """Score all ``docs`` (doc_id, text, lang): doc_id, lang, n_chars, text_hash, perplexity, threshold, kept.
 
-    The model is trained on all trusted documents but the held-out fifth; a
-    language's threshold is the quantile ``quantile`` of the perplexities of
-    its held-out documents, a language without any takes that of all. Without
+    The model is trained on all trusted documents; these are scored by the
+    models without their fold. ``thresholds`` of their perplexities tell which
+    documents are kept; a language without any takes that of all. Without
     trusted text every non-empty document is kept. Null and empty texts have no
     perplexity and aren't kept. Repeated rows get equal results.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text")]
     flagged = trusted_flags(docs.select(*columns), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic"))
-    model = KneserNey(materialize(count_ngrams(flagged.where("trusted = 1"), order), "counts"), order)
+    counts = count_without_folds(flagged.where("trusted > 0").select("text", F.col("trusted").alias("fold")), order)
+    model = KneserNey(materialize(counts, "counts"), order)
     keep = [F.col("doc_id"), F.col("lang"), F.col("trusted"), F.length("text").cast("long"), F.xxhash64("text")]
-    scored = materialize(perplexity(flagged, model, keep).toDF("doc_id", "lang", "trusted", "n_chars", "text_hash", "perplexity"), "scored")
-    held = scored.where("trusted = 2 AND perplexity IS NOT NULL")
-    limit = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = held.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_own"))
-    overall = held.agg(limit.alias("_all"))
+    found = perplexity(flagged, model, keep, part=F.col("trusted"))
+    scored = materialize(found.toDF("doc_id", "lang", "trusted", "n_chars", "text_hash", "perplexity"), "scored")
+    by_lang, overall = thresholds(scored.where("trusted > 0 AND perplexity IS NOT NULL"), quantile)
     out = scored.join(F.broadcast(overall)).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.coalesce("_own", "_all")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
