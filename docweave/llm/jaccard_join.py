@@ -99,13 +99,13 @@ def _values(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
 
 
-def _paths(similarity: float, levels: int, runs: int):
+def _paths(similarity: float, levels: int, runs: range):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 values, nodes = _values(part.column("values")), part.column("node")
-                for run in range(runs):
+                for run in runs:
                     rows = np.arange(part.num_rows)
                     paths = _mix(np.full(len(rows), run + 1, np.uint64) * _C[0])
                     for _ in range(levels):
@@ -187,25 +187,44 @@ def candidate_links(sets: DataFrame, similarity: float = 0.8, recall: float = 0.
     nearly all of the one above isn't split by further levels, as its sets are
     alike: they are joined, and so are those that are large at ``most_levels``.
     Verification comes later, so this costs time but no correctness.
+
+    All sets take the runs for ``recall`` at ``levels``; those of buckets that
+    go deeper take further runs, up to those for ``recall`` at ``most_levels``.
     """
     alike = math.floor(VALUES * (similarity - 4 * math.sqrt(similarity * (1 - similarity) / VALUES)))
-    rows = materialize(sets.select("node", "values").mapInArrow(_paths(similarity, levels, runs_for(recall, levels)), "bucket long, node binary"), "paths")
-    rows = rows.withColumn("parent", F.lit(None).cast("long"))
-    out = None
-    for level in range(levels, most_levels + 1):
+
+    def from_root(some: DataFrame, runs: range) -> DataFrame:
+        paths = some.select("node", "values").mapInArrow(_paths(similarity, levels, runs), "bucket long, node binary")
+        return materialize(paths, "paths").withColumn("parent", F.lit(None).cast("long"))
+
+    def meet(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Links of the buckets that end at ``level``, and the rows of those that are split."""
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("parent").alias("of")).where("n > 1")
         met = materialize(rows.select("bucket", "node").join(sizes, "bucket"), "met")
         small = met.where(F.col("n") <= brute_force).select("bucket", "node").join(sets.select("node", "values"), "node")
         small = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(alike), "a binary, b binary").distinct()
-        out = small if out is None else out.unionByName(small)
         large = met.where(F.col("n") > brute_force)
         settled = F.lit(level == most_levels) | F.coalesce(F.col("n") >= UNSPLIT * similarity * F.col("of"), F.lit(False))
-        out = out.unionByName(large.where(settled & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
-        large = large.where(~settled)
-        if large.isEmpty():
-            return out.distinct()
+        links = small.unionByName(large.where(settled & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
+        return links, large.where(~settled)
+
+    first, last = runs_for(recall, levels), runs_for(recall, max(levels, most_levels))
+    out, large = meet(from_root(sets, range(first)), levels)
+    if large.isEmpty():
+        return out.distinct()
+    more = range(first, last)
+    if more:
+        deep = sets.join(large.select("node").distinct(), "node", "left_semi")
+        links, others = meet(from_root(deep, more), levels)
+        out, large = out.unionByName(links), large.unionByName(others)
+    for level in range(levels + 1, most_levels + 1):
         deep = large.select("bucket", "node", "n").join(sets.select("node", "values"), "node")
         rows = materialize(deep.mapInArrow(_split(similarity), "bucket long, node binary, parent long"), "paths")
+        links, large = meet(rows, level)
+        out = out.unionByName(links)
+        if large.isEmpty():
+            break
+    return out.distinct()
 
 
 def _overlaps(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
