@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.dates import birth_year, expiry_year
-from docweave.functions.text import text
+from docweave.functions.text import let, text
 
 # Letters read for digits and digits read for letters.
 LETTER_TO_DIGIT = {"O": "0", "Q": "0", "D": "0", "I": "1", "L": "1", "Z": "2", "B": "8", "S": "5", "G": "6", "T": "7", "A": "4", "<": "0"}
@@ -21,7 +21,7 @@ AMBIGUOUS = {
 
 def check_digit(c: Column) -> Column:
     """Weights 7, 3, 1 over 0 to 9, A = 10 to Z = 35 and the filler 0, modulo 10."""
-    value = lambda x: F.when(x == "<", 0).when(x.rlike("^[0-9]$"), F.ascii(x) - 48).otherwise(F.ascii(x) - 55)
+    value = lambda x: F.when(x == "<", 0).when(F.ascii(x) < 58, F.ascii(x) - 48).otherwise(F.ascii(x) - 55)
     weight = lambda i: F.when(i % 3 == 0, 7).when(i % 3 == 1, 3).otherwise(1)
     terms = F.transform(F.filter(F.split(text(c), ""), lambda x: x != ""), lambda x, i: value(x) * weight(i))
     return F.aggregate(terms, F.lit(0), lambda a, b: a + b) % 10
@@ -56,12 +56,13 @@ def repair(raw: Column, expected: Column, plausible=lambda c: F.lit(True), ambig
         return F.flatten(F.transform(places, made))
 
     fits = lambda x: (check_digit(x) == digit) & plausible(x)
-    one = swaps(v, F.lit(0))
-    single = F.array_distinct(F.filter(F.transform(one, lambda s: s["word"]), fits))
-    double = F.array_distinct(F.filter(F.flatten(F.transform(one, lambda s: F.transform(swaps(s["word"], s["at"]), lambda t: t["word"]))), fits))
-    value = F.when(F.size(single) == 1, F.get(single, F.lit(0))).when((F.size(single) == 0) & (F.size(double) == 1), F.get(double, F.lit(0)))
-    good = check_digit(v) == digit
-    return F.struct(F.when(good, v).otherwise(F.coalesce(value, v)).alias("value"), (~good & value.isNotNull()).alias("repaired"))
+    result = lambda word, done: F.struct(word.alias("value"), F.lit(done).alias("repaired"))
+    words = lambda found: F.array_distinct(F.filter(F.transform(found, lambda s: s["word"]), fits))
+    # Each search is named once and runs only where the one before it ended without a result.
+    twice = lambda one: F.flatten(F.transform(one, lambda s: swaps(s["word"], s["at"])))
+    second = lambda one: let(words(twice(one)), lambda w: F.when(F.size(w) == 1, result(F.get(w, F.lit(0)), True)).otherwise(result(v, False)))
+    first = lambda one: let(words(one), lambda w: F.when(F.size(w) == 1, result(F.get(w, F.lit(0)), True)).when(F.size(w) > 1, result(v, False)).otherwise(second(one)))
+    return F.when(check_digit(v) == digit, result(v, False)).when(digit.isNull(), result(v, False)).otherwise(let(swaps(v, F.lit(0)), first))
 
 
 def parse_line1(raw: Column) -> Column:

@@ -42,6 +42,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_present(c: Column) -> Column:
     """Neither null nor empty."""
     return c.isNotNull() & (c.cast("string") != "")
@@ -171,15 +176,15 @@ def to_cyrillic(c: Column) -> Column:
     return F.array_join(F.transform(pieces, one), "")
 
 
-#: Capitals of both alphabets that look alike.
+# Capitals of both alphabets that look alike.
 LOOK_ALIKE = ("ABCEHKMOPTXY", "АВСЕНКМОРТХУ")
 
 
 def look_alike_to_cyrillic(c: Column) -> Column:
-    """A word that mixes the alphabets, or whose Latin capitals all look Cyrillic, in Cyrillic."""
+    """A word with a Cyrillic letter, or all of whose letters look Cyrillic, in Cyrillic; hyphens and digits don't count."""
     v = text(c)
-    mixed = has_cyrillic(c) & v.rlike("[A-Z]")
-    return F.when(mixed | v.rlike(f"^[{LOOK_ALIKE[0]}]+$"), F.translate(v, *LOOK_ALIKE)).otherwise(v)
+    alike = F.regexp_replace(v, r"[^\p{L}]", "").rlike(f"^[Ѐ-ӿ{LOOK_ALIKE[0]}]*$")
+    return F.when(has_cyrillic(c) | alike, F.translate(v, *LOOK_ALIKE)).otherwise(v)
 
 
 def latin_half(c: Column) -> Column:

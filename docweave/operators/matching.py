@@ -55,10 +55,12 @@ def fill_outcome(before: DataFrame, read: DataFrame, known: DataFrame) -> DataFr
 def exactly_one(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """(match, name): the one name that contains each wanted text; running it fails if a text has none or several.
 
-    ``wanted`` is a short list of the user's, broadcast as a literal dimension.
+    Candidates are found by grams, as in ``unique_contains``; the empty text has none.
     """
-    found = wanted.join(names, F.col("name").contains(F.col("match")), "left").groupBy("match").agg(F.count("name").alias("n"), F.min("name").alias("name"))
-    return found.select("match", F.when(F.col("n") == 1, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("not one name for "), "match"))).alias("name"))
+    rows = names.groupBy("name").agg(F.count("*").alias("rows"))
+    found = containing(wanted.select(F.col("match").alias("needle")).distinct(), rows).groupBy("needle").agg(F.sum("rows").alias("n"), F.min("name").alias("name"))
+    each = wanted.select("match").distinct().join(found.withColumnRenamed("needle", "match"), "match", "left")
+    return each.select("match", F.when(F.col("n") == 1, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("not one name for "), "match"))).alias("name"))
 
 
 def canonical(values: DataFrame, options: list[str], synonyms: dict[str, str] | None = None) -> DataFrame:
@@ -76,8 +78,8 @@ def canonical(values: DataFrame, options: list[str], synonyms: dict[str, str] |
     return values.withColumn("canonical", F.coalesce(equal, F.nullif(F.element_at(table, v), F.lit("")), one(inside), one(starts), F.col("value")))
 
 
-def unique_contains(needles: DataFrame, names: DataFrame, width: int = 3) -> DataFrame:
-    """(needle, name): the only name that contains each needle; needles in none or several names have no row.
+def containing(needles: DataFrame, names: DataFrame, width: int = 3) -> DataFrame:
+    """Pairs of ``needles`` (needle) and ``names`` (name, and other columns) where the name contains the needle, each once.
 
     Candidates share the needle's first ``width`` letters as a gram, so the
     join is on equality; needles shorter than that are joined by their length.
@@ -86,9 +88,14 @@ def unique_contains(needles: DataFrame, names: DataFrame, width: int = 3) -> Dat
     parts = []
     for n in range(1, width + 1):
         some = needles.where(F.length("needle") == n) if n < width else needles.where(F.length("needle") >= n)
-        grams = names.select("name", F.explode(F.array_distinct(gram(F.col("name"), n))).alias("gram"))
-        parts.append(some.withColumn("gram", F.substring("needle", 1, n)).join(grams, "gram").where(F.col("name").contains(F.col("needle"))).select("needle", "name"))
-    found = reduce(DataFrame.unionByName, parts).distinct()
+        grams = names.select("*", F.explode(F.array_distinct(gram(F.col("name"), n))).alias("gram"))
+        parts.append(some.withColumn("gram", F.substring("needle", 1, n)).join(grams, "gram").where(F.col("name").contains(F.col("needle"))).select("needle", *names.columns))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def unique_contains(needles: DataFrame, names: DataFrame, width: int = 3) -> DataFrame:
+    """(needle, name): the only name that contains each needle; needles in none or several names have no row."""
+    found = containing(needles, names.select("name"), width)
     return found.groupBy("needle").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n = 1").drop("n")
 
 

@@ -49,7 +49,7 @@ def plan_cuts(pages: DataFrame, least: float = 0.45, most: float = 1.6) -> DataF
     steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("height") / F.greatest(shortest, F.lit(1)))))
 
     def cut(done: Column, _: Column) -> Column:
-        top = F.coalesce(F.element_at(done, -1), F.lit(0).cast("long"))
+        top = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("long"))
         reach = F.filter("centres", lambda c: (c <= top + longest) & (c >= top + shortest))
         at = F.coalesce(F.array_max(reach), top + longest)
         return F.when(F.col("height") - top > longest, F.concat(done, F.array(at))).otherwise(done)
@@ -142,7 +142,7 @@ def split_message(c: Column, limit: int = 4096) -> Column:
     shown = lambda x: F.length(F.regexp_replace(x, "<[^>]*>", ""))
 
     def add(done: Column, block: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         joined = F.concat(last, F.lit("\n\n"), block)
         fits = (F.size(done) > 0) & (shown(joined) <= limit)
         return F.when(fits, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(block)))

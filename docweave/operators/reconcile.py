@@ -204,14 +204,22 @@ def checked_votes(zones: DataFrame, checked: list[str]) -> DataFrame:
 def reader_summary(results: DataFrame) -> DataFrame:
     """Per reader (reader, correct, attempted, error, ms): sums, accuracy, perfect images, errors, upper median and total time.
 
-    The upper median is the value at place n / 2, counted from zero, found by
-    rank so that no reader's times are gathered.
+    The upper median is the value at place n / 2, counted from zero. Times are
+    counted by whole milliseconds, which tells the millisecond it lies in; only
+    the rows of that one are ranked, so no task sorts a reader's times.
     """
-    place = Window.partitionBy("reader").orderBy("ms")
-    ranked = results.withColumn("_at", F.row_number().over(place) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("reader")))
+    slot = F.floor("ms")
+    slots = results.groupBy("reader", slot.alias("_slot")).agg(F.count("*").alias("_in"))
+    before = F.sum("_in").over(Window.partitionBy("reader").orderBy("_slot")) - F.col("_in")
+    slots = slots.withColumn("_before", before).withColumn("_place", F.floor(F.sum("_in").over(Window.partitionBy("reader")) / 2) - F.col("_before"))
+    middle = slots.where("_place >= 0 AND _place < _in").select(F.col("reader").alias("_reader"), "_slot", "_place")
+    inside = results.select("reader", "ms").join(middle, F.col("reader").eqNullSafe(F.col("_reader")) & slot.eqNullSafe(F.col("_slot")))
+    ranked = inside.withColumn("_at", F.row_number().over(Window.partitionBy("_reader").orderBy("ms")) - 1).where("_at = _place")
+    medians = ranked.select("_reader", F.col("ms").alias("median_ms"))
     attempted = F.sum("attempted")
-    return ranked.groupBy("reader").agg(
+    sums = results.groupBy("reader").agg(
         F.sum("correct").alias("correct"), attempted.alias("attempted"), F.when(attempted > 0, F.sum("correct") / attempted).otherwise(0.0).alias("accuracy"),
         F.count_if(F.col("correct") == F.col("attempted")).alias("perfect"), F.count("*").alias("images"), F.count_if(F.col("error").isNotNull()).alias("errors"),
-        F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2), F.col("ms"))).alias("median_ms"), F.sum("ms").alias("total_ms"),
+        F.sum("ms").alias("total_ms"),
     )
+    return sums.join(medians, F.col("reader").eqNullSafe(F.col("_reader"))).select("reader", "correct", "attempted", "accuracy", "perfect", "images", "errors", "median_ms", "total_ms")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +79,28 @@ def facts(rows: DataFrame) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace what is at ``path``; readers see the old files or the new ones, by Spark's commit."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace the table at ``path``: the new one is written beside it, and takes its place only once it is whole.
+
+    A job that fails leaves the old table as it was. Between the two renames,
+    a moment each on a file system, there is no table at ``path``; a reader that
+    has listed the old files finds them gone after it.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    tag = uuid.uuid4().hex
+    df.write.parquet(f"{path}-new-{tag}")
+    jvm = spark._jvm
+    here, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}-new-{tag}", f"{path}-old-{tag}"))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(here)
+    if had and not fs.rename(here, old):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(fresh, here):
+        if had:
+            fs.rename(old, here)
+        raise OSError(f"can't publish {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -1,7 +1,8 @@
 """Per-key state over streams of events: quiet windows, ordered commits, last writes, retention.
 
 Each function takes a streaming or a static DataFrame. State is kept by key, so
-a stream's tasks grow with its keys; nothing is held for a key that was closed.
+a stream's tasks grow with its keys. A key that is silent for a function's
+timeout is closed, and nothing is held for it from then on.
 """
 
 from __future__ import annotations
@@ -68,12 +69,22 @@ def quiet_windows(events: DataFrame, quiet_ms: int, most_ms: int = 600_000) -> D
 COMMIT = "chat string, seq long, value string"
 
 
-def commit_in_order(events: DataFrame) -> DataFrame:
-    """A stream's results (chat, seq, value) in the order of ``seq`` from 1 on, each once: later ones wait in state for those missing."""
+def commit_in_order(events: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
+    """A stream's results (chat, seq, value) in the order of ``seq`` from 1 on, each once: later ones wait in state for those missing.
+
+    A chat without events for ``keep_ms`` for which nothing waits is closed; if
+    it speaks again, it counts from 1 again. While results wait, it stays.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, seqs, values = state.get if state.exists else (0, [], [])
         waiting: dict[int, Any] = dict(zip(seqs, values))
+        if state.hasTimedOut:
+            if waiting:
+                state.setTimeoutDuration(keep_ms)
+            else:
+                state.remove()
+            return
         for pdf in batches:
             for seq, value in zip(pdf["seq"], pdf["value"]):
                 if seq > done:
@@ -83,21 +94,28 @@ def commit_in_order(events: DataFrame) -> DataFrame:
             done += 1
             out.append((key[0], done, waiting.pop(done)))
         state.update((done, list(waiting), list(waiting.values())))
+        state.setTimeoutDuration(keep_ms)
         if out:
             yield pd.DataFrame(out, columns=["chat", "seq", "value"])
 
     state = "done long, seqs array<long>, waiting array<string>"
-    return events.select("chat", "seq", "value").groupBy("chat").applyInPandasWithState(step, COMMIT, state, "append", GroupStateTimeout.NoTimeout)
+    return events.select("chat", "seq", "value").groupBy("chat").applyInPandasWithState(step, COMMIT, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 FILLED = "chat string, number string, email string, birth string"
 
 
-def gather_fields(messages: DataFrame) -> DataFrame:
-    """A row as a chat's messages (chat, seq, field, value) have given number, email and birth; the last of each counts, then it starts anew."""
+def gather_fields(messages: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
+    """A row as a chat's messages (chat, seq, field, value) have given number, email and birth; the last of each counts, then it starts anew.
+
+    What a chat has given is forgotten when it is silent for ``keep_ms``.
+    """
     names = ["number", "email", "birth"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names)
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
@@ -108,10 +126,11 @@ def gather_fields(messages: DataFrame) -> DataFrame:
                     out.append((key[0], *held.values()))
                     held = dict.fromkeys(names)
         state.update(tuple(held.values()))
+        state.setTimeoutDuration(keep_ms)
         if out:
             yield pd.DataFrame(out, columns=["chat", *names])
 
-    return messages.groupBy("chat").applyInPandasWithState(step, FILLED, "number string, email string, birth string", "append", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("chat").applyInPandasWithState(step, FILLED, "number string, email string, birth string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def new_messages(messages: DataFrame, key: str = "message_id", ts: str = "ts", keep: str = "30 days") -> DataFrame:

@@ -10,7 +10,7 @@ from docweave.streaming import sessions
 
 @pytest.fixture
 def stream(spark, tmp_path):
-    def start(f, schema, batches, mode="append", rows_wanted=None):
+    def start(f, schema, batches, mode="append", rows_wanted=None, pause=0):
         folder, name = tmp_path / "in", "t" + uuid.uuid4().hex
         folder.mkdir()
         source = spark.readStream.schema(schema).json(str(folder))
@@ -25,6 +25,7 @@ def stream(spark, tmp_path):
                     until = time.time() + 60
                     while spark.table(name).count() < rows_wanted[i] and time.time() < until:
                         time.sleep(0.2)
+                    time.sleep(pause)
         finally:
             q.stop()
         return sorted((tuple(r) for r in spark.table(name).collect()), key=repr)
@@ -34,16 +35,22 @@ def stream(spark, tmp_path):
 
 def test_commit_in_order(stream):
     rows = lambda *xs: [{"chat": "c", "seq": s, "value": v} for s, v in xs]
-    got = stream(sessions.commit_in_order, "chat string, seq long, value string", [rows((2, "b"), (3, "c")), rows((1, "a"), (2, "again")), rows((5, "e"), (4, "d"))])
+    got = stream(sessions.commit_in_order, "chat string, seq long, value string", [rows((2, "b"), (3, "c")), rows((1, "a"), (2, "again")), rows((5, "e"), (4, "d"))], rows_wanted=[0, 3, 5])
     assert got == [("c", i, v) for i, v in enumerate("abcde", 1)]
 
 
 def test_gather_fields(stream):
     rows = lambda *xs: [{"chat": "c", "seq": s, "field": f, "value": v} for s, f, v in xs]
-    got = stream(sessions.gather_fields, "chat string, seq long, field string, value string", [rows((1, "email", "x"), (2, "number", "1")), rows((4, "birth", "d"), (3, "email", "y"))])
+    got = stream(sessions.gather_fields, "chat string, seq long, field string, value string", [rows((1, "email", "x"), (2, "number", "1")), rows((4, "birth", "d"), (3, "email", "y"))], rows_wanted=[0, 1])
     assert got == [("c", "1", "y", "d")]
 
 
+def test_silent_chats_are_closed(stream):
+    rows = lambda s, v: [{"chat": "c", "seq": s, "value": v}]
+    got = stream(lambda s: sessions.commit_in_order(s, 300), "chat string, seq long, value string", [rows(1, "a"), rows(1, "b")], rows_wanted=[1, 2], pause=3)
+    assert got == [("c", 1, "a"), ("c", 1, "b")]
+
+
 def test_quiet_windows(stream):
     rows = lambda *kinds: [{"chat": c, "kind": k} for c, k in kinds]
     batches = [rows(("a", "arrive"), ("a", "arrive"), ("b", "touch"), ("r", "arrive"), ("r", "read-start")), rows(("r", "read-end"))]
