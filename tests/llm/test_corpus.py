@@ -222,7 +222,7 @@ def test_rules_on_whole_texts(spark, docs, rows, no_docs):
     for (i, r), (j, (n, chars, symbols, dup, repeated)) in zip(got, want):
         assert i == j and r[1:6] == (n, chars, symbols, dup, repeated)
         failed = n < 50 or 100 * repeated > 50 * n
-        assert r[7] is failed and r[8] is (not failed)
+        assert r[6] is failed and r[7] is (not failed) and r[8] == n
     assert quality_rules.quality_rules(no_docs, crf).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.fit_line_crf(docs, labels).emission.sum() == 0
@@ -232,10 +232,57 @@ def test_viterbi_is_the_best_of_all_paths():
     rng = np.random.default_rng(0)
     crf = quality_rules.LineCrf(rng.normal(size=quality_rules.N_FEATURES), rng.normal(size=(2, 2)))
     for n in range(1, 8):
-        seq = rng.integers(quality_rules.N_FEATURES, size=(n, 4)).tolist()
-        score = lambda p: sum(crf.emission[s].sum() * y for s, y in zip(map(np.array, seq), p)) + sum(crf.transition[a][b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        seq = rng.integers(quality_rules.N_FEATURES, size=(n, 4))
+        score = lambda p: sum(crf.emission[s].sum() * y for s, y in zip(seq, p)) + sum(crf.transition[a][b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
         paths = [[m >> i & 1 for i in range(n)] for m in range(2**n)]
         assert score(crf.viterbi(seq)) == pytest.approx(max(map(score, paths)))
+    # Texts that follow each other are decoded as each alone.
+    lengths = [3, 1, 9, 2, 9, 1, 5]
+    seqs = [rng.integers(quality_rules.N_FEATURES, size=(n, 4)) for n in lengths]
+    together = crf.viterbi(np.concatenate(seqs), np.repeat([0, 2, 3, 5, 6, 7, 9], lengths))
+    assert together.tolist() == [int(y) for s in seqs for y in crf.viterbi(s)]
+
+
+def test_likelihood_sums_over_labels():
+    """Forward-backward against all label sequences."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5):
+        e, tr = rng.normal(size=(1, n, 2)), rng.normal(size=(2, 2))
+        paths = [[m >> i & 1 for i in range(n)] for m in range(2**n)]
+        weight = np.array([math.exp(sum(e[0, i, y] for i, y in enumerate(p)) + sum(tr[a][b] for a, b in zip(p, p[1:]))) for p in paths])
+        p1, pairs = quality_rules._both_ways(e, tr, np.ones((1, n), bool))
+        assert p1[0] == pytest.approx([sum(w for p, w in zip(paths, weight) if p[i]) / weight.sum() for i in range(n)])
+        for i in range(n - 1):
+            assert pairs[0, i, 0, 1] == pytest.approx(sum(w for p, w in zip(paths, weight) if p[i : i + 2] == [0, 1]) / weight.sum())
+
+
+def test_lines_of_mixed_pages(spark):
+    """Menus around prose, in pages that are labelled only as a whole, are told apart in pages that aren't."""
+    rng = random.Random(8)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(9, 14))) + "."
+    menu = lambda: " | ".join(rng.choice(["Home", "Login", "Cart", "More >", "Top"]) + str(rng.randint(1, 99)) for _ in range(6))
+    shared = "All rights reserved by nobody at all"
+    good = lambda: [prose() for _ in range(5)] + [shared] + [prose() for _ in range(2)]
+    bad = lambda: [menu() for _ in range(6)] + [prose()] + [menu()]
+    rows = [(i, "\n".join(good() if i % 2 else bad())) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    crf = quality_rules.fit_line_crf(docs, labels)
+    for kinds in ("11100", "00111", "01110", "110011100", "1", "0"):
+        lines = [prose() if k == "1" else menu() for k in kinds]
+        assert "".join(map(str, crf.viterbi(quality_rules.TextLines(["\n".join(lines)]).features))) == kinds
+    page = spark.createDataFrame([(1, "\n".join([menu()] * 3 + [prose() for _ in range(7)])), (2, "\n".join([menu() for _ in range(20)] + [prose()] * 2))], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(page, crf, max_repeat=1.0).collect()}
+    assert got[1].kept and not got[2].kept and all(0 < r.content_words < r.n_words for r in got.values())
+
+
+def test_lines_of_the_corpus(spark):
+    rows = [(1, "a\nx\n\nb"), (2, "c\nx"), (3, "d\n x\nx"), (4, None), (5, "e\u00e9 \u00df")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = quality_rules.TextLines([t for _, t in rows])
+    lines = spark.createDataFrame([(int(h),) for h in set(found.hash.tolist())], "line long")
+    got = {r.line: (r.times, r.contexts) for r in quality_rules.corpus_contexts(docs, lines).collect()}
+    assert set(got) == set(found.hash.tolist()) and got[int(found.hash[1])] == (3, 3)
 
 
 def test_crf_tells_held_out_documents(spark):
