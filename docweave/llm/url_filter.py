@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from docweave.llm.common import sized_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEXICAL = ["url_chars", "host_chars", "path_chars", "depth", "digit_ratio", "entropy", "params", "query_chars", "labels", "hyphens", "longest_label", "secure", "dotted_path"]
 SUFFIX = ["suffix_rate", "suffix_seen"]
@@ -70,16 +72,36 @@ def features(urls: DataFrame) -> DataFrame:
     )
 
 
+#: Parts of the labelled urls, by a hash of the url, for statistics that leave a url's own part out.
+FOLDS = 5
+
+
+def _fold(url: str) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(suffix, seen, blocked) over all labelled urls."""
-    return labelled.groupBy("suffix").agg(F.count("*").cast("double").alias("seen"), F.sum(F.col("label")).cast("double").alias("blocked"))
+    """(suffix, seen, blocked, folds) over all labelled urls; ``folds`` has the counts of each part that has any."""
+    parts = labelled.groupBy("suffix", _fold("url").alias("fold")).agg(F.count("*").cast("double").alias("n"), F.sum("label").cast("double").alias("bad"))
+    return parts.groupBy("suffix").agg(F.sum("n").alias("seen"), F.sum("bad").alias("blocked"), F.collect_list(F.struct("fold", "n", "bad")).alias("folds"))
+
 
+def with_suffix(urls: DataFrame, stats: DataFrame, prior: float = 20.0, training: bool = False, unset: float = 0.2) -> DataFrame:
+    """Add the suffix's share of blocked urls, smoothed by ``prior`` urls of either verdict alike, and the log of its count.
 
-def with_suffix(urls: DataFrame, stats: DataFrame, prior: float = 20.0) -> DataFrame:
-    """Add the suffix's share of blocked urls, smoothed by ``prior`` urls of either verdict alike, and the log of its count."""
+    For ``training`` rows the statistics are those of the other folds, so that
+    no row sees its own label, and the share ``unset`` of rows, by a hash of the
+    url, has a suffix that was never seen: such suffixes are met when judging.
+    """
+    columns = ["suffix", "seen", "blocked"]
+    out = sized_join(urls, stats if training else stats.select(columns), "suffix", "left")
     seen, blocked = F.coalesce("seen", F.lit(0.0)), F.coalesce("blocked", F.lit(0.0))
-    out = urls.join(stats, "suffix", "left")
-    return out.withColumn("suffix_rate", (blocked + prior / 2) / (seen + prior)).withColumn("suffix_seen", F.log1p(seen)).drop("seen", "blocked")
+    if training:
+        own = F.get(F.filter("folds", lambda f: f["fold"] == _fold("url")), F.lit(0))
+        known = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(1000)) >= round(1000 * unset)
+        seen, blocked = (F.when(known, total - F.coalesce(own[n], F.lit(0.0))).otherwise(0.0) for total, n in ((seen, "n"), (blocked, "bad")))
+    out = out.withColumn("suffix_rate", (blocked + prior / 2) / (seen + prior)).withColumn("suffix_seen", F.log1p(seen))
+    return out.drop("seen", "blocked", "folds")
 
 
 class UrlFilter:
@@ -92,15 +114,20 @@ class UrlFilter:
     def train(cls, labelled: DataFrame, max_rows: int = 20_000, trees: int = 15, depth: int = 4, seed: int = 7) -> UrlFilter:
         """Fit on ``labelled`` (url, label: 1.0 to block, null not used).
 
-        Suffix statistics cover all labelled urls. The trees take at most
-        ``max_rows`` distinct labelled urls, those of least hash.
+        Suffix statistics cover all labelled urls; for the trees they leave out
+        a url's own fold. The trees take at most ``max_rows`` distinct labelled
+        urls, those of least hash; both verdicts weigh alike, so a url that nothing
+        speaks for or against has a probability of about a half.
         """
         rows = features(labelled.where("label IS NOT NULL AND url IS NOT NULL").select("url", F.col("label").cast("double").alias("label")).distinct())
         stats = suffix_statistics(rows)
-        sample = with_suffix(rows, stats).orderBy(F.xxhash64("url", "label"), "url", "label").limit(max_rows)
+        sample = with_suffix(rows.orderBy(F.xxhash64("url", "label"), "url", "label").limit(max_rows), stats, training=True)
         data = VectorAssembler(inputCols=LEXICAL + SUFFIX, outputCol="features").transform(sample).select("features", "label").persist()
-        kinds = {r[0] for r in data.select("label").distinct().collect()}
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2).fit(data) if kinds == {0.0, 1.0} else None
+        counts = dict(tuple(r) for r in data.groupBy("label").count().collect())
+        model = None
+        if set(counts) == {0.0, 1.0}:
+            weight = F.when(F.col("label") == 1, 0.5 / counts[1.0]).otherwise(0.5 / counts[0.0]) * sum(counts.values())
+            model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2, weightCol="weight").fit(data.withColumn("weight", weight))
         data.unpersist()
         return cls(model, stats)
 
@@ -131,3 +158,17 @@ def judge(urls: DataFrame, rules: dict[str, str], labels: DataFrame | None = Non
     by_rule = matching_rule(F.col("host"), F.col("path"), rules)
     by_trees = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", by_rule.alias("rule"), F.coalesce(verdict[by_rule], by_trees).alias("verdict"), "p_block")
+
+
+def held_out_accuracy(labelled: DataFrame, share: float = 0.5, seen: bool = True, **options) -> DataFrame:
+    """(suffix, urls, right): how the trees judge urls that they weren't trained on, by suffix.
+
+    ``share`` of the labelled urls (url, label) are held out by a hash of the
+    url, or, without ``seen``, of the suffix, so that no held-out suffix was met.
+    """
+    named = labelled.where("label IS NOT NULL AND url IS NOT NULL").select("url", F.col("label").cast("double").alias("label")).distinct()
+    named = named.withColumn("suffix", F.substring_index(host_of(F.col("url")), ".", -2))
+    held = F.pmod(F.xxhash64("url" if seen else "suffix", F.lit(2)), F.lit(1000)) < round(1000 * share)
+    model = UrlFilter.train(named.where(~held).select("url", "label"), **options)
+    judged = model.score(named.where(held))
+    return judged.groupBy("suffix").agg(F.count("*").alias("urls"), F.avg(((F.col("p_block") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("right"))
