@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Arrow batches of texts stay this small, where the session has Spark's own bound of 64 MB: two of them lie in each
-#: worker and in its executor.
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(BATCH_BYTES) == "67108864b":
-        spark.conf.set(BATCH_BYTES, "8m")
+#: Arrow batches of texts stay this small while a table is written: two of them lie in each worker and in its executor.
+BATCH_BYTES, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,33 +27,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where none is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of the warehouse where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="docweave-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/docweave-work").rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs no more than its running tasks,
-    and lets several consumers read what was computed once.
+    and lets several consumers read what was computed once. The folder goes
+    when the application ends. Settings that hold for the write are restored.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    small_batches(spark)
-    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    before = {k: spark.conf.get(k, None) for k in (CLEAN_SHUFFLES, BATCH_BYTES)}
     spark.conf.set(CLEAN_SHUFFLES, "true")
+    if before[BATCH_BYTES] in (None, "67108864b", "64m"):
+        spark.conf.set(BATCH_BYTES, SMALL)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim_memory() -> None:
+    """Give unused memory of this Python worker, which goes on to other tasks, back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def frugal(run):
+    """``run``, a function over record batches, after which the worker gives back its unused memory."""
+
+    @functools.wraps(run)
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim_memory()
+
+    return go
+
+
 #: Rows up to which the sides below are broadcast; at 16 bytes a key about 16 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -68,5 +87,17 @@ def sized_join(big: DataFrame, keys: DataFrame, on: list[str] | str, how: str, l
     return big.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize
+from docweave.llm.common import frugal, materialize
 from docweave.llm.tokens import encode, load_encoder, tokenizer_path
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -95,7 +95,7 @@ def _pack_partition(path: str, size: int, windows: int, end_id: int):
             emit(pieces, keep=True)
         yield flush()
 
-    return run
+    return frugal(run)
 
 
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("part", pa.int32()), ("ids", pa.binary())])

@@ -1,13 +1,14 @@
 """Exact repeats of long byte strings, by a depth-limited radix sort of suffixes.
 
 Suffixes count through their first ``depth`` bytes only: equal ones are exactly
-the repeated strings. Most-significant-digit passes order them. The first digit
-of a suffix is a digest of the gram of least hash among its first bytes, with
-the gram's place: equal suffixes have equal ones, and neighbouring suffixes
-share theirs, so a run of suffixes travels as one row. Groups of one row are
-done. Where all bytes of two runs are equal, so are all their suffixes; only the
-runs whose digits agree and whose bytes don't are taken apart, and their
-suffixes sorted one by one through the full depth.
+the repeated strings. Most-significant-digit passes part them into ever smaller
+groups, and groups of one are done. The first digit of a suffix is the gram of
+least hash among its first bytes: equal suffixes have the same one at the same
+distance, and neighbouring suffixes share theirs, so a run of suffixes travels
+as one row. The first pass only tells which runs share their digit with others.
+From the second on, rows carry the bytes of their runs, and a group is sorted by
+these: whole runs, then runs of a few suffixes, then suffix by suffix. Hashes
+deal rows into groups; that strings are equal is decided by their bytes alone.
 """
 
 from __future__ import annotations
@@ -20,19 +21,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docweave.llm.common import materialize
+from docweave.llm.common import frugal, materialize
 
 DEPTH, GRAM = 100, 24
-#: Bytes of text hashed at once, and rows a task holds before it gives them out.
-CHUNK, HELD = 1 << 19, 1_000_000
-#: Stands for a null id; such documents come after all others.
-NO_ID = (1 << 63) - 1
+#: Bytes of text hashed at once, and the rows and the bytes of text that a task holds before it gives them out.
+CHUNK, HELD, HELD_BYTES = 1 << 18, 1 << 18, 1 << 24
+#: Rows of runs with their bytes that are given out at once.
+GIVEN = 1 << 14
+#: Documents without an id come after all others, in the order of a hash of their text; ids stay below.
+NO_ID = 1 << 62
 _MUL = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -148,65 +151,106 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[head], start[head], reach[np.append(head[1:] - 1, len(doc) - 1)]
 
 
-#: A row is a run of suffixes: its group, the digest of its bytes, its document, and its place: where its first suffix
-#: starts, how far from there its anchor is, how many suffixes follow, and its kind. ALONE: the digit, which is the group, has one digest in this task. MIXED:
-#: several; the group is of digit and digest. SIGN: no run, some task has several digests in this group. SPAN: bytes
-#: to be removed, from the place up to the digest's value.
-RUN = "key long, digest long, doc_id long, place long"
-ALONE, MIXED, SIGN, SPAN = range(4)
+#: A row is a run of suffixes: its group, its document, its bytes, and its place: where its first suffix starts, how far
+#: from there its anchor is, how many suffixes follow, and its kind. ALONE: this task has no other run of the digit, which
+#: is the group. SEVERAL: it has; such runs are sure to meet others, so they needn't meet all of the digit, only their
+#: equals, and the group is of their digit and bytes. SIGN: no run, some task has several of this digit. SPAN: bytes to be
+#: removed, from the place up to ``until``.
+RUN = "key long, doc_id long, place long, until long, data binary"
+ALONE, SEVERAL, SIGN, SPAN = range(4)
 
 
 def _place(first: np.ndarray, offset: np.ndarray | int, more: np.ndarray | int, kind: int) -> np.ndarray:
     return first << 16 | np.asarray(offset) << 9 | np.asarray(more) << 2 | kind
 
 
-def _run_rows(key, digest, doc, place) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*map(pa.array, (key, digest, doc, place))], names=[c.split()[0] for c in RUN.split(", ")])
-
-
-def _least(digit, digest, doc, first, last, offset) -> Iterator[pa.RecordBatch]:
-    """Of a task's equal runs only the earliest goes on; the bytes of the others are to be removed.
-
-    Runs of a digit with several digests here are sure to be taken apart, so
-    they needn't meet the digit's other runs, only those of their digest, and
-    are grouped with these, however many share the digit; a sign tells the
-    others. So no group holds more than a few rows of each task.
-    """
-    order = np.lexsort((first, doc, digest, digit))
-    digit, digest, doc, first, last, offset = (x[order] for x in (digit, digest, doc, first, last, offset))
-    new_digit = np.append(True, digit[1:] != digit[:-1])
-    new_digest = np.append(True, new_digit[1:] | (digest[1:] != digest[:-1]))
-    lead = np.flatnonzero(new_digest)
-    leader = lead[np.cumsum(new_digest) - 1]
-    # A row of the same id and place as the earliest isn't later: it fares as that one.
-    later = ~new_digest & ((doc != doc[leader]) | (first != first[leader]))
-    several = (np.bincount(np.cumsum(new_digit) - 1, new_digest) > 1)[np.cumsum(new_digit) - 1]
-    alone, mixed, sign = ~later & ~several, ~later & several, new_digit & several
-    yield _run_rows(digit[alone], digest[alone], doc[alone], _place(first[alone], offset[alone], (last - first)[alone], ALONE))
-    both = _mix(digit[mixed].view(np.uint64) ^ digest[mixed].view(np.uint64) * _MUL).view(np.int64)
-    yield _run_rows(both, digest[mixed], doc[mixed], _place(first[mixed], offset[mixed], (last - first)[mixed], MIXED))
-    none = np.zeros(sign.sum(), np.int64)
-    yield _run_rows(digit[sign], none, none, _place(none, 0, 0, SIGN))
-    spans = _joined(doc[later], first[later], last[later] + DEPTH)
-    yield _run_rows(_mix(spans[0].view(np.uint64)).view(np.int64), spans[2], spans[0], _place(spans[1], 0, 0, SPAN))
-
-
+def _run_rows(key, doc, place, until=None, data: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(key)
+    columns = [pa.array(key), pa.array(doc), pa.array(place), pa.nulls(n, pa.int64()) if until is None else pa.array(until), pa.nulls(n, pa.binary()) if data is None else data]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RUN.split(", ")])
+
+
+def _cut_out(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.cumsum(size)
+    index = np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[index])])
+
+
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (8 or more) at ``a`` and at ``b`` are equal, eight at a time."""
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    same = np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        o = np.minimum(k, size - 8)
+        same &= words[a + o] == words[b + o]
+    return same
+
+
+class _Held:
+    """Runs that a task has found, with the text that they lie in, until they are given out."""
+
+    def __init__(self, with_bytes: bool, last: bool = False):
+        self.with_bytes, self.last, self.runs, self.raws, self.rows, self.size = with_bytes, last, [], [], 0, 0
+
+    def add(self, raw: np.ndarray, at: np.ndarray, digit, digest, doc, first, last, offset) -> None:
+        """Runs at the places ``at`` of ``raw``; ``first`` and ``last`` are places in their documents."""
+        self.runs.append((digit, digest, doc, first, last, offset, at + self.size))
+        self.raws.append(raw)
+        self.rows, self.size = self.rows + len(at), self.size + len(raw)
+
+    def full(self) -> bool:
+        return self.rows >= HELD or self.size >= HELD_BYTES
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        """Of equal runs only the earliest goes on; the bytes of the others are to be removed."""
+        if not self.rows:
+            return
+        columns, raw = [np.concatenate(x) for x in zip(*self.runs)], np.concatenate(self.raws)
+        self.__init__(self.with_bytes, self.last)
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        digit, digest, doc, first, last, offset, at = (x[order] for x in columns)
+        size = last - first + DEPTH
+        new_digit = np.append(True, digit[1:] != digit[:-1])
+        new_digest = np.append(True, new_digit[1:] | (digest[1:] != digest[:-1]))
+        lead = np.flatnonzero(new_digest)
+        leader = lead[np.cumsum(new_digest) - 1]
+        # A row of the same id and place as the earliest isn't later: it fares as that one.
+        later = ~new_digest & ((doc != doc[leader]) | (first != first[leader])) & (size == size[leader]) & (offset == offset[leader])
+        some = np.flatnonzero(later)
+        later[some] = _same_bytes(raw, at[some], at[leader[some]], size[some])
+        group = np.cumsum(new_digit) - 1
+        # In the last pass a digit is all of a suffix: all rows of one meet, and their bytes decide.
+        several = (np.bincount(group, ~later) > 1)[group] & (not self.last)
+
+        def rows(which: np.ndarray, kind: int, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+            which = np.flatnonzero(which)
+            for i in range(0, len(which), GIVEN):
+                w = which[i : i + GIVEN]
+                yield _run_rows(key[w], doc[w], _place(first[w], offset[w], (last - first)[w], kind), data=_cut_out(raw, at[w], size[w]) if self.with_bytes else None)
+
+        yield from rows(~later & ~several, ALONE, digit)
+        yield from rows(~later & several, SEVERAL, _mix(digit.view(np.uint64) ^ digest.view(np.uint64) * _MUL).view(np.int64))
+        sign = digit[new_digit & several]
+        none = np.zeros(len(sign), np.int64)
+        yield _run_rows(sign, none, _place(none, 0, 0, SIGN))
+        spans = _joined(doc[later], first[later], last[later] + DEPTH)
+        yield _run_rows(_mix(spans[0].view(np.uint64)).view(np.int64), spans[0], _place(spans[1], 0, 0, SPAN), until=spans[2])
+
+
+@frugal
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    held = _Held(with_bytes=False)
     for batch in batches:
-        ids = batch.column(0).fill_null(NO_ID).to_pylist()
         texts = (None if t is None else t.encode() for t in map(lambda x: x.as_py(), batch.column(1)))
-        for raw, ends, docs, starts in _pieces(ids, texts):
+        for raw, ends, docs, starts in _pieces(batch.column(0).to_pylist(), texts):
             first, last, anchor, digit, digest = suffix_runs(raw, ends)
             which = np.searchsorted(ends, first, side="right")
             shift = starts[which] - np.concatenate([[0], ends[:-1]])[which]
-            held.append((digit, digest, docs[which], first + shift, last + shift, anchor - first))
-            size += len(first)
-        if size >= HELD:
-            yield from _least(*map(np.concatenate, zip(*held)))
-            held, size = [], 0
-    if held:
-        yield from _least(*map(np.concatenate, zip(*held)))
+            held.add(raw, first, digit, digest, docs[which], first + shift, last + shift, anchor - first)
+            if held.full():
+                yield from held.give()
+    yield from held.give()
 
 
 def _parts(first: np.ndarray, last: np.ndarray, offset: np.ndarray, together: int) -> tuple[np.ndarray, ...]:
@@ -220,71 +264,93 @@ def _parts(first: np.ndarray, last: np.ndarray, offset: np.ndarray, together: in
     return start, end, anchor[which] - start, head
 
 
-def _take_apart(together: int):
-    """Cut runs into shorter ones of at most ``together`` suffixes, and give them as ``_least`` does.
+def _take_apart(together: int | None):
+    """Cut runs into shorter ones of at most ``together`` suffixes (None: leave them whole), and give them with their bytes.
 
-    The digit of such a run is a digest of the bytes that all suffixes at its
-    distances from the anchor share. With ``together`` 1 it is a suffix's own.
+    The digit of a whole run is its gram. That of a shorter one is a digest of
+    the bytes that all suffixes at its distances from the anchor share; with
+    ``together`` 1 these are a suffix's own.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, held, size = zstandard.ZstdDecompressor().decompress, [], 0
+        unpack, held = zstandard.ZstdDecompressor().decompress, _Held(with_bytes=True, last=together == 1)
         for batch in batches:
             for doc, packed, runs in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("runs")):
                 data = unpack(packed.as_py())
                 first, last, offset = (runs.values.field(i).to_numpy() for i in range(3))
-                first, last, offset, head = _parts(first, last, offset, together)
+                if together:
+                    first, last, offset, head = _parts(first, last, offset, together)
+                    shared = head, head - together + 1 + DEPTH
+                else:
+                    shared = first + offset, first + offset + GRAM
                 for at in range(0, max(1, len(data) - DEPTH + 1), CHUNK):
                     here = (first >= at) & (first < at + CHUNK) & (last + DEPTH <= len(data))
                     if here.any():
-                        a, b, c = first[here] - at, last[here] - at, head[here] - at
-                        h = _Hashes(np.frombuffer(data[at : at + CHUNK + 2 * DEPTH], np.uint8))
-                        shared, whole = h.of(0, c, c - together + 1 + DEPTH), h.of(1, a, b + DEPTH)
-                        digest = _mix(whole + ((c - a) * 256 + b - a).astype(np.uint64) * _MUL)
-                        held.append((shared.view(np.int64), digest.view(np.int64), np.full(len(a), doc), a + at, b + at, offset[here]))
-                        size += len(a)
-            if size >= HELD:
-                yield from _least(*map(np.concatenate, zip(*held)))
-                held, size = [], 0
-        if held:
-            yield from _least(*map(np.concatenate, zip(*held)))
+                        raw = np.frombuffer(data[at : at + CHUNK + 2 * DEPTH], np.uint8)
+                        a, b = first[here] - at, last[here] - at
+                        h = _Hashes(raw)
+                        digit = h.of(0, shared[0][here] - at, shared[1][here] - at)
+                        digest = _mix(h.of(1, a, b + DEPTH) + (offset[here] * 256 + b - a).astype(np.uint64) * _MUL)
+                        held.add(raw, a, digit.view(np.int64), digest.view(np.int64), np.full(len(a), doc), a + at, b + at, offset[here])
+                        if held.full():
+                            yield from held.give()
+        yield from held.give()
 
-    return go
+    return frugal(go)
 
 
 def _packed(docs: DataFrame, *carried: str) -> DataFrame:
-    """(doc_id, packed, carried): ids without nulls, UTF-8 text compressed (null text is empty), and some columns as a struct."""
+    """(doc_id, own_id, packed, carried): a number for each document, its id, its UTF-8 text compressed (null text is empty), and some columns as a struct."""
 
     @pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
         run = zstandard.ZstdCompressor(level=3).compress
         return texts.map(lambda t: run((t or "").encode()))
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), pack(F.col("text")).alias("packed"), *([F.struct(*carried).alias("carried")] if carried else []))
+    return docs.select(_number().alias("doc_id"), F.col("doc_id").cast("long").alias("own_id"), pack(F.col("text")).alias("packed"), *([F.struct(*carried).alias("carried")] if carried else []))
+
+
+def _number() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(NO_ID - 1) + F.lit(NO_ID))
+
+
+def _place_column(low: int, bits: int) -> Column:
+    return F.shiftright("place", low).bitwiseAND((1 << bits) - 1)
+
+
+DONE = ["doc_id", "first", "last", "offset", "open"]
+
+
+def _first_pass(rows: DataFrame) -> DataFrame:
+    """The pass over runs without bytes: ``DONE``, where runs whose digit has others are open, and spans are not; the others are left out."""
+    kind, first = _place_column(0, 2), F.shiftright("place", 16)
+    met = F.count(F.when(kind.isin(ALONE, SIGN), 1)).over(Window.partitionBy("key")) > 1
+    dealt = rows.drop("data").repartition("key").withColumn("met", met)
+    out = dealt.where((kind == SPAN) | (kind == SEVERAL) | ((kind == ALONE) & F.col("met")))
+    last = F.when(kind == SPAN, F.col("until")).otherwise(first + _place_column(2, 7))
+    return materialize(out.select("doc_id", first.alias("first"), last.alias("last"), _place_column(9, 7).alias("offset"), (kind != SPAN).alias("open")), "pass")
 
 
-def _sort_pass(rows: DataFrame, label: str) -> DataFrame:
-    """One pass over ``RUN`` rows: (doc_id, first, last, offset, open).
+def _sort_pass(rows: DataFrame) -> DataFrame:
+    """One pass over runs with their bytes, which a group is sorted by: ``DONE``.
 
-    Equal runs of a group follow each other. All but the earliest become spans
-    to be removed (open is false, last the end of their bytes). The earliest
-    stays open if its group has other digests, and else is done and left out.
+    All but the earliest of equal runs become spans to be removed (open is
+    false, last the end of their bytes). The earliest stays open if its digit
+    has other bytes, and else is done and left out.
     """
-    kind, first = F.col("place").bitwiseAND(3), F.shiftright("place", 16)
+    kind, first = _place_column(0, 2), F.shiftright("place", 16)
     is_run = kind < SIGN
-    same = Window.partitionBy("key", "digest")
+    same = Window.partitionBy("key", "data")
     group = Window.partitionBy("key")
-    digest = F.when(is_run, F.col("digest"))
     dealt = (
         rows.repartition("key")
         .withColumn("lead", F.min(F.when(is_run, F.struct("doc_id", first.alias("first")))).over(same))
-        .withColumn("mixed", (F.max(F.when(kind != SPAN, kind)).over(group) > ALONE) | (F.min(digest).over(group) != F.max(digest).over(group)))
+        .withColumn("mixed", (F.max(F.when(kind != SPAN, kind)).over(group) > ALONE) | (F.min("data").over(group) != F.max("data").over(group)))
     )
     leads = is_run & (F.col("lead") == F.struct("doc_id", first.alias("first")))
-    more = F.shiftright("place", 2).bitwiseAND(127)
-    last = F.when(kind == SPAN, F.col("digest")).when(leads, first + more).otherwise(first + more + DEPTH)
+    last = F.when(kind == SPAN, F.col("until")).when(leads, first + _place_column(2, 7)).otherwise(first + _place_column(2, 7) + DEPTH)
     out = dealt.where((kind == SPAN) | (is_run & (~leads | F.col("mixed"))))
-    return materialize(out.select("doc_id", first.alias("first"), last.alias("last"), F.shiftright("place", 9).bitwiseAND(127).alias("offset"), leads.alias("open")), label)
+    return materialize(out.select("doc_id", first.alias("first"), last.alias("last"), _place_column(9, 7).alias("offset"), leads.alias("open")), "pass")
 
 
 def _of_document(rows: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -294,22 +360,20 @@ def _of_document(rows: DataFrame, name: str, *columns: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, packed: DataFrame | None = None, together: int = 8) -> DataFrame:
     """(doc_id, spans): the bytes of ``docs`` (doc_id, text) covered by a string of ``DEPTH`` bytes that also starts earlier.
 
-    Earlier is in a document of smaller id, or in the same one before. ``spans``
-    is an array of (first, last), the end exclusive, not merged yet. Three
-    passes: runs of suffixes by the digest of their anchor; what stays open in
-    runs of at most ``together`` suffixes by the bytes these share; and then
-    suffix by suffix, by all bytes.
+    ``doc_id`` is the number of ``_packed``. Earlier is in a document of smaller
+    number, or in the same one before. ``spans`` is an array of (first, last),
+    the end exclusive, not merged yet. Four passes: runs of suffixes by their
+    gram; those that share it by all their bytes; what stays open in runs of at
+    most ``together`` suffixes, by the bytes that these share and then all; and
+    then suffix by suffix.
     """
     packed = _packed(docs) if packed is None else packed
-    runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find_runs, RUN)
-    spans = None
-    for step in (together, 1, None):
-        done = _sort_pass(runs, "pass")
-        part = done.where("NOT open").select("doc_id", "first", "last")
-        spans = part if spans is None else spans.unionByName(part)
-        if step:
-            open_runs = _of_document(done.where("open"), "runs", "first", "last", "offset")
-            runs = packed.join(open_runs, "doc_id").mapInArrow(_take_apart(step), RUN)
+    done = _first_pass(docs.select(_number().alias("doc_id"), "text").mapInArrow(_find_runs, RUN))
+    spans = done.where("NOT open").select("doc_id", "first", "last")
+    for step in (None, together, 1):
+        open_runs = _of_document(done.where("open"), "runs", "first", "last", "offset")
+        done = _sort_pass(packed.select("doc_id", "packed").join(open_runs, "doc_id").mapInArrow(_take_apart(step), RUN))
+        spans = spans.unionByName(done.where("NOT open").select("doc_id", "first", "last"))
     return _of_document(spans, "spans", "first", "last")
 
 
@@ -317,7 +381,7 @@ def _cut(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         carried = batch.column("carried") if "carried" in batch.schema.names else [None] * batch.num_rows
-        for doc, packed, spans, rest in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("spans"), carried):
+        for doc, packed, spans, rest in zip(batch.column("own_id").to_pylist(), batch.column("packed"), batch.column("spans"), carried):
             data = unpack(packed.as_py())
             first, last = np.empty(0, np.int64), np.empty(0, np.int64)
             if spans.is_valid:
@@ -330,7 +394,7 @@ def _cut(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple]:
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
-            yield make(None if doc == NO_ID else doc, data, list(zip(first.tolist(), last.tolist())), b"".join(kept), rest)
+            yield make(doc, data, list(zip(first.tolist(), last.tolist())), b"".join(kept), rest)
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept binary"
@@ -343,7 +407,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     strings are judged on the input. Null texts are empty; texts under 100
     bytes lose nothing. Rows that share an id count as one document: of equal
     rows neither is earlier, and what goes at a place of one goes at that place
-    of all. Null ids count as one id after all others. Every row gives a row.
+    of all. Rows without an id come after all others, in the order of a hash of
+    their text, and those of equal text count as one document; ids are below
+    2**62. Every row gives a row.
     """
 
     def make(doc, data, spans, kept, _):
@@ -362,14 +428,14 @@ def _rows(make, names: list[str], types: list[pa.DataType]):
         give = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for row in _cut(batches, make):
             rows.append(row)
-            size += len(row[-1] or b"") if isinstance(row[-1], bytes) else 0
-            if len(rows) == 2000 or size > 1 << 24:
+            size += sum(len(x) for x in row if isinstance(x, (bytes, str)))
+            if len(rows) == 2000 or size > 1 << 22:
                 yield give()
                 rows, size = [], 0
         if rows:
             yield give()
 
-    return run
+    return frugal(run)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
