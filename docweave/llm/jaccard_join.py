@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize, sized_join
+from docweave.llm.common import fresh, frugal, materialize, sized_join, trim_memory
 from docweave.llm.graph import connected_components
 
 SHINGLE, VALUES = 5, 128
@@ -84,7 +84,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             node, size, values = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(values, pa.binary())], names=["doc_id", "node", "n_items", "values"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SET)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), SET)
 
 
 def runs_for(recall: float, levels: int) -> int:
@@ -262,6 +262,7 @@ def _verify(num: int, den: int):
         if (side != side[0]).any():
             near &= side[:, None] != side
         root = _roots(near)
+        trim_memory()
         return pa.table({"node": pa.array(node, pa.binary()), "linked": pa.array(near @ copies), "root": pa.array([node[i] for i in root], pa.binary()), "more": pa.array([t.column("blocks")[0].as_py() > 1] * len(node), pa.bool_())})
 
     return go
@@ -318,8 +319,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     no_id = F.lit(-(1 << 63))
     classes = materialize(similarity_classes(docs, **options), "classes")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    ids = classes.groupBy(F.coalesce("doc_id", no_id).alias("_id")).agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
-    out = sized_join(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), no_id)), ids.where("NOT stays").select("_id"), "_id", "left_anti").drop("_id")
+    (key,) = fresh(docs, "id")
+    ids = classes.groupBy(F.coalesce("doc_id", no_id).alias(key)).agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
+    out = sized_join(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), no_id)), ids.where("NOT stays").select(key), key, "left_anti").select(*docs.columns)
     repeated = ids.where("stays AND n > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
@@ -338,5 +340,5 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = nodes.select(F.coalesce("least", F.lit(-(1 << 63))).alias("_key")).distinct()
     some = sized_join(docs.select(key.alias("_key"), "text"), ids, "_key", "left_semi")
-    found = some.select("text").mapInArrow(run, "node binary, packed binary")
+    found = some.select("text").mapInArrow(frugal(run), "node binary, packed binary")
     return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed"))

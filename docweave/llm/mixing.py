@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import WORD, materialize, word_count
+from docweave.llm.common import WORD, fresh, materialize, word_count
 
 
 def apportion(units: DataFrame, group: list[str], votes: str, seats: str, order: list[Column]) -> DataFrame:
@@ -130,11 +130,12 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """
     columns = docs.columns
     taken = mix(word_sizes(docs), **options).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("taken")).cast("long").alias("_taken"))
-    sized = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
+    (size,) = fresh(docs, "size")
+    sized = docs.withColumn(size, word_count(F.col("text"))).alias("d")
     t = taken.alias("t")
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size"))
+    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col(f"d.{size}") == F.col("t.size"))
     both = sized.join(t, on).where("t._taken > 0")
-    copies, rest = F.expr("cast(t._taken div d._size as int)"), F.expr("cast(t._taken % d._size as int)")
+    copies, rest = F.expr(f"cast(t._taken div d.{size} as int)"), F.expr(f"cast(t._taken % d.{size} as int)")
     part = F.when(rest > 0, F.array_join(F.slice(F.regexp_extract_all(F.col("d.text"), F.lit(WORD), F.lit(0)), F.lit(1), rest), " "))
     text = F.concat_ws("\n", F.when(copies > 0, F.array_repeat(F.col("d.text"), copies)), part)
     out = {"text": text, "n_chars": F.length(text).cast("long")}

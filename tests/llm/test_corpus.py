@@ -340,8 +340,10 @@ def test_perplexity_is_that_of_the_model(spark, docs, rows, no_docs):
     p = brute_kneser_ney(training, order)
     from pyspark.sql import functions as F
 
-    got = quality_lm.perplexity(docs, model, [F.col("doc_id")], block_rows=16).collect()
+    got = quality_lm.perplexity(docs, model, [F.col("doc_id")], block_octets=2000).collect()
     assert len(got) == len(rows)
+    few = quality_lm.perplexity(docs, model, [F.col("doc_id")], block_ngrams=50).collect()
+    assert sorted(map(str, few)) == sorted(map(str, got))
     want = {}
     for i, t in texts(rows):
         data = b"\n" * (order - 1) + t.encode()
@@ -530,6 +532,34 @@ def test_trees_tell_held_out_urls(spark):
     assert np.mean([(r.p_block >= 0.5) == (r.truth == 1.0) for r in scored]) > 0.95
 
 
+def test_suffix_statistics_leave_a_url_out(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"http://h{i}.{'a' if i % 3 else 'b'}.com/{i}", float(i % 2)) for i in range(60)]
+    labelled = url_filter.features(spark.createDataFrame(rows, "url string, label double"))
+    stats = url_filter.suffix_statistics(labelled)
+    assert {(r.suffix, r.seen, r.blocked) for r in stats.collect()} == {("a.com", 40.0, 20.0), ("b.com", 20.0, 10.0)}
+    fold = {r.url: r.fold for r in labelled.select("url", url_filter._fold("url").alias("fold")).collect()}
+    unset = 0
+    for r in url_filter.with_suffix(labelled, stats, training=True).collect():
+        others = [y for u, y in rows if u.split(".")[1] == r.url.split(".")[1] and fold[u] != fold[r.url]]
+        if r.suffix_seen == 0:
+            unset += 1
+            assert r.suffix_rate == 0.5
+        else:
+            assert r.suffix_rate == pytest.approx((sum(others) + 10) / (len(others) + 20)) and r.suffix_seen == pytest.approx(math.log1p(len(others)))
+    assert 0 < unset < 40
+    judged = url_filter.with_suffix(labelled, stats).select(F.max("suffix_seen")).first()[0]
+    assert judged == pytest.approx(math.log1p(40))
+
+
+def test_long_urls(spark):
+    urls = ["http://a.com/" + "x" * 500_000, "http://b.com/?" + "a=1&" * 100_000, "http://" + "h." * 50_000 + "com/en/"]
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(table, RULES).collect()}
+    assert [(got[i].host, got[i].path, got[i].rule) for i in range(3)] == [brute_rule(u) for u in urls]
+
+
 # nearest neighbours
 
 
@@ -568,7 +598,7 @@ def test_sized_join_gives_the_same_either_way(spark):
 
 
 def test_extra_columns_do_no_harm(spark, docs, rows):
-    clash = docs.selectExpr("*", "1 AS size", "2 AS node", "3 AS block", "4 AS quota", "5 AS spans", "6 AS packed", "7 AS trusted", "8 AS bucket", "9 AS tokens", "10 AS taken")
+    clash = docs.selectExpr("*", "1 AS size", "2 AS node", "3 AS block", "4 AS quota", "5 AS spans", "6 AS packed", "7 AS trusted", "8 AS bucket", "9 AS tokens", "10 AS taken", "11 AS _id", "12 AS _hash", "13 AS _lang", "14 AS _size", "15 AS id", "16 AS hash", "17 AS part", "18 AS key", "19 AS k0", "20 AS _SIZE_")
     assert mixing.mix(mixing.word_sizes(clash)).count() == len(rows)
     assert tokens.length_histogram(clash).agg({"n_docs": "sum"}).first()[0] == len(rows)
     assert packing.pack(clash).count() > 0
@@ -578,4 +608,14 @@ def test_extra_columns_do_no_harm(spark, docs, rows):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     assert quality_lm.keep_good(clash, labels.selectExpr("*", "1 AS trusted", "'x' AS lang")).columns == clash.columns
     assert jaccard_join.keep_one(clash).columns == clash.columns
-    assert mixing.apply_mix(clash).columns == clash.columns
+    mixed = mixing.apply_mix(clash)
+    assert mixed.columns == clash.columns and {r._size for r in mixed.select("_size").collect()} == {14}
+    names = "*", "1 AS suffix", "2 AS seen", "3 AS blocked", "4 AS folds", "5 AS fold", "6 AS host", "7 AS digest", "8 AS bytes", "9 AS payload", "10 AS _v", "11 AS shard", "12 AS salt", "13 AS rank", "14 AS label"
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/en/{i}", "<p>x</p>" if i % 2 else None) for i in range(8)], "page_id long, url string, html string")
+    assert url_filter.judge(pages.selectExpr(*names), RULES).count() == 8
+    assert sorted(map(str, warc.captures(pages.selectExpr(*names)).collect())) == sorted(map(str, warc.captures(pages).collect()))
+    vectors = spark.createDataFrame([(i, [float(i + 1), float(i % 3)]) for i in range(30)] + [(20, [5.0, 1.0]), (20, [5.0, 1.0]), (20, [-1.0, 2.0])], "vec_id long, embedding array<double>")
+    near = hnsw.nearest(vectors.selectExpr(*names))
+    assert sorted(near.collect()) == sorted(hnsw.nearest(vectors).collect())
+    # Repeated rows: an id's different vectors are queries each, and none of them is its own id's neighbour.
+    assert {r.query_id for r in near.collect()} == {0, 20} and not near.where("query_id = vec_id").count()
