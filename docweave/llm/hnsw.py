@@ -2,8 +2,8 @@
 
 A shard's graph is kept as flat arrays: the vectors, and per layer the nodes and
 a fixed number of neighbours of each (-1 where there are fewer). Equal vectors
-are one node. Queries search every shard, in blocks, and the shards' results
-are merged.
+are one node. Queries stream past every shard, and the shards' results are
+merged.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import materialize
+from docweave.llm.common import frugal, materialize, sized_join, trim_memory
 
 
 class Hnsw:
@@ -172,8 +172,8 @@ def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return rows.where(v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda x: x != 0)).select("vec_id", F.transform(v, lambda x: x + 0.0).alias("embedding"))
 
 
-def build(vectors: DataFrame, shard_rows: int = 8192, keep: int = 21, m: int = 16, breadth: int = 80) -> DataFrame:
-    """One index row per shard of all ``vectors`` (vec_id, embedding).
+def build(vectors: DataFrame, shard_rows: int = 8192, keep: int = 21, m: int = 16, breadth: int = 80, shard_octets: int = 1 << 25) -> DataFrame:
+    """One index row per shard of all ``vectors`` (vec_id, embedding): at most about ``shard_rows`` vectors, and ``shard_octets`` of components.
 
     A vector's shard follows from its components, so equal ones meet and are
     one node; of their ids the ``keep`` smallest are kept, which is all that
@@ -185,8 +185,9 @@ def build(vectors: DataFrame, shard_rows: int = 8192, keep: int = 21, m: int = 1
     some = Window.partitionBy("digest", "embedding", "salt").orderBy("vec_id")
     few = named.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= keep)
     nodes = few.groupBy("digest", "embedding").agg(least(F.collect_list("vec_id")).alias("ids"))
-    nodes = materialize(nodes, "nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    nodes = materialize(nodes.withColumn("dims", F.size("embedding")), "nodes")
+    most = F.least(F.lit(shard_rows), F.greatest(F.lit(1), F.floor(shard_octets / (8 * F.col("dims")))))
+    per_dims = nodes.groupBy("dims").agg(F.count("*").alias("n")).select("dims", F.ceil(F.col("n") / most).alias("shards"))
 
     def index(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("digest").to_numpy(), kind="stable")
@@ -194,52 +195,67 @@ def build(vectors: DataFrame, shard_rows: int = 8192, keep: int = 21, m: int = 1
         originals = vectors.flatten().to_numpy().reshape(len(t), -1)[order]
         ids = [t.column("ids")[int(i)].as_py() for i in order]
         graph = Hnsw(originals, m, breadth)
+        trim_memory()
         row = (t.column("shard")[0].as_py(), *graph.flat(), np.ascontiguousarray(originals).tobytes(), originals.shape[1], np.array([x for g in ids for x in g], np.int64).tobytes(), np.cumsum([len(g) for g in ids]).astype(np.int64).tobytes())
         types = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array([x], k) for x, k in zip(row, types)], names=[c.split()[0] for c in INDEX.split(", ")])
 
-    dealt = nodes.withColumn("shard", F.pmod("digest", F.lit(shards)).cast("int")).withColumn("dims", F.size("embedding"))
+    dealt = sized_join(nodes, per_dims, "dims", "inner").withColumn("shard", F.pmod("digest", "shards").cast("int")).drop("shards")
     return materialize(dealt.groupBy("shard", "dims").applyInArrow(index, INDEX), "index")
 
 
 FOUND = "query_id long, vec_id long, score double"
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, breadth: int = 120, block_rows: int = 4096) -> DataFrame:
+class _Shard:
+    """A shard's graph with its vectors in double precision and their ids."""
+
+    def __init__(self, row: dict):
+        self.graph = Hnsw.from_flat(row["vectors"], row["width"], row["m"], row["entry"], row["layers"], row["near"])
+        self.originals = np.frombuffer(row["originals"], np.float64).reshape(-1, row["dims"])
+        self.ids, self.ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+
+    def nearest(self, query: int, q: np.ndarray, k: int, breadth: int) -> list[tuple[float, int]]:
+        """The best (score, id), the query's own id left out."""
+        nodes = self.graph.search(q, breadth)
+        scores = np.array([float(np.dot(self.originals[i], q)) for i in nodes])
+        best = []
+        for at in np.argsort(-scores, kind="stable"):
+            i = int(nodes[at])
+            best += [(-float(scores[at]), int(j)) for j in self.ids[self.ends[i - 1] if i else 0 : self.ends[i]] if j != query]
+        return [(-s, j) for s, j in sorted(best)[:k]]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 20, breadth: int = 120) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found, by inner product in double precision.
 
-    ``queries`` (vec_id, embedding) go to every shard of their dimension, at
-    most about ``block_rows`` to a task; the query's own row is no candidate.
-    Ties go to the smaller id. Queries that share an id are searched once for
-    each different vector.
+    ``queries`` (vec_id, embedding) pass by every shard of their dimension: a
+    task reads its shard's row, which sorting puts first, and then the queries
+    batch by batch, so the index moves once and no task holds the queries. The
+    query's own id is no candidate. Ties go to the smaller id. Queries that
+    share an id are searched once for each different vector, and ranked
+    together.
     """
-    blocks = max(1, -(-queries.count() // block_rows))
-    shards = index.select("shard", F.col("dims"))
-    asked = queries.where("vec_id IS NOT NULL").distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("dims", F.size("embedding"))
-    asked = asked.join(F.broadcast(shards.groupBy("dims").agg(F.collect_set("shard").alias("shards"))), "dims").select(F.explode("shards").alias("shard"), "dims", "block", "vec_id", "embedding")
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if len(left) and len(right):
-            x = left.to_pylist()[0]
-            graph = Hnsw.from_flat(x["vectors"], x["width"], x["m"], x["entry"], x["layers"], x["near"])
-            originals = np.frombuffer(x["originals"], np.float64).reshape(-1, x["dims"])
-            ids, ends = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["ends"], np.int64)
-            for query, vector in zip(right.column("vec_id").to_pylist(), right.column("embedding")):
-                q = vector.values.to_numpy()
-                nodes = graph.search(q, breadth)
-                scores = np.array([float(np.dot(originals[i], q)) for i in nodes])
-                best = []
-                for at in np.argsort(-scores, kind="stable"):
-                    i = int(nodes[at])
-                    best += [(-float(scores[at]), int(j)) for j in ids[ends[i - 1] if i else 0 : ends[i]] if j != query]
-                for s, j in sorted(best)[:k]:
-                    out.append((query, j, -s))
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    found = copies.groupBy("shard", "dims", "block").cogroup(asked.groupBy("shard", "dims", "block")).applyInArrow(run, FOUND)
+    shards = index.select("dims", "shard")
+    asked = queries.where("vec_id IS NOT NULL").distinct().withColumn("dims", F.size("embedding"))
+    asked = sized_join(asked, shards, "dims", "inner").select("dims", "shard", F.lit(1).alias("kind"), F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    columns = [c for c in index.columns if c not in ("dims", "shard")]
+    stream = index.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True).select("dims", "shard", "kind", "query", "vector", *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            out = []
+            kinds, ids, vectors = batch.column("kind").to_pylist(), batch.column("query").to_pylist(), batch.column("vector")
+            for i, kind in enumerate(kinds):
+                if kind == 0:
+                    shard = _Shard(batch.slice(i, 1).to_pylist()[0])
+                else:
+                    out += [(ids[i], j, s) for s, j in shard.nearest(ids[i], vectors[i].values.to_numpy(), k, breadth)]
+            rows = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    found = stream.repartition("dims", "shard").sortWithinPartitions("dims", "shard", "kind").mapInArrow(frugal(run), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
