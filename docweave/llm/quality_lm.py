@@ -241,7 +241,7 @@ def _deal(schema: pa.Schema, order: int, octets: int, ngrams: int):
     return frugal(run)
 
 
-def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_octets: int = 1 << 24, block_ngrams: int = 1 << 20, part: Column | None = None) -> DataFrame:
+def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_octets: int = 1 << 23, block_ngrams: int = 1 << 19, part: Column | None = None) -> DataFrame:
     """Perplexity a byte of every whole text, with the columns ``keep`` of ``docs``; null for null and empty texts.
 
     Tasks deal the texts they read into blocks of at most about ``block_octets``
