@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, extract, mrz, text
-from docweave.operators import matching, order, reconcile, rules
+from docweave.operators import matching, order, passport, reconcile, rules
 from docweave.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,6 +556,125 @@ def q_report(spark, sf_dir):
     return writers.check_report(q_compare(spark, sf_dir))
 
 
+# Readings of pages
+
+
+@query("""
+WITH c AS (SELECT user_id AS entity, event_type AS word, count(*) AS n, event_type IN ('purchase', 'signup') AS known FROM events GROUP BY ALL),
+k AS (SELECT *, bool_or(known) OVER (PARTITION BY entity) AS outranked FROM c), r AS (SELECT * FROM k WHERE known OR NOT outranked), m AS (SELECT entity, max(n) AS most FROM r GROUP BY entity)
+SELECT m.entity, CASE WHEN count(*) = 1 AND (most >= 2 OR bool_or(known)) THEN min(word) END AS word FROM m JOIN r ON r.entity = m.entity AND r.n = m.most GROUP BY m.entity, most""")
+def q_agreed_word(spark, sf_dir):
+    """The event type most of a user's events give, where two types outrank the others."""
+    words = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("word"))
+    return passport.agreed_word(words, spark.createDataFrame([("purchase",), ("signup",)], "word string"))
+
+
+@query("""
+WITH d AS (SELECT o_custkey AS entity, o_orderdate::DATE AS day, count(*) AS votes FROM orders GROUP BY ALL),
+k AS (SELECT entity, CASE WHEN entity % 3 = 0 THEN min(day) END AS birth, CASE WHEN entity % 2 = 0 THEN (min(day) + INTERVAL 10 YEAR)::DATE END AS expiry FROM d GROUP BY entity),
+a AS (SELECT entity, day, votes + CASE WHEN strftime(day, '%m-%d') = strftime(expiry, '%m-%d') AND year(expiry) - year(day) IN (5, 10) THEN 2 ELSE 0 END AS votes FROM d JOIN k USING (entity)
+  WHERE coalesce(day > birth, true) AND coalesce(day < expiry AND year(day) >= year(expiry) - 10, true) AND day <= DATE '1996-06-30'),
+t AS (SELECT entity, max(votes) AS votes FROM a GROUP BY entity)
+SELECT entity, min(day) AS issued, votes FROM a JOIN t USING (entity, votes) GROUP BY ALL HAVING count(*) = 1""")
+def q_issue_date(spark, sf_dir):
+    """A customer's order dates taken as readings of a day of issue."""
+    d = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("votes"))
+    least = d.groupBy("entity").agg(F.min("day").alias("day"))
+    known = least.select("entity", F.when(F.col("entity") % 3 == 0, F.col("day")).alias("birth"), F.when(F.col("entity") % 2 == 0, F.add_months("day", 120)).alias("expiry"))
+    return passport.issue_date(d, known, F.lit("1996-06-30").cast("date"))
+
+
+@query("""SELECT c_custkey AS entity, 'r' AS reader, (c_custkey % 3 <> 0)::BIGINT + (c_custkey % 5 <> 0)::BIGINT + 1 AS correct, 3::BIGINT AS attempted FROM customer""")
+def q_score(spark, sf_dir):
+    """Fields read right, of an expected number, date and name."""
+    k = F.col("c_custkey")
+    field = lambda n, c: F.struct(F.lit(n).alias("field"), c.cast("string").alias("value"))
+    rows = lambda *f: table(spark, sf_dir, "customer").select(k.alias("entity"), F.explode(F.array(*f)).alias("f")).select("entity", "f.field", "f.value")
+    expected = rows(field("documentNumber", k), field("birthDate", F.lit("1985-07-13")), field("surname", F.col("c_mktsegment")))
+    read = rows(field("documentNumber", F.when(k % 3 == 0, (k + 1).cast("string")).otherwise(F.concat(F.lit(" - "), k.cast("string")))), field("birthDate", F.when(k % 5 != 0, "850713")), field("surname", F.concat("c_mktsegment", F.lit("KKK"))))
+    return passport.score_readings(read.withColumn("reader", F.lit("r")), expected)
+
+
+@query("""
+WITH h AS (SELECT c_custkey AS entity, c_nationkey::VARCHAR AS held FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT s_suppkey AS entity, s_nationkey::VARCHAR AS got, s_suppkey % 3 = 0 AS printed FROM supplier)
+SELECT entity, 'nation' AS field, CASE WHEN printed THEN coalesce(held, got) ELSE coalesce(got, held) END AS value FROM h FULL JOIN r USING (entity) WHERE entity % 7 <> 0""")
+def q_keep_read(spark, sf_dir):
+    """Nations held for customers with those read for suppliers."""
+    held = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("entity"), F.lit("nation").alias("field"), F.col("c_nationkey").cast("string").alias("value"))
+    read = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), F.lit("nation").alias("field"), F.col("s_nationkey").cast("string").alias("value"), (F.col("s_suppkey") % 3 == 0).alias("printed"))
+    disputed = held.select("entity", "field").unionByName(read.select("entity", "field")).where("entity % 7 = 0")
+    return passport.keep_read(held, read, disputed)
+
+
+@query("""
+SELECT c_custkey AS doc, rpad('P<UTO' || c_mktsegment || '<<OLGA', 44, '<') AS line1, rpad(lpad(c_custkey::VARCHAR, 9, '0') || '0UTO8507131F3102286<<<<<<00', 44, '<') AS line2 FROM customer WHERE c_custkey % 4 <> 0""")
+def q_zone_lines(spark, sf_dir):
+    """The zone among a page's lines; where its second line lost a glyph, there is none."""
+    number = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    second = F.concat(F.when(F.col("c_custkey") % 4 == 0, F.substring(number, 2, 8)).otherwise(number), F.lit("0uto 8507131 F3102286<<<<<<00"))
+    first = F.concat(F.lit("P<UTO"), F.col("c_mktsegment"), F.lit("<<0LGA<<<<<<<<<<<<<<<<<<<<<<"))
+    lines = F.array(F.lit("UTOPIA PASSPORT"), second, F.lit("a line that is long enough but says nothing"), first)
+    return passport.zone_lines(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.posexplode(lines).alias("line_no", "line")))
+
+
+@query("""
+SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'ФМС' WHEN 1 THEN 'МВД' END AS body, CASE n_nationkey % 4 WHEN 2 THEN 'Г/К РОССИИ, БЕРЛИН' WHEN 3 THEN 'ПОСОЛЬСТВО РОССИИ, НЬЮ ДЕЛИ' END AS consulate FROM nation""")
+def q_authority(spark, sf_dir):
+    """Issuing bodies in readings with letters of the wrong alphabet."""
+    k = F.col("n_nationkey") % 4
+    said = F.when(k == 0, "УФMC 770-001").when(k == 1, "xx MBД").when(k == 2, "Г/К POCCИИ, БЕРЛИН").otherwise("ПОСОЛЬСТБО РОССИИ в Нью Дели Индия")
+    return table(spark, sf_dir, "nation").select("n_nationkey", passport.authority_body(said).alias("body"), passport.consular_authority(said).alias("consulate"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Tourist' ELSE c_mktsegment END AS purpose, CASE WHEN c_nationkey = 0 THEN 'No' WHEN c_acctbal > 0 THEN 'Yes' ELSE 'No' END AS credit FROM customer""")
+def q_defaults(spark, sf_dir):
+    """Blank answers with their defaults, booleans as Yes and No."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_mktsegment")).alias("purpose"), F.when(F.col("c_nationkey") != 0, F.col("c_acctbal") > 0).alias("credit"))
+    return passport.with_defaults(c, {"purpose": "Tourist"}).withColumn("credit", passport.yes_or_no(F.col("credit"), "No"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'contains O' WHEN 3 THEN 'is empty' END AS fault FROM orders""")
+def q_date_fault(spark, sf_dir):
+    """Texts that can't be dates."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 4
+    said = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, "O2/O3/199O").when(k == 2, F.date_format(d, "d MMMM yyyy")).otherwise(" ")
+    return table(spark, sf_dir, "orders").select("o_orderkey", passport.date_fault(said).alias("fault"))
+
+
+@query("""SELECT c_custkey, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS place FROM customer""")
+def q_between(spark, sf_dir):
+    """Values between two labels of a page's text."""
+    page = F.concat(F.lit("Name  "), "c_name", F.lit("\nDate of birth 1.1.90 Place:\n"), "c_mktsegment", F.when(F.col("c_nationkey") % 2 == 0, " Sex F").otherwise(" F"))
+    return table(spark, sf_dir, "customer").select("c_custkey", passport.field_between(page, "Name", "Date").alias("name"), passport.field_between(page, "Place:", "Sex").alias("place"))
+
+
+@query("""
+SELECT c_custkey AS entity, 1 AS section, 'segment=' || c_mktsegment || ',name=' || c_name AS fields FROM customer UNION ALL SELECT c_custkey, 99, 'nation=' || c_nationkey FROM customer""")
+def q_sections(spark, sf_dir):
+    """A record's fields by the parts of a form."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.explode(F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string"))).alias("field", "value"))
+    placed = passport.by_section(c, spark.createDataFrame([("name", 1, 2), ("segment", 1, 1)], "field string, section int, place int"))
+    return placed.select("entity", "section", F.array_join(F.transform("fields", lambda f: F.concat(f["field"], F.lit("="), f["value"])), ",").alias("fields"))
+
+
+@query("""
+SELECT n_name AS source, n_name || '.html' AS target, CASE n_regionkey WHEN 0 THEN 'already named' WHEN 1 THEN 'renamed' ELSE 'missing' END AS outcome FROM nation""")
+def q_rename(spark, sf_dir):
+    """What becomes of files that a mapping names."""
+    n = table(spark, sf_dir, "nation")
+    target = F.concat("n_name", F.lit(".html"))
+    existing = n.where("n_regionkey < 2").select(F.when(F.col("n_regionkey") == 0, target).otherwise(F.col("n_name")).alias("name"))
+    return passport.rename_plan(n.select(F.col("n_name").alias("source"), target.alias("target")), existing)
+
+
+@query("""SELECT DISTINCT source AS commit, doc_id::VARCHAR AS path FROM documents WHERE (contains(text, 'the.') OR contains(text, 'señor') OR contains(text, '[x]')) AND lang <> 'fr'""")
+def q_holding(spark, sf_dir):
+    """Documents, but French ones, that hold any of some values, by source."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("commit"), F.col("doc_id").cast("string").alias("path"), "text", "lang")
+    return passport.holding(d, ["the.", "señor", "[x]"], F.col("lang") != "fr")
+
+
 # Names under which queries above have also been known
 
 
