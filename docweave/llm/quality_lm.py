@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.functions import pandas_udf
 
 from docweave.llm.common import fresh, frugal, materialize, sized_join, trim_memory
 
@@ -176,94 +175,58 @@ class KneserNey:
         return below
 
 
-def _unpack(packed: bytes | None) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
-
-
-class _Block:
-    """The n-grams of some texts of one part, until their block is closed."""
-
-    def __init__(self, number: int, order: int):
-        self.number, self.order, self.size, self.keys, self.pending, self.waiting = number, order, 0, np.empty(0, np.int64), [], 0
-
-    def add(self, data: bytes) -> None:
-        self.size += len(data)
-        self.waiting += len(data)
-        self.pending.append(data)
-        if self.waiting >= CHUNK:
-            self.merge()
-
-    def merge(self) -> None:
-        if self.pending:
-            self.keys = np.union1d(self.keys, _distinct(self.pending, self.order)[0])
-            self.pending, self.waiting = [], 0
+def packed(text: Column) -> Column:
+    @pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return texts.map(lambda t: None if t is None else pack(t.encode()))
 
-    def full(self, octets: int, ngrams: int) -> bool:
-        return self.size >= octets or len(self.keys) >= ngrams
+    return run(text)
 
 
-def _deal(schema: pa.Schema, order: int, octets: int, ngrams: int):
-    """Texts, compressed, with the number of their block, and the distinct n-grams of each block as rows of their own."""
-    n_keep = len(schema) - 3
+def _unpack(packed: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
 
-    def give(block: _Block, part: int) -> Iterator[pa.RecordBatch]:
-        block.merge()
-        keys = block.keys | part << 8 * order
-        for i in range(0, len(keys), 1 << 16):
-            some = pa.array(keys[i : i + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), f.type) for f in schema][:n_keep], pa.array(np.full(len(some), block.number, np.int64)), pa.nulls(len(some), pa.binary()), some], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, number, open_blocks = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32, {}
-        for batch in batches:
-            parts, texts = batch.column(n_keep).to_pylist(), batch.column(n_keep + 1)
-            blocks, packed, start, size = [], [], 0, 0
-            for i, part in enumerate(parts):
-                if part not in open_blocks:
-                    open_blocks[part] = _Block(number, order)
-                    number += 1
-                block = open_blocks[part]
-                text = texts[i].as_py()
-                data = b"" if text is None else text.encode()
-                blocks.append(block.number)
-                packed.append(None if text is None else pack(data))
-                size += len(data)
-                block.add(data)
-                if size >= CHUNK or i + 1 == len(parts):
-                    kept = batch.slice(start, i + 1 - start).columns[:n_keep]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(blocks, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(blocks), pa.int64())], schema=schema)
-                    blocks, packed, start, size = [], [], i + 1, 0
-                if block.full(octets, ngrams):
-                    yield from give(open_blocks.pop(part), part)
-        for part, block in open_blocks.items():
-            yield from give(block, part)
-
-    return frugal(run)
-
-
-def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_octets: int = 1 << 23, block_ngrams: int = 1 << 19, part: Column | None = None) -> DataFrame:
+def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_octets: int = 3 << 23, part: Column | None = None) -> DataFrame:
     """Perplexity a byte of every whole text, with the columns ``keep`` of ``docs``; null for null and empty texts.
 
-    Tasks deal the texts they read into blocks of at most about ``block_octets``
-    of text, or ``block_ngrams`` distinct n-grams; a longer text is a block of
-    its own, so no block depends on how many rows share an id. Texts and blocks'
-    n-grams are written once. A block's distinct n-grams, not its documents',
-    are joined with the counts, and the texts travel once, compressed, to meet
-    the answers. A frequent n-gram is asked for by every block: that join leans
-    on the splitting of skewed partitions by adaptive execution. ``part`` tells
-    the part of the model that scores a text; a block has texts of one part.
+    Texts travel compressed to one of about octets / ``block_octets`` blocks
+    dealt by a hash of the text and its id, so a block's size is bounded by the
+    bytes of its texts; only rows that repeat both share a block for sure. A
+    block's distinct n-grams, not its documents', are joined with the counts. A
+    frequent n-gram is asked for by every block: that join leans on the
+    splitting of skewed partitions by adaptive execution. ``part`` tells the
+    part of the model that scores a text; a block has texts of one part.
     """
     order = model.order
     part = (F.lit(0) if part is None else part).cast("long")
+    blocks, first, start = F.lit(1), F.lit(0), 0
+    for p, n in sorted(tuple(r) for r in docs.groupBy(part.alias("part")).agg(F.sum(F.octet_length("text"))).collect()):
+        some = max(1, -(-(n or 0) // block_octets))
+        blocks, first = F.when(part == p, some).otherwise(blocks), F.when(part == p, start).otherwise(first)
+        start += some
     names = [f"k{i}" for i in range(len(keep))]
-    source = docs.select(*[c.alias(n) for c, n in zip(keep, names)], part.alias("part"), F.col("text"))
-    kept = ", ".join(f"{n} {t}" for n, t in source.select(*names).dtypes)
-    dealt = StructType.fromDDL(f"{kept}, block long, packed binary, key long")
-    rows = materialize(source.mapInArrow(_deal(to_arrow_schema(dealt), order, block_octets, block_ngrams), dealt), "dealt")
-    asked = rows.where("key IS NOT NULL").select("block", "key")
+    dealt = docs.select(
+        *[c.alias(n) for c, n in zip(keep, names)],
+        (first + F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), blocks)).cast("long").alias("block"),
+        part.alias("part"),
+        packed(F.col("text")).alias("packed"),
+    )
+
+    def ask(t: pa.Table) -> pa.Table:
+        keys, _ = _distinct((_unpack(x.as_py()) for x in t.column("packed")), order)
+        block = t.column("block")[0].as_py()
+        keys |= t.column("part")[0].as_py() << 8 * order
+        trim_memory()
+        return pa.table({"block": pa.array(np.full(len(keys), block, np.int64)), "key": pa.array(keys)})
+
+    asked = materialize(dealt.groupBy("block").applyInArrow(ask, "block long, key long"), "asked")
     answers = model.probabilities(asked.select("key").distinct())
     answers = asked.join(answers, "key").select("block", "key", F.log("p").alias("log_p"))
 
+    schema = ", ".join(f"{n} {t}" for n, t in docs.select(*[c.alias(n) for c, n in zip(keep, names)]).dtypes)
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, logs = right.column("key").to_numpy(), right.column("log_p").to_numpy()
         at = np.argsort(keys)
@@ -276,12 +239,10 @@ def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_octe
                 part = ngram_keys(data[i : i + CHUNK], order) if i == 0 else ngram_keys(data[i - order + 1 : i + CHUNK], order)[order - 1 :]
                 total += logs[np.searchsorted(keys, part)].sum()
             out.append(float(np.exp(-total / len(data))) if data else None)
-        table = left.select(names).append_column("perplexity", pa.array(out, pa.float64()))
         trim_memory()
-        return table
+        return left.select(names).append_column("perplexity", pa.array(out, pa.float64()))
 
-    texts = rows.where("key IS NULL").select(*names, F.col("block").alias("own"), "packed")
-    return texts.groupBy("own").cogroup(answers.groupBy("block")).applyInArrow(score, f"{kept}, perplexity double")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"{schema}, perplexity double")
 
 
 def trusted_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:

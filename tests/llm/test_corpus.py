@@ -342,8 +342,6 @@ def test_perplexity_is_that_of_the_model(spark, docs, rows, no_docs):
 
     got = quality_lm.perplexity(docs, model, [F.col("doc_id")], block_octets=2000).collect()
     assert len(got) == len(rows)
-    few = quality_lm.perplexity(docs, model, [F.col("doc_id")], block_ngrams=50).collect()
-    assert sorted(map(str, few)) == sorted(map(str, got))
     want = {}
     for i, t in texts(rows):
         data = b"\n" * (order - 1) + t.encode()
