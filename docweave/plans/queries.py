@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, extract, mrz, text
-from docweave.operators import matching, order, passport, reconcile, rules
+from docweave.operators import matching, order, passport, reconcile, rules, wording
 from docweave.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,6 +675,124 @@ def q_holding(spark, sf_dir):
     return passport.holding(d, ["the.", "señor", "[x]"], F.col("lang") != "fr")
 
 
+# Wording of people, tickets and sites
+
+
+@query("SELECT doc_id, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}', 'i') THEN '{name}'" for p, name in wording.RELATIONSHIPS) + " END AS relationship FROM documents")
+def q_relationship(spark, sf_dir):
+    """The relationship that each whole text names first."""
+    return table(spark, sf_dir, "documents").select("doc_id", wording.relationship_in(F.col("text")).alias("relationship"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS written FROM orders""")
+def q_written_date(spark, sf_dir):
+    """Dates written in words of two languages or in digits."""
+    months = F.split(F.lit("января февраля марта апреля мая июня июля августа сентября октября ноября декабря"), " ")
+    d, key = F.col("o_orderdate"), F.col("o_orderkey")
+    russian = F.concat_ws(" ", F.dayofmonth(d), F.get(months, F.month(d) - 1), F.year(d), F.lit("года"))
+    said = F.when(key % 11 == 0, "17 of no month").when(key % 3 == 0, russian).when(key % 3 == 1, F.date_format(d, "d.M.yyyy")).otherwise(F.date_format(d, "d MMMM, yyyy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", wording.written_date(F.concat(F.lit("on "), said)).alias("written"))
+
+
+@query("""
+SELECT o_orderkey, (o_orderdate::DATE - INTERVAL 40 YEAR)::DATE AS birth, (o_orderdate::DATE - to_years(CASE WHEN o_orderkey % 5 = 0 THEN 8 ELSE 5 END))::DATE AS issue, o_orderdate::DATE AS expiry FROM orders""")
+def q_assign_dates(spark, sf_dir):
+    """Printed dates told apart, with a zone that gives both, one or none of birth and expiry, or one that isn't printed."""
+    e, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    ago = lambda years: F.add_months(e, -12 * years)
+    printed = F.array(ago(40), ago(8), F.when(key % 5 != 0, ago(5)), e, e)
+    found = wording.assign_dates(printed, F.when(key % 2 == 0, ago(40)), F.when(key % 3 == 0, e).when(key % 3 == 1, ago(50)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("f")).select("o_orderkey", "f.birth", "f.issue", "f.expiry")
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'waiting' WHEN 'F' THEN 'granted' ELSE 'unknown' END AS meaning,
+       CASE o_orderkey % 4 WHEN 0 THEN 'Travel' WHEN 1 THEN 'Study abroad' WHEN 2 THEN o_orderstatus END AS purpose, CASE o_orderkey % 4 WHEN 0 THEN 'Hotel' WHEN 1 THEN 'Hotel' WHEN 2 THEN 'Hotel' END AS stay,
+       CASE o_orderkey % 3 WHEN 0 THEN 'Noi Bai Int Airport (Ha Noi)' WHEN 1 THEN 'Da Nang Int Airport (Da Nang)' END AS gate
+FROM orders""")
+def q_named(spark, sf_dir):
+    """Statuses, purposes, stays and gates in a form's words."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    said = F.when(key % 4 == 0, " Tourism").when(key % 4 == 1, "STUDY").when(key % 4 == 2, F.concat(status, F.lit(" "))).otherwise(F.when(key % 8 == 3, ""))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        wording.status_meaning(F.when(status == "O", "Still Processing").when(status == "F", " GRANTED, see mail ").otherwise(status)).alias("meaning"),
+        wording.purpose_named(said).alias("purpose"),
+        wording.stay_named(said).alias("stay"),
+        wording.gate_from_ticket(F.when(key % 3 == 0, "HANOI NOI BAI"), F.when(key % 3 == 1, "Da Nang")).alias("gate"),
+    )
+
+
+@query("""SELECT source AS chat, count(*) AS noise FROM documents WHERE doc_id % 3 = 0 OR regexp_matches(text, 'forter\\.com', 'i') GROUP BY source""")
+def q_noise(spark, sf_dir):
+    """Lines of a site's own by source."""
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" https://www.Google-Analytics.com/x"))).otherwise(F.col("text"))
+    return wording.noise_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("chat"), line.alias("line")))
+
+
+@query("""
+SELECT o_orderkey, 'visaNumber' AS field, 'nineDigits' AS why, NULL::INTEGER AS days FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 UNION ALL
+SELECT o_orderkey, 'passportExpiryDate', 'tooCloseToVisa', (o_orderkey % 60)::INTEGER FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 60 < 30""")
+def q_refusals(spark, sf_dir):
+    """What a site will refuse of visas made of orders."""
+    key, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    number = F.concat(F.lpad(key.cast("string"), 9, "0"), F.when(key % 5 == 0, "1").otherwise(""), F.when(key % 2 == 0, " /ev").otherwise(""))
+    found = wording.refusals(number, F.when(key % 3 != 0, "Single E-Visa").otherwise("sticker"), d, F.when(key % 7 != 0, F.date_add(d, (key % 60).cast("int"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(found))
+
+
+@query("""
+SELECT c_custkey AS left_id, s_suppkey AS right_id FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 AND c_custkey % 2 = 0 AND s_suppkey % 3 <> 0""")
+def q_same_address(spark, sf_dir):
+    """Customers and suppliers of one flat."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    left = table(spark, sf_dir, "customer").select(c.alias("id"), F.lit(True).alias("house_matches"), (c % 50).alias("osm_id"), F.when(c % 2 == 1, "7").alias("flat"))
+    right = table(spark, sf_dir, "supplier").select(s.alias("id"), (s % 3 != 0).alias("house_matches"), (s % 50).alias("osm_id"), F.lit("").alias("flat"))
+    return wording.same_address(left, right)
+
+
+@query("""
+SELECT c_custkey AS entity, 1 AS idx, 'Ward of ' || n_name AS ward, '"Quận ' || n_name || '" is a former district; the form now lists it as Ward of ' || n_name || '.' AS note
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 <> 0 AND n_nationkey <> 3""")
+def q_ward(spark, sf_dir):
+    """Wards of former districts that addresses name."""
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    part = F.concat(F.when(F.col("c_custkey") % 4 != 0, "Quận ").otherwise(""), "n_name")
+    parts = c.select(F.col("c_custkey").alias("entity"), F.posexplode(F.array(F.col("c_name"), part, part)).alias("idx", "part"))
+    wards = n.select(text.place_key(F.col("n_name")).alias("district"), F.concat(F.lit("Ward of "), "n_name").alias("ward"))
+    return wording.ward_from_district(parts, wards, wards.join(n.where("n_nationkey <> 3"), F.col("ward").endswith(F.concat(F.lit(" "), "n_name"))).select("ward"))
+
+
+@query("""SELECT avg(y) AS y FROM (SELECT min(l_quantity) AS y FROM lineitem WHERE l_quantity BETWEEN 10 AND 30 GROUP BY l_orderkey)""")
+def q_calibrated(spark, sf_dir):
+    """The mean first hit of an order."""
+    return wording.calibrated_row(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_quantity").alias("y")), 10.0, 30.0)
+
+
+@query("""SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND ts > TIMESTAMP '2024-02-01' - INTERVAL 20 DAY AND user_id <> 1""")
+def q_mail_filter(spark, sf_dir):
+    """Events as mails, by words, senders and age."""
+    sender = F.concat(F.lit("<u"), F.col("user_id").cast("string"), F.lit("@mail.com>"))
+    wanted = wording.mail_filter(F.col("event_type"), sender, F.col("ts"), F.lit("2024-02-01").cast("timestamp"), ["MAIL"], ["Click", "view", "error"], 20, ("error", "<u1@mail.com"))
+    return table(spark, sf_dir, "events").where(wanted).select("event_id")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'document' WHEN doc_id % 2 = 0 THEN 'photo' ELSE 'text' END AS kind,
+       CASE WHEN length(text) > 4000 THEN left(text, 4000) || '…' ELSE nullif(text, '') END AS text,
+       CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 2 = 0 THEN 'large' END AS file_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN n_chars END AS bytes, lower(source) AS sent, 'a,b,c' AS buttons
+FROM documents""")
+def q_entries(spark, sf_dir):
+    """Documents as messages that came in and went out."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    photos = F.when(k % 2 == 0, F.array(F.struct(F.lit("small").alias("id"), (n - 1).alias("bytes")), F.struct(F.lit("large").alias("id"), n.alias("bytes"))))
+    document = F.when(k % 3 == 0, F.struct(F.col("lang").alias("id"), F.col("source").alias("name"), n.alias("bytes")))
+    rows = F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")))
+    entries = table(spark, sf_dir, "documents").select("doc_id", wording.incoming_entry(F.col("text"), F.lit(""), photos, document).alias("i"), wording.outgoing_entry(F.concat(F.lit("send"), "source"), F.lit(None).cast("string"), F.lit(""), rows).alias("o"))
+    return entries.select("doc_id", "i.kind", "i.text", F.col("i.file.id").alias("file_id"), F.col("i.file.bytes").alias("bytes"), F.col("o.kind").alias("sent"), F.array_join("o.buttons", ",").alias("buttons"))
+
+
 # Names under which queries above have also been known
 
 
