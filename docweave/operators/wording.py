@@ -226,3 +226,32 @@ def mail_filter(body: Column, sender: Column, at: Column, as_of: Column, senders
     has_any = lambda words: reduce(lambda a, b: a | b, [said.contains(w.lower()) for w in words], F.lit(False))
     barred = [F.lower(text(sender)).contains(w.lower()) if "." in w else said.contains(w.lower()) for w in exclude]
     return has_any(senders) & has_any(keywords) & (at > as_of - F.expr(f"INTERVAL {int(days)} DAYS")) & ~reduce(lambda a, b: a | b, barred, F.lit(False))
+
+
+def provenance(values: DataFrame, supplied: DataFrame, origins: DataFrame, disputed: DataFrame) -> DataFrame:
+    """(entity, field, value, mark): where each of ``values`` (entity, field, value) comes from.
+
+    "given" if ``supplied`` (entity, field) has it, "derived" if that has any
+    field from which ``origins`` (field, origin) says it follows, else
+    "assumed". A field without a value is left out, but for one that is
+    ``disputed`` (entity, field): that is "disputed".
+    """
+    given = supplied.select("entity", "field").distinct()
+    derived = given.withColumnRenamed("field", "origin").join(origins.select("field", "origin"), "origin").select("entity", "field").distinct()
+    marked = values.select("entity", "field", "value")
+    for rows, name in ((given, "given"), (derived, "derived"), (disputed.select("entity", "field").distinct(), "disputed")):
+        marked = marked.join(rows.withColumn(f"_{name}", F.lit(True)), ["entity", "field"], "left")
+    blank = F.coalesce(F.col("value").cast("string"), F.lit("")) == ""
+    mark = F.when(blank, F.when(F.col("_disputed"), "disputed")).when(F.col("_given"), "given").when(F.col("_derived"), "derived").otherwise("assumed")
+    return marked.select("entity", "field", "value", mark.alias("mark")).where("mark IS NOT NULL")
+
+
+def unmapped_required(required: DataFrame, schema: DataFrame) -> DataFrame:
+    """The distinct (page, field) of ``required`` whose field ``schema`` (field) lacks."""
+    return required.select("page", "field").distinct().join(schema.select("field"), "field", "left_anti").select("page", "field")
+
+
+def jittered(optimum: Column, least: Column, most: Column, whole: Column, amount: float = 0.01, seed: int = 0) -> Column:
+    """A value within ``amount`` of its optimum and within its range, by a seeded draw; a ``whole`` parameter stays at its optimum."""
+    near = optimum + (F.rand(seed) - 0.5) * 2 * amount * optimum
+    return F.when(whole, optimum.cast("double")).otherwise(F.least(most, F.greatest(least, near)))

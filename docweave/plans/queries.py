@@ -793,6 +793,30 @@ def q_entries(spark, sf_dir):
     return entries.select("doc_id", "i.kind", "i.text", F.col("i.file.id").alias("file_id"), F.col("i.file.bytes").alias("bytes"), F.col("o.kind").alias("sent"), F.array_join("o.buttons", ",").alias("buttons"))
 
 
+@query("""
+WITH v AS (
+  SELECT c_custkey AS entity, 'name' AS field, c_name AS value, 'given' AS mark FROM customer WHERE c_custkey % 2 = 0 UNION ALL
+  SELECT c_custkey, 'name', c_name, 'assumed' FROM customer WHERE c_custkey % 2 = 1 UNION ALL
+  SELECT c_custkey, 'segment', c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'derived' ELSE 'assumed' END FROM customer WHERE c_custkey % 3 <> 0 UNION ALL
+  SELECT c_custkey, 'segment', '', 'disputed' FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey < 10)
+SELECT * FROM v""")
+def q_provenance(spark, sf_dir):
+    """Where each value of a customer comes from."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    segment = F.when(key % 3 != 0, F.col("c_mktsegment")).otherwise("")
+    values = c.select(key.alias("entity"), F.explode(F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), segment)).alias("field", "value"))
+    supplied = c.where(key % 2 == 0).select(key.alias("entity"), F.lit("name").alias("field"))
+    origins = spark.createDataFrame([("segment", "name"), ("segment", "nation")], "field string, origin string")
+    return wording.provenance(values, supplied, origins, c.where("c_nationkey < 10").select(key.alias("entity"), F.lit("segment").alias("field")))
+
+
+@query("""SELECT DISTINCT source AS page, lang AS field FROM documents WHERE lang NOT IN ('en', 'fr')""")
+def q_unmapped(spark, sf_dir):
+    """Languages of a source that a list lacks."""
+    required = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.col("source").alias("page"), F.col("lang").alias("field"))
+    return wording.unmapped_required(required, spark.createDataFrame([("en",), ("fr",), (None,)], "field string"))
+
+
 # Names under which queries above have also been known
 
 

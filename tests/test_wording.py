@@ -45,3 +45,18 @@ def test_empty_tables(spark):
     wards = spark.createDataFrame([("ba dinh", "Ba Đình")], "district string, ward string")
     assert wording.ward_from_district(parts, wards).select("ward").collect()[0][0] == "Ba Đình"
     assert wording.ward_from_district(parts, wards, wards.where("false").select("ward")).count() == 1
+
+
+def test_jittered_within_its_range(spark):
+    df = spark.range(500).select(wording.jittered(F.lit(100.0), F.lit(99.5), F.lit(200.0), F.col("id") < 0, 0.01, 7).alias("x"), wording.jittered(F.lit(3.0), F.lit(1.0), F.lit(5.0), F.lit(True)).alias("whole"))
+    low, high, kinds, whole = df.agg(F.min("x"), F.max("x"), F.countDistinct("x"), F.max("whole")).collect()[0]
+    assert 99.5 == low and 100.5 < high <= 101 and kinds > 300 and whole == 3.0
+    assert df.select("x").collect() == df.select("x").collect()
+
+
+def test_provenance_of_nulls(spark):
+    values = spark.createDataFrame([(1, "a", None), (1, "b", ""), (1, "c", "x")], "entity int, field string, value string")
+    none = spark.createDataFrame([], "entity int, field string")
+    origins = spark.createDataFrame([], "field string, origin string")
+    assert [tuple(r) for r in wording.provenance(values, none, origins, none).collect()] == [(1, "c", "x", "assumed")]
+    assert wording.provenance(values, none, origins, values).where("mark = 'disputed'").count() == 2
