@@ -87,6 +87,28 @@ def sized_join(big: DataFrame, keys: DataFrame, on: list[str] | str, how: str, l
     return big.join(F.broadcast(keys) if few else keys, on, how)
 
 
+#: A key with more than one in so many of all rows is hot; there are fewer such keys than this.
+HOT_PARTS = 1000
+
+
+def hot_join(big: DataFrame, keyed: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``big`` with ``keyed``, a row per key of ``on`` (nulls are equal) whose ``weight`` is the number of its rows in ``big``.
+
+    Hot keys, of which there are less than a thousand, are broadcast; the
+    others, none of which can fill a task, meet by shuffle. Both sides are read
+    twice, so they should be written tables. ``weight`` isn't in the result.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    keys = dict(zip(on, fresh(big, *(f"key{i}" for i in range(len(on))))))
+    named = keyed.withColumnsRenamed(keys)
+    same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()))
+    is_hot = F.col(weight) * HOT_PARTS > total
+    hot, others = named.where(is_hot).drop(weight), named.where(~is_hot).drop(weight)
+    near = big.join(F.broadcast(hot), same)
+    rest = big.join(F.broadcast(hot.select(*keys.values())), same, "left_anti").join(others, same)
+    return near.unionByName(rest).drop(*keys.values())
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made of ``names`` that ``df`` doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

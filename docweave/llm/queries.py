@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import hnsw, jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, warc
+from docweave.llm import hnsw, jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, vector_codes, warc
 from docweave.llm.common import materialize, table
 
 
@@ -67,6 +67,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all ``embeddings`` that can be quantized."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -78,8 +83,23 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _lloyd_sql(rounds: int, parts: int = 16, entries: int = 64) -> str:
+    """The assignments (a0, a1, ...) and codebooks (b0, b1, ...) of vectors ``p`` (vec_id, position, part, n), as common table expressions."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS (SELECT position, part, n, arg_min(entry, (far, entry)) AS entry, min(far) AS error FROM (
+  SELECT u.position, u.part, u.n, b.entry, list_sum(list_transform(list_zip(u.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far FROM u JOIN b{k} b USING (position)) GROUP BY ALL)""")
+        if k < rounds:
+            out.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.position, b.entry, coalesce(m.part, b.part) AS part FROM b{k} b LEFT JOIN (
+  SELECT position, entry, list((s - ((s % w) + w) % w) // w ORDER BY i) AS part FROM (
+    SELECT position, entry, i, sum(part[i] * n)::BIGINT AS s, sum(n)::BIGINT AS w FROM a{k}, (SELECT unnest(range(1, (SELECT any_value(len(part)) FROM u) + 1)) AS i) GROUP BY ALL)
+  GROUP BY position, entry) m USING (position, entry))""")
+    return ",\n".join(out)
+
 SQL = {
     "op3_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
@@ -99,6 +119,16 @@ u AS (SELECT source, shard, any_value(source_size) AS source_size, any_value(tar
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e)
 SELECT doc_id, size, source_size, target, (words // shard_size * size + greatest(0, least(size, words % shard_size - start)))::BIGINT AS taken
 FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source AND c.shard = u.shard""",
+    "op13_vector_codes": f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT rid, vec_id, position, ints[position * len(ints) // 16 + 1:(position + 1) * len(ints) // 16] AS part FROM v, (SELECT unnest(range(0, 16)) AS position)),
+u AS MATERIALIZED (SELECT position, part, count(*) AS n FROM p GROUP BY ALL),
+b0 AS MATERIALIZED (SELECT position, k AS entry, part FROM p JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, ints) - 1 AS k FROM v) USING (rid) WHERE k < 64),
+{_lloyd_sql(2)},
+c AS (SELECT p.rid, string_agg(printf('%02x', a.entry), '' ORDER BY p.position) AS code, sum(a.error)::BIGINT AS error FROM p JOIN a2 a ON p.position = a.position AND p.part = a.part GROUP BY p.rid),
+h AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY position, entry)) AS d FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT d FROM h) AS codebooks_sha256 FROM v JOIN c USING (rid)""",
     "op7_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
 SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
