@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import hnsw, jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, vector_codes, warc
+from docweave.llm import collocations, hnsw, jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, vector_codes, warc
 from docweave.llm.common import materialize, table
 
 
@@ -67,6 +67,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of all ``documents``."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and errors of all ``embeddings`` that can be quantized."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_collocations": op12_collocations,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -119,6 +125,18 @@ u AS (SELECT source, shard, any_value(source_size) AS source_size, any_value(tar
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e)
 SELECT doc_id, size, source_size, target, (words // shard_size * size + greatest(0, least(size, words % shard_size - start)))::BIGINT AS taken
 FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source AND c.shard = u.shard""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2 AND f >= 30),
+j AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT j.lang, j.phrase, j.a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM j JOIN g x ON x.lang = j.lang AND x.phrase = head JOIN g y ON y.lang = j.lang AND y.phrase = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b LEFT JOIN i USING (lang, phrase) JOIN n USING (lang)
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a QUALIFY rank <= 2000""",
     "op13_vector_codes": f"""
 WITH v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
