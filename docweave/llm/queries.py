@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import collocations, hnsw, jaccard_join, mixing, packing, quality_lm, quality_rules, repeats, tokens, url_filter, vector_codes, warc
+from docweave.llm import collocations, hnsw, jaccard_join, mixing, near_dedup, packing, quality_lm, quality_rules, repeats, tokens, url_filter, vector_codes, warc
 from docweave.llm.common import materialize, table
 
 
@@ -67,6 +67,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each of all ``documents``: four-word shingles, similarity 0.8 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first 2000 phrases of all ``documents``."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -88,6 +93,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_near_dedup": op11_near_dedup,
     "op12_collocations": op12_collocations,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -125,6 +131,14 @@ u AS (SELECT source, shard, any_value(source_size) AS source_size, any_value(tar
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e)
 SELECT doc_id, size, source_size, target, (words // shard_size * size + greatest(0, least(size, words % shard_size - start)))::BIGINT AS taken
 FROM c JOIN u ON c.source IS NOT DISTINCT FROM u.source AND c.shard = u.shard""",
+    "op11_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(4, len(ws)) - 1], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node)
+SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, node = min(c) AS kept FROM r LEFT JOIN z ON z.doc_id = node GROUP BY node""",
     "op12_collocations": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),

@@ -17,9 +17,9 @@ def plain(rows, least, top, most=4):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
             words = re.findall(r"[^\x20\x09]+", piece)
-            n[lang or "und"] += len(words)
+            n["und" if lang is None else lang] += len(words)
             for k in range(1, most + 1):
-                f[lang or "und"].update(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
+                f["und" if lang is None else lang].update(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
     out = []
     for lang, counts in f.items():
         found = {p: a for p, a in counts.items() if " " in p and a >= least}
