@@ -228,7 +228,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _survivors(similarity: float, miss: float, most: int):
-    """Of a bucket's two blocks, the ``most`` most alike candidates of each set in each component but its own; ``cut`` if it has more."""
+    """Of a bucket's two blocks, the ``most`` most alike candidates of each set outside its component; ``cut`` if it has more."""
 
     def go(t: pa.Table) -> pa.Table:
         side, values, nodes, roots = t.column("own").to_numpy(), _matrix(t.column("values")), t.column("node").to_pylist(), t.column("root").to_pylist()
@@ -242,13 +242,10 @@ def _survivors(similarity: float, miss: float, most: int):
             bound = bounded(np.broadcast_to(values[i], (len(others), VALUES)), values[others], similarity, miss)
             alive = bound >= similarity
             others, bound = others[alive], bound[alive]
-            others = others[np.lexsort((others, -bound, group[others]))]
-            _, first, place, n = np.unique(group[others], return_index=True, return_inverse=True, return_counts=True)
-            rank = np.arange(len(others)) - first[place]
-            for k in np.flatnonzero(rank < most):
-                a.append(max(nodes[i], nodes[others[k]]))
-                b.append(min(nodes[i], nodes[others[k]]))
-                cut.append(bool(n[place[k]] > most))
+            for k in others[np.lexsort((others, -bound))][:most]:
+                a.append(max(nodes[i], nodes[k]))
+                b.append(min(nodes[i], nodes[k]))
+                cut.append(len(others) > most)
         trim_memory()
         return pa.table({"node": pa.array(a, pa.binary()), "leader": pa.array(b, pa.binary()), "cut": pa.array(cut, pa.bool_())})
 
@@ -259,7 +256,7 @@ def compare_rest(rows: DataFrame, verifier: Verifier, block: int = 1024, most: i
     """Tests what leaders left open in the buckets of ``rows`` (bucket, node), until no candidates of different components are untested.
 
     A bucket is compared in pairs of blocks. A set meets its most alike
-    candidates of each other component first; linked ones become one component,
+    candidates outside its component first; linked ones become one component,
     and eight times as many are taken next, so none is left out.
     """
     num, den = verifier.similarity
