@@ -83,8 +83,8 @@ def test_components_are_those_of_all_pairs(spark, seed, options):
 def test_rest_is_compared_until_nothing_is_cut(spark, monkeypatch):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(500)]
-    base = [rng.choice(vocabulary) for _ in range(100)]
-    rows = [(i, " ".join(changed(rng, base, 5, vocabulary)), None) for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(200)]
+    rows = [(i, " ".join(changed(rng, base, rng.randint(1, 5), vocabulary)), None) for i in range(60)]
     calls, before = [], near_dedup._survivors
     monkeypatch.setattr(near_dedup, "_survivors", lambda s, m, most: calls.append(most) or before(s, m, 1 if len(calls) == 1 else most))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), leaders=0, block=16)
