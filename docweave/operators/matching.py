@@ -81,16 +81,21 @@ def canonical(values: DataFrame, options: list[str], synonyms: dict[str, str] |
 def containing(needles: DataFrame, names: DataFrame, width: int = 3) -> DataFrame:
     """Pairs of ``needles`` (needle) and ``names`` (name, and other columns) where the name contains the needle, each once.
 
-    Candidates share the needle's first ``width`` letters as a gram, so the
-    join is on equality; needles shorter than that are joined by their length.
+    Candidates share one run of ``width`` letters of the needle (all of a
+    shorter needle): the one that the fewest names have, so that a beginning
+    that all needles share costs nothing. Names are cut into runs of those
+    lengths only that a needle asks for. Null and empty texts have no pairs.
     """
-    gram = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    parts = []
-    for n in range(1, width + 1):
-        some = needles.where(F.length("needle") == n) if n < width else needles.where(F.length("needle") >= n)
-        grams = names.select("*", F.explode(F.array_distinct(gram(F.col("name"), n))).alias("gram"))
-        parts.append(some.withColumn("gram", F.substring("needle", 1, n)).join(grams, "gram").where(F.col("name").contains(F.col("needle"))).select("needle", *names.columns))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
+    wanted = needles.where(F.length("needle") > 0).select("needle").distinct().withColumn("_n", F.least(F.length("needle"), F.lit(width)))
+    lengths = wanted.agg(F.collect_set("_n").alias("_lengths"))  # one row, ``width`` numbers at most
+    cut = names.where(F.length("name") > 0).join(F.broadcast(lengths)).select("*", F.explode("_lengths").alias("_n")).where(F.length("name") >= F.col("_n"))
+    grams = cut.select(*names.columns, F.explode(runs(F.col("name"), F.col("_n"))).alias("_gram"))
+    asked = wanted.select("needle", F.explode(runs(F.col("needle"), F.col("_n"))).alias("_gram"))
+    sizes = grams.groupBy("_gram").agg(F.count("*").alias("_names"))
+    rare = asked.join(sizes, "_gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("names"), F.col("_gram").alias("gram"))).alias("_least"))
+    rare = rare.where(F.col("_least.names") > 0).select("needle", F.col("_least.gram").alias("_gram"))
+    return rare.join(grams, "_gram").where(F.contains("name", "needle")).select("needle", *names.columns).distinct()
 
 
 def unique_contains(needles: DataFrame, names: DataFrame, width: int = 3) -> DataFrame:

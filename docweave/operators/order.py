@@ -106,11 +106,17 @@ def last_write(events: DataFrame, keys: list[str], order: Column, *values: str)
     return events.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*keys, *[F.col(f"_v.{v}") for v in values])
 
 
-def contiguous(arrivals: DataFrame, key: str, seq: str) -> DataFrame:
-    """Arrivals that can be committed: those up to the first number missing from 1 on; repeated numbers count once."""
+def contiguous(arrivals: DataFrame, key: str, seq: str, *order: str) -> DataFrame:
+    """Arrivals that can be committed: those up to the first number missing from 1 on.
+
+    Of arrivals of one number the least by the columns ``order`` counts, then
+    by the other columns, so chance decides nothing. Null numbers are dropped.
+    """
+    others = [c for c in arrivals.columns if c not in (key, seq, *order)]
+    first = arrivals.where(F.col(seq).isNotNull()).groupBy(key, seq).agg(F.min(F.struct(*order, *others)).alias("_first")) if order or others else arrivals.where(F.col(seq).isNotNull()).select(key, seq).distinct()
+    unique = first.select(*(c if c in (key, seq) else F.col(f"_first.{c}").alias(c) for c in arrivals.columns))
     w = Window.partitionBy(key).orderBy(seq)
-    unique = arrivals.dropDuplicates([key, seq])
-    return unique.withColumn("_n", F.row_number().over(w)).where(F.col(seq) == F.col("_n")).drop("_n")
+    return unique.where(F.col(seq) > 0).withColumn("_n", F.row_number().over(w)).where(F.col(seq) == F.col("_n")).drop("_n")
 
 
 def expired(rows: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:

@@ -178,13 +178,22 @@ def q_fuzzy(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT DISTINCT p_brand || ' ' || p_type AS needle FROM part), n AS (SELECT DISTINCT p_brand || ' ' || p_type || ' ' || p_size AS name FROM part)
+WITH d AS (SELECT DISTINCT lpad((p_size * 7919 + p_partkey)::VARCHAR, 4, '0') AS needle FROM part UNION SELECT p_type FROM part), n AS (SELECT DISTINCT c_name || ' ' || c_mktsegment AS name FROM customer)
 SELECT needle, min(name) AS name FROM d JOIN n ON contains(name, needle) GROUP BY needle HAVING count(*) = 1""")
 def q_unique_sub(spark, sf_dir):
-    """Brands and types that just one name of a part, brand, type and size of all parts contains."""
+    """Numbers and types of all parts that just one customer's name and segment contains; some are in several, some in none."""
+    p, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    numbers = p.select(F.lpad((F.col("p_size") * 7919 + F.col("p_partkey")).cast("string"), 4, "0").alias("needle")).unionByName(p.select(F.col("p_type").alias("needle")))
+    return matching.unique_contains(numbers, c.select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("name")).distinct())
+
+
+@query("""
+SELECT w.needle, p_name AS name, count(*) AS parts FROM part JOIN (SELECT DISTINCT substr(p_name, 1 + p_size % 5, 1 + p_size % 6) AS needle FROM part) w ON contains(p_name, w.needle) WHERE w.needle <> '' GROUP BY ALL""")
+def q_contains(spark, sf_dir):
+    """Pieces of one to six letters of part names, and how many parts of each name hold them."""
     p = table(spark, sf_dir, "part")
-    names = p.select(F.concat_ws(" ", "p_brand", "p_type", F.col("p_size").cast("string")).alias("name")).distinct()
-    return matching.unique_contains(p.select(F.concat_ws(" ", "p_brand", "p_type").alias("needle")).distinct(), names)
+    pieces = p.select(F.expr("substr(p_name, 1 + p_size % 5, 1 + p_size % 6)").alias("needle"))
+    return matching.containing(pieces, p.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("parts")))
 
 
 @query("""
@@ -505,12 +514,12 @@ def q_last_write(spark, sf_dir):
 
 
 @query("""
-WITH u AS (SELECT DISTINCT user_id, round(value * 100)::BIGINT % 40 + 1 AS seq FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS r FROM u)
-SELECT user_id, count(*) AS committed FROM n WHERE seq = r GROUP BY user_id""")
+WITH u AS (SELECT user_id, round(value * 100)::BIGINT % 40 + 1 AS seq, min({'ts': ts, 'event_id': event_id, 'event_type': event_type}) AS f FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS r FROM u)
+SELECT user_id, seq, f.event_id AS event_id, f.event_type AS event_type FROM n WHERE seq = r""")
 def q_commit(spark, sf_dir):
-    """How many numbered results of a user can be committed in order."""
-    e = table(spark, sf_dir, "events").select("user_id", (F.round(F.col("value") * 100).cast("long") % 40 + 1).alias("seq"))
-    return order.contiguous(e, "user_id", "seq").groupBy("user_id").agg(F.count("*").alias("committed"))
+    """The numbered results of a user that can be committed in order; of one number the earliest counts."""
+    e = table(spark, sf_dir, "events").select("user_id", (F.round(F.col("value") * 100).cast("long") % 40 + 1).alias("seq"), "ts", "event_id", "event_type")
+    return order.contiguous(e, "user_id", "seq", "ts", "event_id").drop("ts")
 
 
 @query("""SELECT event_id, user_id FROM events WHERE ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY""")
@@ -815,10 +824,3 @@ def q_unmapped(spark, sf_dir):
     """Languages of a source that a list lacks."""
     required = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.col("source").alias("page"), F.col("lang").alias("field"))
     return wording.unmapped_required(required, spark.createDataFrame([("en",), ("fr",), (None,)], "field string"))
-
-
-# Names under which queries above have also been known
-
-
-for _name in ("name_key", "commit", "block", "unique_sub", "merge"):
-    QUERIES[f"q_{_name}_whole"], SQL[f"q_{_name}_whole"] = QUERIES[f"q_{_name}"], SQL[f"q_{_name}"]

@@ -8,7 +8,6 @@ timeout is closed, and nothing is held for it from then on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,37 +68,54 @@ def quiet_windows(events: DataFrame, quiet_ms: int, most_ms: int = 600_000) -> D
 COMMIT = "chat string, seq long, value string"
 
 
-def commit_in_order(events: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
-    """A stream's results (chat, seq, value) in the order of ``seq`` from 1 on, each once: later ones wait in state for those missing.
+def commit_in_order(events: DataFrame, keep_ms: int = 86_400_000, most_waiting: int = 10_000) -> DataFrame:
+    """A stream's results (chat, seq, value, ts) in the order of ``seq`` from 1 on, each once: later ones wait in state for those missing.
 
-    A chat without events for ``keep_ms`` for which nothing waits is closed; if
-    it speaks again, it counts from 1 again. While results wait, it stays.
+    Of results of one number that isn't committed yet, that of least (ts,
+    value) counts, null times last, whatever order they arrive in; a number
+    that is committed stays as it is. A chat silent for ``keep_ms`` is closed:
+    numbers that never came are given up, what waits for them is committed in
+    order, and if the chat speaks again, it counts from 1 again. Beyond
+    ``most_waiting`` waiting results the numbers missing before the least of
+    them are given up at once, so state is bounded. Null numbers are dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, seqs, values = state.get if state.exists else (0, [], [])
-        waiting: dict[int, Any] = dict(zip(seqs, values))
-        if state.hasTimedOut:
-            if waiting:
-                state.setTimeoutDuration(keep_ms)
-            else:
-                state.remove()
-            return
-        for pdf in batches:
-            for seq, value in zip(pdf["seq"], pdf["value"]):
-                if seq > done:
-                    waiting.setdefault(int(seq), value)
+        done, seqs, times, values = state.get if state.exists else (0, [], [], [])
+        waiting = {n: (t, v) for n, t, v in zip(seqs, times, values)}
         out = []
-        while done + 1 in waiting:
-            done += 1
-            out.append((key[0], done, waiting.pop(done)))
-        state.update((done, list(waiting), list(waiting.values())))
-        state.setTimeoutDuration(keep_ms)
+
+        def commit(given_up: bool) -> None:
+            nonlocal done
+            if given_up and waiting:
+                done = min(waiting) - 1
+            while done + 1 in waiting:
+                done += 1
+                out.append((key[0], done, waiting.pop(done)[1]))
+
+        if state.hasTimedOut:
+            while waiting:
+                commit(True)
+            state.remove()
+        else:
+            rank = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+            for pdf in batches:
+                for seq, ts, value in zip(pdf["seq"], pdf["ts"], pdf["value"]):
+                    if pd.isna(seq) or seq <= done:
+                        continue
+                    new = (None if pd.isna(ts) else int(ts), value)
+                    waiting[int(seq)] = min(waiting.get(int(seq), new), new, key=rank)
+            commit(False)
+            while len(waiting) > most_waiting:
+                commit(True)
+            state.update((done, list(waiting), [t for t, _ in waiting.values()], [v for _, v in waiting.values()]))
+            state.setTimeoutDuration(keep_ms)
         if out:
             yield pd.DataFrame(out, columns=["chat", "seq", "value"])
 
-    state = "done long, seqs array<long>, waiting array<string>"
-    return events.select("chat", "seq", "value").groupBy("chat").applyInPandasWithState(step, COMMIT, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    state = "done long, seqs array<long>, times array<long>, waiting array<string>"
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")
+    return events.select("chat", "seq", micros, "value").groupBy("chat").applyInPandasWithState(step, COMMIT, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 FILLED = "chat string, number string, email string, birth string"
@@ -134,7 +150,14 @@ def gather_fields(messages: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
 
 
 def new_messages(messages: DataFrame, key: str = "message_id", ts: str = "ts", keep: str = "30 days") -> DataFrame:
-    """Messages whose id wasn't seen within ``keep``."""
+    """Messages whose id wasn't seen within ``keep``.
+
+    Of a table's rows of one id the least counts, by ``ts``, then by its other
+    columns. In a stream the first that arrives counts; rows of one id that
+    arrive together are taken for repeats of one message.
+    """
     if not messages.isStreaming:
-        return messages.dropDuplicates([key])
+        others = [c for c in messages.columns if c not in (key, ts)]
+        first = messages.groupBy(key).agg(F.min(F.struct(ts, *others)).alias("_first"))
+        return first.select(*(key if c == key else F.col(f"_first.{c}").alias(c) for c in messages.columns))
     return messages.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])

@@ -93,6 +93,9 @@ def test_lookups(make):
     needles = make([("bolt",), ("ring",), ("b",), ("blue",), ("zz",)], "needle string")
     assert rows(matching.unique_contains(needles, names)) == [("blue", "blue ring"), ("bolt", "red bolt")]
     assert rows(matching.exactly_one(names, make([("bolt",)], "match string"))) == [("bolt", "red bolt")]
+    found = matching.containing(make([("",), (None,), ("r",), ("ri",), ("red ring x",), ("red ring",), ("red ring",)], "needle string"), make([("red ring", 1), ("ring red", 2), (None, 3), ("", 4), ("r", 5)], "name string, n int"))
+    assert rows(found) == sorted([("r", "red ring", 1), ("r", "ring red", 2), ("r", "r", 5), ("ri", "red ring", 1), ("ri", "ring red", 2), ("red ring", "red ring", 1)])
+    assert matching.containing(needles, names.where("false")).count() == matching.containing(needles.where("false"), names).count() == 0
     with pytest.raises(Exception, match="not one name"):
         matching.exactly_one(names, make([("ring",)], "match string")).collect()
     x = make([("kitten",), ("sitten",), ("mitte",), (None,)], "a string")
@@ -130,6 +133,8 @@ def test_order(make):
     assert [(r.n, r.section) for r in got.orderBy("n").collect()] == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3)]
     a = make([("k", 1), ("k", 2), ("k", 2), ("k", 4), ("j", 2)], "key string, seq int")
     assert rows(order.contiguous(a, "key", "seq")) == [("k", 1), ("k", 2)]
+    b = make([("k", 1, 5, "z"), ("k", 1, 5, "a"), ("k", 1, 7, "A"), ("k", 0, 1, "x"), ("k", None, 1, "x"), ("k", 2, None, None)], "key string, seq int, at int, value string")
+    assert rows(order.contiguous(b, "key", "seq", "at")) == [("k", 1, 5, "a"), ("k", 2, None, None)]
 
 
 def test_files(spark, tmp_path):

@@ -33,12 +33,26 @@ def stream(spark, tmp_path):
     return start
 
 
-def test_commit_in_order(stream):
-    rows = lambda *xs: [{"chat": "c", "seq": s, "value": v} for s, v in xs]
-    got = stream(sessions.commit_in_order, "chat string, seq long, value string", [rows((2, "b"), (3, "c")), rows((1, "a"), (2, "again")), rows((5, "e"), (4, "d"))], rows_wanted=[0, 3, 5])
+COMMITS = "chat string, seq long, value string, ts timestamp"
+
+
+def commits(*xs):
+    return [{"chat": "c", "seq": s, "value": v, "ts": f"2024-01-01T00:00:{at:02d}"} for s, v, at in xs]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_commit_in_order(stream, turned):
+    together = [(2, "again", 5), (2, "b", 2), (2, "c", 2), (3, "c", 3), (None, "x", 1)]
+    batches = [commits(*(together[::-1] if turned else together)), commits((1, "a", 9), (2, "late", 7)), commits((5, "e", 1), (4, "d", 1), (3, "settled", 0))]
+    got = stream(sessions.commit_in_order, COMMITS, batches, rows_wanted=[0, 3, 5])
     assert got == [("c", i, v) for i, v in enumerate("abcde", 1)]
 
 
+def test_numbers_that_never_come_are_given_up(stream):
+    got = stream(lambda s: sessions.commit_in_order(s, most_waiting=3), COMMITS, [commits((3, "c", 1), (4, "d", 1), (7, "g", 1), (9, "i", 1)), commits((1, "a", 1), (5, "e", 1), (6, "f", 1))], rows_wanted=[2, 5])
+    assert got == [("c", 3, "c"), ("c", 4, "d"), ("c", 5, "e"), ("c", 6, "f"), ("c", 7, "g")]
+
+
 def test_gather_fields(stream):
     rows = lambda *xs: [{"chat": "c", "seq": s, "field": f, "value": v} for s, f, v in xs]
     got = stream(sessions.gather_fields, "chat string, seq long, field string, value string", [rows((1, "email", "x"), (2, "number", "1")), rows((4, "birth", "d"), (3, "email", "y"))], rows_wanted=[0, 1])
@@ -46,9 +60,8 @@ def test_gather_fields(stream):
 
 
 def test_silent_chats_are_closed(stream):
-    rows = lambda s, v: [{"chat": "c", "seq": s, "value": v}]
-    got = stream(lambda s: sessions.commit_in_order(s, 300), "chat string, seq long, value string", [rows(1, "a"), rows(1, "b")], rows_wanted=[1, 2], pause=3)
-    assert got == [("c", 1, "a"), ("c", 1, "b")]
+    got = stream(lambda s: sessions.commit_in_order(s, 300), COMMITS, [commits((1, "a", 1), (3, "c", 1)), commits((1, "b", 1))], rows_wanted=[1, 3], pause=3)
+    assert got == [("c", 1, "a"), ("c", 1, "b"), ("c", 3, "c")]
 
 
 def test_quiet_windows(stream):
@@ -72,3 +85,11 @@ def test_new_messages(stream):
     rows = lambda *ids: [{"message_id": i, "ts": "2024-01-01T00:00:00"} for i in ids]
     got = stream(sessions.new_messages, "message_id string, ts timestamp", [rows("a", "b", "a"), rows("b", "c")])
     assert [r[0] for r in got] == ["a", "b", "c"]
+
+
+def test_new_messages_of_a_table(spark):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [("a", at, "z"), ("a", at, "b"), ("a", at + datetime.timedelta(1), "a"), ("b", None, "x"), (None, at, "n")]
+    for order in (rows, rows[::-1]):
+        got = sessions.new_messages(spark.createDataFrame(order, "message_id string, ts timestamp, text string"))
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == [("a", at, "b"), ("b", None, "x"), (None, at, "n")]
