@@ -178,12 +178,12 @@ def q_fuzzy(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT DISTINCT lpad((p_size * 7919 + p_partkey)::VARCHAR, 4, '0') AS needle FROM part UNION SELECT p_type FROM part), n AS (SELECT DISTINCT c_name || ' ' || c_mktsegment AS name FROM customer)
+WITH d AS (SELECT DISTINCT lpad(p_partkey::VARCHAR, 4, '0') AS needle FROM part UNION SELECT p_type FROM part), n AS (SELECT DISTINCT c_name || ' ' || c_mktsegment AS name FROM customer)
 SELECT needle, min(name) AS name FROM d JOIN n ON contains(name, needle) GROUP BY needle HAVING count(*) = 1""")
 def q_unique_sub(spark, sf_dir):
     """Numbers and types of all parts that just one customer's name and segment contains; some are in several, some in none."""
     p, c = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
-    numbers = p.select(F.lpad((F.col("p_size") * 7919 + F.col("p_partkey")).cast("string"), 4, "0").alias("needle")).unionByName(p.select(F.col("p_type").alias("needle")))
+    numbers = p.select(F.lpad(F.col("p_partkey").cast("string"), 4, "0").alias("needle")).unionByName(p.select(F.col("p_type").alias("needle")))
     return matching.unique_contains(numbers, c.select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("name")).distinct())
 
 
