@@ -9,6 +9,7 @@ joins with the tables of the levels.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,91 +22,102 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import frugal, materialize
 
-#: Bytes that end a piece, and the byte of another blank.
-_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
+#: Ends of pieces become this byte, which UTF-8 texts don't hold.
+END = b"\xff"
+_ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
 #: Octets of text that a task holds at a time, and those of which a bit table consists at most.
-HELD, BITS_OCTETS = 8 << 20, 32 << 20
+HELD, BITS_OCTETS = 4 << 20, 32 << 20
 #: Bits of one row of Spark's bitmap functions.
 _ROW_BITS = 32768
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)]
 
 
 def stretches(text: str | None, octets: int = 1 << 20) -> Iterator[bytes]:
-    """The lower-cased (A-Z) bytes of a text with pieces ended by line feeds, cut at such ends every ``octets`` or more."""
+    """The lower-cased (A-Z) bytes of a text in which ``END`` ends pieces, cut at such ends every ``octets`` or more."""
     whole = (text or "").encode().lower().translate(_ENDS)
     start = 0
     while start < len(whole):
-        end = whole.find(b"\n", start + octets)
+        end = whole.find(END, start + octets)
         end = len(whole) if end < 0 else end
         yield whole[start:end]
         start = end
 
 
+def _longer(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases made longer by the words of the hashes ``word``."""
+    h = (hashes ^ (hashes >> np.uint64(29))) * _MIX[0] + word * _MIX[1]
+    return h ^ (h >> np.uint64(32))
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
 class _Held:
     """Words of some texts as numbers, in order, -1 at the end of each piece. A word has a number in each language it occurs in."""
 
     def __init__(self):
-        self.number, self.ids, self.octets = itertools.count(), [], 0
-        self.known: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(self.number.__next__))
+        self.number, self.runs, self.octets = itertools.count(), [], 0
+        self.known: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(self.number.__next__, {END: -1}))
 
     def add(self, lang: str, stretch: bytes) -> None:
-        number = self.known[lang].__getitem__
-        for piece in stretch.split(b"\n"):
-            words = piece.split()
-            if words:
-                self.ids.extend(map(number, words))
-                self.ids.append(-1)
+        words = stretch.replace(END, b" \xff ").split()
+        words.append(END)
+        self.runs.append(np.fromiter(map(self.known[lang].__getitem__, words), np.int64, len(words)))
         self.octets += len(stretch)
 
-    def grams(self, k: int, tables: list[np.ndarray]) -> tuple[list[str], list[bytes], np.ndarray]:
-        """(lang, phrase, count) of those phrases of ``k`` words whose shorter phrases of each length m are in ``tables[m - 1]``."""
-        at = np.array(self.ids, np.int64)
-        named = sorted((i, lang, word) for lang, words in self.known.items() for word, i in words.items())
-        langs, words = [x[1] for x in named], [x[2] for x in named]
-        seeds = {lang: xxhash.xxh64_intdigest(lang.encode(), 42) for lang in self.known}
-        v = len(words)
+    def grams(self, k: int, tables: list[np.ndarray], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, f) of those phrases of ``k`` words whose shorter phrases of each length m are in ``tables[m - 1]``."""
+        at = np.concatenate([*self.runs, np.empty(0, np.int64)])
+        named = sorted((i, lang, word) for lang, words in self.known.items() for word, i in words.items() if i >= 0)
+        langs, words, v = [x[1] for x in named], [x[2] for x in named], len(named)
         if k == 1:
-            return langs, words, np.bincount(at[at >= 0], minlength=v)
-
-        def listed(level: int, phrases: list[bytes], of: list[str]) -> np.ndarray:
-            bits = tables[level - 1]
-            h = np.fromiter((xxhash.xxh64_intdigest(p, seeds[x]) for p, x in zip(phrases, of)), np.uint64, len(phrases)) & np.uint64(8 * len(bits) - 1)
-            return (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-        ok = np.append(listed(1, words, langs), False)  # the last stands for -1
-        start, phrases = np.where(ok[at], at, -1), words  # the phrase that starts at each place
-        for m in range(2, k + 1):
-            place = np.flatnonzero((start[:-1] >= 0) & (start[1:] >= 0))
-            place = place[place + m - 1 < len(at)]
-            gram, which, count = np.unique(start[place] * v + at[place + m - 1], return_inverse=True, return_counts=True)
-            left, last = (gram // max(v, 1)).tolist(), (gram % max(v, 1)).tolist()
-            phrases, of = [phrases[a] + b" " + words[b] for a, b in zip(left, last)], [langs[b] for b in last]
-            if m == k:
-                return of, phrases, count
-            ok = listed(m, phrases, of)[which] if len(gram) else np.empty(0, bool)
-            start = np.full(len(at), -1, np.int64)
-            start[place[ok]] = which[ok]
-        raise AssertionError
+            count = np.bincount(at[at >= 0], minlength=v)
+            for i in range(0, v, rows):
+                yield _batch(langs[i : i + rows], words[i : i + rows], count[i : i + rows])
+            return
+        seeds = {lang: _seed(lang) for lang in self.known}
+        word = np.fromiter((xxhash.xxh64_intdigest(w, seeds[x]) for w, x in zip(words, langs)), np.uint64, v)
+        word = np.append(word, np.uint64(0))[at]  # -1 takes the last
+        hashes, ok = word, (at >= 0) & _listed(tables[0], word)  # of the phrase that starts at each place
+        for m in range(2, k):
+            hashes = _longer(hashes[:-1], word[m - 1 :])
+            ok = ok[:-1] & ok[1:] & _listed(tables[m - 1], hashes)
+        place = np.flatnonzero(ok[:-1] & ok[1:])
+        gram, size = np.zeros(len(place), np.int64), 1
+        for j in range(k):
+            if size * v >= 1 << 62:
+                gram = np.unique(gram, return_inverse=True)[1]
+                size = len(place)
+            gram, size = gram * v + at[place + j], size * v
+        _, first, count = np.unique(gram, return_index=True, return_counts=True)
+        place = place[first]
+        for i in range(0, len(place), rows):
+            columns = [at[place[i : i + rows] + j].tolist() for j in range(k)]
+            yield _batch([langs[x] for x in columns[0]], [b" ".join(ws) for ws in zip(*(map(words.__getitem__, c) for c in columns))], count[i : i + rows])
+
+
+def _batch(langs: list[str], phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts)], names=["lang", "phrase", "f"])
+
+
+def _listed(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _counts(k: int, tables: list):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(t.value, np.uint8) for t in tables]
-
-        def counted(held: _Held) -> Iterator[pa.RecordBatch]:
-            langs, phrases, n = held.grams(k, bits)
-            for i in range(0, len(phrases), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(langs[part], pa.string()), pa.array(phrases[part], pa.string()), pa.array(n[part])], names=["lang", "phrase", "f"])
-
         held = _Held()
         for batch in batches:
             for lang, text in zip(*batch.columns):
                 for stretch in stretches(text.as_py()):
                     held.add(lang.as_py(), stretch)
                     if held.octets >= HELD:
-                        yield from counted(held)
+                        yield from held.grams(k, bits)
                         held = _Held()
-        yield from counted(held)
+        yield from held.grams(k, bits)
 
     return frugal(go)
 
@@ -121,8 +133,18 @@ def bit_table(frequent: DataFrame, most: int = BITS_OCTETS):
     n, octets = frequent.count(), _ROW_BITS // 8
     while octets * 8 < 32 * n and octets < most:
         octets *= 2
-    place = F.pmod(F.xxhash64("lang", "phrase"), F.lit(octets * 8)) + 1
-    rows = frequent.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.empty(batch.num_rows, np.uint64)
+            for i, (lang, phrase) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                seed = _seed(lang)
+                words = np.array([xxhash.xxh64_intdigest(w, seed) for w in phrase.encode().split(b" ")], np.uint64)[:, None]
+                out[i] = functools.reduce(_longer, words)[0]
+            yield pa.RecordBatch.from_arrays([pa.array((out & np.uint64(octets * 8 - 1)).astype(np.int64) + 1)], names=["place"])
+
+    place = frequent.select("lang", "phrase").mapInArrow(places, "place long")
+    rows = place.select(F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     bits = np.zeros(octets, np.uint8)
     for r in rows:  # a row for each 4,096 octets
         bits[(r.b - 1) * _ROW_BITS // 8 : r.b * _ROW_BITS // 8] = np.frombuffer(r.bits, np.uint8)
