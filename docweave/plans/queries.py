@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, extract, mrz, text
-from docweave.operators import matching, order, passport, reconcile, rules, wording
+from docweave.operators import forms, matching, order, pages, passport, reconcile, rules, wording
 from docweave.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -824,3 +824,44 @@ def q_unmapped(spark, sf_dir):
     """Languages of a source that a list lacks."""
     required = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.col("source").alias("page"), F.col("lang").alias("field"))
     return wording.unmapped_required(required, spark.createDataFrame([("en",), ("fr",), (None,)], "field string"))
+
+
+# Pages and forms
+
+
+@query(r"""
+WITH c AS (SELECT c_custkey AS k, DATE '1950-01-01' + (c_custkey * 37 % 20000)::INT AS birth, DATE '2015-01-01' + (c_custkey * 11 % 3000)::INT AS issue, * FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT k AS doc, '71' || lpad(k::VARCHAR, 7, '0') AS number, CASE WHEN k % 6 <> 0 THEN c_mktsegment END AS surname, CASE WHEN k % 5 <> 0 THEN CASE k % 3 WHEN 0 THEN 'ANN-MARIE' WHEN 1 THEN 'BO' END END AS given,
+       birth::VARCHAR AS birth, issue::VARCHAR AS issue, (issue + INTERVAL 10 YEAR)::DATE::VARCHAR AS expiry, CASE k % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' END AS sex,
+       CASE WHEN k % 4 = 0 THEN 'МОСКВА/USSR' WHEN k % 4 = 1 THEN 'ТВЕРЬ' END AS place, CASE WHEN k % 7 = 0 THEN 'Г/К РОССИИ, ДЕЛИ' WHEN k % 7 < 5 THEN 'МВД ' || (1000 + k % 9000) END AS authority
+FROM c""")
+def q_pages(spark, sf_dir):
+    """Pages printed of all customers, line by line, read back by their labels."""
+    k, say = F.col("c_custkey"), F.lit
+    birth, issue = F.expr("date_add(DATE'1950-01-01', CAST(c_custkey * 37 % 20000 AS INT))"), F.expr("date_add(DATE'2015-01-01', CAST(c_custkey * 11 % 3000 AS INT))")
+    by_three = lambda *kinds: F.when(k % 3 == 0, kinds[0]).when(k % 3 == 1, kinds[1]).otherwise(kinds[2])
+    day = lambda d: by_three(F.date_format(d, "dd.MM.yyyy"), F.date_format(d, "ddMM-yyyy"), F.date_format(d, "dd/MM:yyyy"))
+    lines = F.array(
+        F.concat(by_three(say("71№"), say("71 N:"), say("71#")), F.lpad(k.cast("string"), 7, "0")), say("РОССИЙСКАЯ ФЕДЕРАЦИЯ"), F.when(k % 6 != 0, "Фамилия / Surname"), F.when(k % 2 == 0, "  "), F.upper("c_mktsegment"),
+        F.when(k % 5 != 0, "Имя / Given names"), by_three(say("ANN-MARIE"), say("Bo"), say("DATE OF")), F.when(k % 4 < 2, "Место рождения / Place of birth"), F.when(k % 4 == 1, "12 345"),
+        F.concat(day(birth), F.when(k % 4 == 0, " Г.МОСКВА/USSR").when(k % 4 == 1, " тверь").when(k % 4 == 2, " ТВЕРЬ").otherwise("")), by_three(say("М/M"), say("Ж / F"), say("M F")), say("Дата выдачи / Date of issue"),
+        day(issue), day(F.add_months(issue, 120)), F.when(k % 7 < 5, "Орган / Authority"), F.when(k % 7 == 0, "Е/К РОССИИ, ДЕЛИ").otherwise(F.concat(say("МВД "), (1000 + k % 9000).cast("string"))),
+    )
+    printed = table(spark, sf_dir, "customer").select(k.alias("doc"), F.posexplode(lines).alias("line_no", "line"))
+    read = pages.read_pages(printed, spark.createDataFrame([("Москва",), ("Тверь",)], "word string"))
+    return read.withColumns({c: F.col(c).cast("string") for c in ("birth", "issue", "expiry")})
+
+
+@query(r"""
+SELECT p_partkey AS doc, u.key, CASE u.key WHEN 'name' THEN p_name WHEN 'brand' THEN p_brand WHEN 'type' THEN p_type || ', ' || p_name || ' ' || p_brand WHEN 'size' THEN p_size::VARCHAR END AS value
+FROM part, (SELECT unnest(['name', 'brand', 'type', 'size']) AS key) u WHERE NOT (u.key = 'size' AND p_partkey % 3 = 0)""")
+def q_forms(spark, sf_dir):
+    """Forms of two columns printed of all parts, with a value that goes on below its label, read back."""
+    k, pad = F.col("p_partkey"), F.lpad(F.lit(""), 30, " ")
+    lines = F.array(
+        F.lit("A FORM"), F.concat(F.rpad(F.concat(F.lit("1.1. Name: "), F.col("p_name")), 30, " "), F.lit("1.2. Brand of it: "), F.col("p_brand")),
+        F.concat(F.lit("1.3. Use: none"), F.lit(" " * 16), F.lit("1.4. Type (of all): "), F.col("p_type"), F.lit(" ,"), F.col("p_name"), F.lit(" " * 12)), F.concat(pad, F.col("p_brand")),
+        F.when(k % 2 == 0, "  ").otherwise("Note: what follows isn't of the type"), F.concat(F.lit("1.5. Size: "), F.when(k % 3 != 0, F.col("p_size").cast("string")).otherwise(" "), F.lit(" 1.6. Left out: x")), F.lit("Size: none"),
+    )
+    printed = table(spark, sf_dir, "part").select(k.alias("doc"), F.posexplode(lines).alias("line_no", "line"))
+    return forms.column_values(printed, [("name", "1.1. Name", True), ("brand", "1.2. Brand", False), ("type", "1.4. Type", True), ("size", "1.5. Size", True)], ["Note:"])
