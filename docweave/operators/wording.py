@@ -57,16 +57,14 @@ def _first(cases: list[tuple[Column, Column]]) -> Column:
     return F.coalesce(*[F.when(c, v) for c, v in cases])
 
 
-def _matches(c: Column, pattern: str) -> Column:
-    """Whether ``pattern`` occurs in whatever case; its word boundary counts ASCII letters, digits and _ only, as after ``n`` in "son"."""
-    head, bound, _ = pattern.partition(r"son\b")
-    pattern = (head + "son(?![A-Za-z0-9_])" if bound else pattern).replace(r"\b", "(?=[A-Za-z0-9_])")
-    return c.rlike(f"(?iu){pattern}")
+def named(c: Column, pattern: str) -> Column:
+    """Whether ``pattern`` occurs in whatever case; its word boundaries are ends of words of any alphabet."""
+    return text(c).rlike("(?iu)" + pattern.replace(r"\b", r"(?!\p{L})"))
 
 
 def relationship_in(c: Column) -> Column:
     """The relationship named in a text, as the form words it; null where none is."""
-    return _first([(_matches(c, p), F.lit(name)) for p, name in RELATIONSHIPS])
+    return _first([(named(c, p), F.lit(name)) for p, name in RELATIONSHIPS])
 
 
 def written_date(c: Column) -> Column:
@@ -107,12 +105,12 @@ def stay_named(c: Column) -> Column:
 def gate_from_ticket(arrived_at: Column, flight_to: Column) -> Column:
     """The arrival gate of the city or airport that a ticket prints, else null."""
     said = F.concat_ws(" ", text(arrived_at), text(flight_to))
-    return _first([(_matches(said, p), F.lit(gate)) for p, gate in GATES])
+    return _first([(named(said, p), F.lit(gate)) for p, gate in GATES])
 
 
 def is_site_noise(c: Column) -> Column:
     """Whether a line is the site's own noise; null isn't."""
-    return _matches(text(c), "|".join(SITE_NOISE))
+    return named(text(c), "|".join(SITE_NOISE))
 
 
 def noise_counts(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, extract, mrz, text
-from docweave.operators import forms, matching, order, pages, passport, reconcile, rules, wording
+from docweave.operators import contacts, forms, matching, order, pages, passport, reconcile, rules, wording
 from docweave.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -687,7 +687,14 @@ def q_holding(spark, sf_dir):
 # Wording of people, tickets and sites
 
 
-@query("SELECT doc_id, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}', 'i') THEN '{name}'" for p, name in wording.RELATIONSHIPS) + " END AS relationship FROM documents")
+@query(r"""
+SELECT doc_id, CASE WHEN regexp_matches(t, 'бабушк|бабул|grandmother|grandma') THEN 'Grandmother' WHEN regexp_matches(t, 'дедушк|дед[аеу]?([^\p{L}]|$)|grandfather|grandpa') THEN 'Grandfather'
+  WHEN regexp_matches(t, 'внучк|granddaughter') THEN 'Granddaughter' WHEN regexp_matches(t, 'внук|grandson') THEN 'Grandson' WHEN regexp_matches(t, 'т[её]т[яеи]|aunt') THEN 'Aunt'
+  WHEN regexp_matches(t, 'дяд|uncle') THEN 'Uncle' WHEN regexp_matches(t, 'племянниц|niece') THEN 'Niece' WHEN regexp_matches(t, 'племянник|nephew') THEN 'Nephew' WHEN regexp_matches(t, 'кузен|кузин|двоюродн|cousin') THEN 'Cousin'
+  WHEN regexp_matches(t, 'сестр|sister') THEN 'Sister' WHEN regexp_matches(t, 'брат|brother') THEN 'Brother' WHEN regexp_matches(t, 'мам|мать|mother') THEN 'Mother' WHEN regexp_matches(t, 'отец|отц|пап|father') THEN 'Father'
+  WHEN regexp_matches(t, 'муж|husband') THEN 'Husband' WHEN regexp_matches(t, 'жен|wife') THEN 'Wife' WHEN regexp_matches(t, 'сын|son([^\p{L}]|$)') THEN 'Son' WHEN regexp_matches(t, 'доч|daughter') THEN 'Daughter'
+  WHEN regexp_matches(t, 'партн[её]р|partner') THEN 'Partner' WHEN regexp_matches(t, 'друг|friend') THEN 'Friend' WHEN regexp_matches(t, 'коллег|colleague') THEN 'Colleague' WHEN regexp_matches(t, 'родствен|relative') THEN 'Relative' END AS relationship
+FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
 def q_relationship(spark, sf_dir):
     """The relationship that each whole text names first."""
     return table(spark, sf_dir, "documents").select("doc_id", wording.relationship_in(F.col("text")).alias("relationship"))
@@ -865,3 +872,22 @@ def q_forms(spark, sf_dir):
     )
     printed = table(spark, sf_dir, "part").select(k.alias("doc"), F.posexplode(lines).alias("line_no", "line"))
     return forms.column_values(printed, [("name", "1.1. Name", True), ("brand", "1.2. Brand", False), ("type", "1.4. Type", True), ("size", "1.5. Size", True)], ["Note:"])
+
+
+@query(r"""
+WITH c AS (SELECT conv_id AS doc, turn, (conv_id * 7 + turn * 5) % 9 AS k, lpad((conv_id * 100 + turn)::VARCHAR, 9, '0') AS n FROM conversations),
+b AS (SELECT *, coalesce(last_value(CASE WHEN k = 0 THEN false WHEN k IN (1, 2) THEN true END IGNORE NULLS) OVER w, false) AS inside FROM c WINDOW w AS (PARTITION BY doc ORDER BY turn)),
+p AS (SELECT *, k IN (4, 7) OR (k = 3 AND inside) AS known FROM b WHERE k IN (3, 4, 7)),
+o AS (SELECT *, known OR coalesce(bool_or(NOT known) OVER (PARTITION BY doc ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS theirs FROM p),
+v AS (SELECT doc, turn, CASE WHEN theirs THEN 'emergency_phone' ELSE 'phone' END AS f, '+7' || n AS v FROM o UNION ALL SELECT doc, turn, 'emergency_relationship', CASE k WHEN 4 THEN 'Grandfather' WHEN 7 THEN 'Brother' END FROM o WHERE theirs
+  UNION ALL SELECT doc, turn, 'emergency_relationship', 'Sister' FROM b WHERE k = 2 UNION ALL SELECT doc, turn, 'emergency_name', CASE k WHEN 2 THEN 'Ann Poe' ELSE 'Bo O''Hara-Li' END FROM b WHERE k = 2 OR (k = 6 AND inside)
+  UNION ALL SELECT doc, turn, 'email', 'a' || turn || '@b.example' FROM b WHERE k = 8)
+SELECT doc, arg_min(v, turn) FILTER (f = 'phone') AS phone, arg_min(v, turn) FILTER (f = 'emergency_phone') AS emergency_phone, arg_min(v, turn) FILTER (f = 'emergency_relationship') AS emergency_relationship,
+       arg_min(v, turn) FILTER (f = 'emergency_name') AS emergency_name, arg_min(v, turn) FILTER (f = 'email') AS email FROM v WHERE v IS NOT NULL GROUP BY doc""")
+def q_contacts(spark, sf_dir):
+    """Turns of all conversations turned into lines with headings, phones and names: whose each is."""
+    n, k = F.lpad((F.col("conv_id") * 100 + F.col("turn")).cast("string"), 9, "0"), (F.col("conv_id") * 7 + F.col("turn") * 5) % 9
+    kinds = [" ", "Контактное лицо: ", "Сестра: Ann Poe", F.concat(F.lit("+7 "), n), F.concat(F.lit("деда тел. +7"), n), F.concat_ws(": ", F.lit("text"), F.col("role")), "Bo O'Hara-Li", F.concat(F.lit("+7-"), n, F.lit(" (brother)")), F.concat(F.lit("a"), F.col("turn").cast("string"), F.lit("@b.example"))]
+    line = F.coalesce(*[F.when(k == i, x) for i, x in enumerate(kinds)])
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line_no"), line.alias("line"))
+    return contacts.contact_records(lines).select("doc", "phone", "emergency_phone", "emergency_relationship", "emergency_name", "email")
