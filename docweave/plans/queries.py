@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, extract, mrz, text
-from docweave.operators import contacts, forms, matching, order, pages, passport, reconcile, rules, wording
+from docweave.operators import contacts, forms, matching, order, pages, passport, patterns, reconcile, rules, wording
 from docweave.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -891,3 +891,24 @@ def q_contacts(spark, sf_dir):
     line = F.coalesce(*[F.when(k == i, x) for i, x in enumerate(kinds)])
     lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line_no"), line.alias("line"))
     return contacts.contact_records(lines).select("doc", "phone", "emergency_phone", "emergency_relationship", "emergency_name", "email")
+
+
+@query(r"""
+WITH v AS (SELECT regexp_extract(text, '^\S+ \S+ \S+') AS value FROM benchmark UNION SELECT event_type FROM events UNION SELECT lang FROM documents)
+SELECT doc_id, value FROM documents JOIN v ON contains(lower(text), lower(value)) WHERE trim(value) <> ''""")
+def q_values_in_texts(spark, sf_dir):
+    """Beginnings of benchmark passages, kinds of events and languages, as values that all documents are searched for."""
+    t = lambda name: table(spark, sf_dir, name)
+    values = t("benchmark").select(F.regexp_extract("text", r"^\S+ \S+ \S+", 0).alias("value")).unionByName(t("events").select(F.col("event_type").alias("value"))).unionByName(t("documents").select(F.col("lang").alias("value")))
+    return patterns.values_in_texts(t("documents"), values, "doc_id")
+
+
+@query(r"""
+WITH r AS (SELECT DISTINCT split_part(p_name, ' ', 1 + p_partkey::INT % 2) AS by FROM part UNION SELECT DISTINCT substr(p_type, 1, 3) FROM part)
+SELECT DISTINCT value, by FROM (SELECT p_name AS value FROM part UNION SELECT p_type || ' ' || p_brand FROM part) JOIN r ON contains(lower(value), lower(by)) WHERE trim(by) <> ''""")
+def q_kept_at_risk(spark, sf_dir):
+    """Names and types of all parts that redacting some of their words would change."""
+    p = table(spark, sf_dir, "part")
+    kept = p.select(F.col("p_name").alias("value")).unionByName(p.select(F.concat_ws(" ", "p_type", "p_brand").alias("value")))
+    words = p.select(F.expr("split_part(p_name, ' ', CAST(1 + p_partkey % 2 AS INT))").alias("value")).unionByName(p.select(F.substring("p_type", 1, 3).alias("value")))
+    return patterns.kept_at_risk(kept, words)
