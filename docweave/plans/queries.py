@@ -904,8 +904,8 @@ def q_values_in_texts(spark, sf_dir):
 
 
 @query(r"""
-WITH r AS (SELECT DISTINCT split_part(p_name, ' ', 1 + p_partkey::INT % 2) AS by FROM part UNION SELECT DISTINCT substr(p_type, 1, 3) FROM part)
-SELECT DISTINCT value, by FROM (SELECT p_name AS value FROM part UNION SELECT p_type || ' ' || p_brand FROM part) JOIN r ON contains(lower(value), lower(by)) WHERE trim(by) <> ''""")
+WITH r AS (SELECT DISTINCT split_part(p_name, ' ', 1 + p_partkey::INT % 2) AS "by" FROM part UNION SELECT DISTINCT substr(p_type, 1, 3) FROM part)
+SELECT DISTINCT value, "by" FROM (SELECT p_name AS value FROM part UNION SELECT p_type || ' ' || p_brand FROM part) JOIN r ON contains(lower(value), lower("by")) WHERE trim("by") <> ''""")
 def q_kept_at_risk(spark, sf_dir):
     """Names and types of all parts that redacting some of their words would change."""
     p = table(spark, sf_dir, "part")

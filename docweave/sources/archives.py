@@ -59,7 +59,7 @@ def archive_entries(spark: SparkSession, folder: str, depth: int = 6, most_bytes
     left out. A file with more than ``most_bytes`` bytes, whatever its header
     says, a damaged or encrypted one, or one whose path leaves the archive has
     no content but an error; a file that is no archive is one row with its
-    error. Archives come through Spark's own reader, so any store will do and
+    error, an empty one none, as Spark's reader passes over it. Archives come through Spark's own reader, so any store will do and
     nothing is unpacked to disk; each is a row there, hence of 2 GB at most.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{zip,ZIP}").load(folder)
