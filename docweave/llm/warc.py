@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import materialize, shared_folder, sized_join
@@ -47,8 +47,8 @@ def _record(kind: Column | str, rid: Column, headers: dict[str, Column], content
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(SEPARATOR), block)
 
 
-def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with payload, bytes, digest, and the first capture (first_id, first_url) of its payload if it revisits one.
+def plan_revisits(pages: DataFrame, min_bytes: int = 0, *keep: str) -> DataFrame:
+    """``pages`` (page_id, url, html) with payload, bytes, digest, and the first capture (first_id, first_url) of its payload if it revisits one, and the columns ``keep``.
 
     Of equal payloads of at least ``min_bytes``, the rows with the smallest
     page_id are responses and the others revisit them; null ids come last, and
@@ -56,7 +56,7 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", " ")
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"), *keep)
     base = base.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     firsts = (
         base.where(F.col("bytes") >= min_bytes).select("page_id", "url", "digest").groupBy("digest")
@@ -65,17 +65,26 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
     joined = sized_join(base, firsts, "digest", "left", 200_000)
     revisit = (F.col("first_id") != F.coalesce(F.col("page_id"), F.col("first_id") - 1)) & (F.col("bytes") >= min_bytes)
-    return joined.select("page_id", "url", "payload", "bytes", "digest", *[F.when(revisit, F.col(c)).alias(c) for c in ("first_id", "first_url")])
+    return joined.select("page_id", "url", "payload", "bytes", "digest", *keep, *[F.when(revisit, F.col(c)).alias(c) for c in ("first_id", "first_url")])
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000) -> None:
-    """Write a capture of three records per row of ``pages`` as ``.gz`` archives into ``folder``.
+#: Octets that a capture's headers have, about.
+HEADERS = 2000
+
+
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", octets_per_file: int = 64 << 20) -> None:
+    """Write a capture of three records per row of ``pages`` as ``.gz`` archives into ``folder``, each headed by a ``warcinfo`` record.
 
     Null and empty pages have an empty payload. Record ids follow from the
-    page's id, url and payload, so a task that runs again writes the same.
-    Files hold at most ``records_per_file`` records.
+    page's id, url and payload, so a task that runs again writes the same. An
+    archive ends with the capture with which its records pass
+    ``octets_per_file``, as read: it is a row to the reader.
     """
-    p = plan_revisits(pages, min_bytes)
+    p = plan_revisits(pages.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), min_bytes, "_part", "_row")
+    rows_of = Window.partitionBy("_part").orderBy("_row")
+    before = F.coalesce(F.sum(F.when(F.col("first_id").isNull(), F.col("bytes")).otherwise(0) + HEADERS).over(rows_of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p = p.withColumn("archive", F.concat_ws("-", F.lpad(F.col("_part").cast("string"), 6, "0"), F.lpad(F.floor(before / octets_per_file).cast("string"), 6, "0")))
+    p = p.withColumn("heads", ~F.col("archive").eqNullSafe(F.lag("archive").over(rows_of)))
     rid = _urn(F.lit("response"), F.col("page_id"), F.col("url"), F.col("digest"))
     refers = F.when(F.col("first_id").isNotNull(), _urn(F.lit("response"), F.col("first_id"), F.col("first_url"), F.col("digest")))
     revisit = F.col("first_id").isNotNull()
@@ -96,8 +105,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     )
     fields = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record("metadata", _urn(F.lit("metadata"), F.col("page_id"), F.col("url"), F.col("digest")), common | with_response, "application/warc-fields", fields)
-    rows = p.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    rows.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
+    about = _record("warcinfo", _urn(F.lit("warcinfo"), F.col("archive")), {"WARC-Date": F.lit(date), "WARC-Filename": F.concat("archive", F.lit(".warc.gz"))}, "application/warc-fields", F.lit(f"format: WARC File Format 1.1{CRLF}"))
+    records = F.array_compact(F.array(F.when(F.col("heads"), about), request, response, metadata))
+    rows = p.select("archive", "_row", F.posexplode(records).alias("_at", "value")).sortWithinPartitions("archive", "_row", "_at")
+    rows.select("archive", "value").write.partitionBy("archive").option("lineSep", SEPARATOR).option("compression", "gzip").text(folder)
 
 
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, uri string, date string, digest string, bytes long, true_digest string, fields string, payload binary"
@@ -179,20 +190,24 @@ def assemble(records: DataFrame) -> DataFrame:
     return grouped.where("response IS NOT NULL").select(F.explode(F.array_repeat(F.lit(1), F.col("times"))), "capture", "response", "request", "metadata").drop("col")
 
 
-def captures(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
+def captures(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, **options) -> DataFrame:
     """Write ``pages`` as archives, read them back, and return per row: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Size and digest of a response are those of the payload as read. A revisit's
     are those it declares; ``refers_to`` is the page of the record it names.
+    Archives stay only where a ``folder`` is given.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder, min_bytes)
-    flat = assemble(read_records(spark, folder, with_payload=False)).select(
+    archives = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, archives, min_bytes, **options)
+    flat = assemble(read_records(spark, archives, with_payload=False)).select(
         "capture", F.col("metadata.fields")["pageId"].alias("page"), F.col("response.kind").alias("record_type"), "response.refers_to",
         F.col("response.bytes").alias("payload_bytes"), F.coalesce("response.true_digest", "response.digest").alias("payload_digest"),
     )
     flat = materialize(flat.withColumn("page_id", F.expr("try_cast(nullif(page, '') AS BIGINT)")).drop("page"), "captures")
+    if folder is None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(archives)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     named = flat.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("capture")).distinct()
     targets = flat.join(named, "capture", "left_semi").groupBy(F.col("capture").alias("refers_to")).agg(F.min("page_id").alias("target"))
     revisits = sized_join(flat.where("refers_to IS NOT NULL"), targets, "refers_to", "left", 200_000)

@@ -1,8 +1,10 @@
 """The corpus operators against brute force on small tables that hold nulls, empty and long texts, ties and repeats."""
 
 import base64
+import gzip
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -484,12 +486,30 @@ def test_captures(spark):
 def test_archive_round_trip(spark, tmp_path):
     rows = [(i, f"http://h{i}/", f"<p>{i}</p>\r\n\r\n") for i in range(20)]
     folder = "file://" + str(tmp_path / "w")
-    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, records_per_file=7)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, octets_per_file=5000)
     nested = warc.assemble(warc.read_records(spark, folder)).collect()
     assert {(int(r.metadata.fields["pageId"]), r.response.uri, bytes(r.response.payload).decode()) for r in nested} == set(rows)
     assert all(r.request.head.startswith("GET / HTTP/1.1") and r.response.digest == r.response.true_digest for r in nested)
 
 
+def test_archives_are_bounded_by_octets_and_go(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, f"http://h{i}/", "".join(rng.choice("ab") for _ in range(1000)) * 1000 + str(i)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = tmp_path / "w"
+    got = warc.captures(pages, folder="file://" + str(folder), octets_per_file=10 << 20)
+    assert got.count() == 300
+    files = list(folder.glob("*/*.gz"))
+    assert 28 <= len(files) <= 40
+    for f in files:
+        data = gzip.decompress(f.read_bytes())
+        assert len(data) < 12 << 20
+        assert [r[0] for r in warc.parse_records(data)][:4] == ["warcinfo", "request", "response", "metadata"]
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert warc.captures(pages.limit(5)).count() == 5
+    assert not list(shared.glob("warc-*"))
+
+
 # URL filter
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block"}
