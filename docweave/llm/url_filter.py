@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from docweave.llm.common import sized_join
+from docweave.llm.common import materialize, sized_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEXICAL = ["url_chars", "host_chars", "path_chars", "depth", "digit_ratio", "entropy", "params", "query_chars", "labels", "hyphens", "longest_label", "secure", "dotted_path"]
@@ -119,8 +119,8 @@ class UrlFilter:
         urls, those of least hash; both verdicts weigh alike, so a url that nothing
         speaks for or against has a probability of about a half.
         """
-        rows = features(labelled.where("label IS NOT NULL AND url IS NOT NULL").select("url", F.col("label").cast("double").alias("label")).distinct())
-        stats = suffix_statistics(rows)
+        rows = materialize(features(labelled.where("label IS NOT NULL AND url IS NOT NULL").select("url", F.col("label").cast("double").alias("label")).distinct()), "urls")
+        stats = materialize(suffix_statistics(rows), "suffixes")
         sample = with_suffix(rows.orderBy(F.xxhash64("url", "label"), "url", "label").limit(max_rows), stats, training=True)
         data = VectorAssembler(inputCols=LEXICAL + SUFFIX, outputCol="features").transform(sample).select("features", "label").persist()
         counts = dict(tuple(r) for r in data.groupBy("label").count().collect())
