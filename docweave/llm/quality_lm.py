@@ -283,6 +283,18 @@ def thresholds(scores: DataFrame, quantile: float = 0.999) -> tuple[DataFrame, D
     return by_lang.join(F.broadcast(spread)).select("_lang", own.alias("_own")), every.select("_all")
 
 
+def _alike_once(flagged: DataFrame) -> DataFrame:
+    """``flagged`` with ``copies``: rows that repeat an id and a text (or a text without an id), which would meet in one block, are one row."""
+    single = flagged.withColumn("copies", F.lit(1))
+    repeated = flagged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if repeated.isEmpty():
+        return single
+    again = repeated.where("doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("_again"))
+    marked = sized_join(single, again, "doc_id", "left").withColumn("_again", F.coalesce("_again", F.col("doc_id").isNull()))
+    alike = marked.where("_again").groupBy("doc_id", "lang", "text", "trusted").agg(F.count("*").cast("int").alias("copies"))
+    return marked.where("NOT _again").drop("_again").select(*single.columns).unionByName(alike.select(*single.columns))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order: int = ORDER) -> DataFrame:
     """Score all ``docs`` (doc_id, text, lang): doc_id, lang, n_chars, text_hash, perplexity, threshold, kept.
 
@@ -296,9 +308,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order:
     flagged = trusted_flags(docs.select(*columns), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic"))
     counts = count_without_folds(flagged.where("trusted > 0").select("text", F.col("trusted").alias("fold")), order)
     model = KneserNey(materialize(counts, "counts"), order)
-    keep = [F.col("doc_id"), F.col("lang"), F.col("trusted"), F.length("text").cast("long"), F.xxhash64("text")]
-    found = perplexity(flagged, model, keep, part=F.col("trusted"))
-    scored = materialize(found.toDF("doc_id", "lang", "trusted", "n_chars", "text_hash", "perplexity"), "scored")
+    once = _alike_once(flagged)
+    keep = [F.col("doc_id"), F.col("lang"), F.col("trusted"), F.length("text").cast("long"), F.xxhash64("text"), F.col("copies")]
+    found = perplexity(once, model, keep, part=F.col("trusted")).toDF("doc_id", "lang", "trusted", "n_chars", "text_hash", "copies", "perplexity")
+    found = found.select("doc_id", "lang", "trusted", "n_chars", "text_hash", "perplexity", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
+    scored = materialize(found, "scored")
     by_lang, overall = thresholds(scored.where("trusted > 0 AND perplexity IS NOT NULL"), quantile)
     out = scored.join(F.broadcast(overall)).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.coalesce("_own", "_all")
