@@ -313,7 +313,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the near duplicates of a document of smaller id; the one of least id of each class stays, with all columns.
 
     Rows go by id: an id goes if all its rows are near duplicates of smaller
-    ids. Of repeated rows of one id and text one stays. Null ids stay where
+    ids. Of repeated rows of one id and text the least as JSON stays. Null ids stay where
     their class has no other.
     """
     no_id = F.lit(-(1 << 63))
@@ -322,8 +322,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     (key,) = fresh(docs, "id")
     ids = classes.groupBy(F.coalesce("doc_id", no_id).alias(key)).agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
     out = sized_join(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), no_id)), ids.where("NOT stays").select(key), key, "left_anti").select(*docs.columns)
-    repeated = ids.where("stays AND n > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    repeated = ids.where("stays AND n > 1").select(key)
+    if repeated.isEmpty():
+        return out
+    keyed = out.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), no_id))
+    (row,) = fresh(docs, "row")
+    several = sized_join(keyed, repeated, key, "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias(row))
+    return sized_join(keyed, repeated, key, "left_anti").select(*docs.columns).unionByName(several.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
