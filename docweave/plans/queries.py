@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, extract, mrz, text
-from docweave.operators import contacts, forms, matching, order, pages, passport, patterns, reconcile, rules, wording
+from docweave.operators import addresses, contacts, forms, matching, order, pages, passport, patterns, reconcile, rules, wording
 from docweave.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -912,3 +912,17 @@ def q_kept_at_risk(spark, sf_dir):
     kept = p.select(F.col("p_name").alias("value")).unionByName(p.select(F.concat_ws(" ", "p_type", "p_brand").alias("value")))
     words = p.select(F.expr("split_part(p_name, ' ', CAST(1 + p_partkey % 2 AS INT))").alias("value")).unionByName(p.select(F.substring("p_type", 1, 3).alias("value")))
     return patterns.kept_at_risk(kept, words)
+
+
+@query(r"""
+WITH c AS (SELECT c_custkey AS doc, c_mktsegment AS seg, n_nationkey AS n, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT doc, CASE WHEN doc % 5 <> 0 THEN doc || '/7 ' || seg || ' St' || CASE WHEN doc % 3 <> 0 THEN ', ' || upper(seg[1:1]) || lower(seg[2:]) || ' Hai Ward' ELSE '' END || CASE WHEN doc % 4 <> 0 THEN ', Nation ' || n ELSE '' END END AS address,
+       CASE WHEN doc % 3 <> 0 THEN seg || ' HAI' END AS ward, CASE WHEN doc % 4 <> 0 THEN 'NATION ' || n END AS town, CASE WHEN doc % 4 <> 0 THEN r_name END AS province FROM c""")
+def q_addresses(spark, sf_dir):
+    """One-line addresses of all customers, with wards and towns that all nations list, split into their parts."""
+    t, k = (lambda name: table(spark, sf_dir, name)), F.col("c_custkey")
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower(F.replace("n_name", F.lit("_"), F.lit("  "))).alias("name"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("town"), F.col("r_name").alias("province"))
+    street, ward = F.concat(k.cast("string"), F.lit("/7 "), F.col("c_mktsegment"), F.lit(" St")), F.concat(F.when(k % 2 == 0, "Phường ").otherwise(""), F.lower("c_mktsegment"), F.lit("  hai"), F.when(k % 2 == 1, " ward").otherwise(""))
+    town = F.concat(F.lit("Nation-"), F.col("c_nationkey").cast("string"))
+    line = F.concat_ws(" ,", F.when(k % 5 != 0, street), F.when(k % 3 != 0, ward), F.when(k % 4 != 0, town), F.when(k % 2 == 0, "VIET NAM"))
+    return addresses.split_addresses(t("customer").select(k.alias("doc"), line.alias("line")), places)
