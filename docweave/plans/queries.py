@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, extract, mrz, text
-from docweave.operators import addresses, contacts, forms, matching, order, pages, passport, patterns, reconcile, rules, wording
+from docweave.operators import addresses, contacts, forms, matching, order, pages, passport, patterns, reconcile, rules, spatial, wording
 from docweave.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -926,3 +926,21 @@ def q_addresses(spark, sf_dir):
     town = F.concat(F.lit("Nation-"), F.col("c_nationkey").cast("string"))
     line = F.concat_ws(" ,", F.when(k % 5 != 0, street), F.when(k % 3 != 0, ward), F.when(k % 4 != 0, town), F.when(k % 2 == 0, "VIET NAM"))
     return addresses.split_addresses(t("customer").select(k.alias("doc"), line.alias("line")), places)
+
+
+@query(r"""
+WITH RECURSIVE r AS (SELECT user_id AS page, event_type AS value, ts, event_id, floor(value / 4)::INT * 2.0::DOUBLE AS x, floor(epoch(ts) / 86400) % 2 * 10.0::DOUBLE AS y FROM events),
+b AS (SELECT page, value, x, y, count(*) AS n, min(event_id) AS first FROM r GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY page, value, y ORDER BY first) AS k FROM b),
+f AS (SELECT page, value, y, 0::BIGINT AS k, []::STRUCT(x DOUBLE, votes BIGINT)[] AS e FROM o GROUP BY ALL
+  UNION ALL SELECT f.page, f.value, f.y, o.k, CASE WHEN list_position(list_transform(e, lambda z: abs(z.x - o.x) < 3), true) > 0
+    THEN list_transform(e, lambda z, i: {'x': z.x, 'votes': z.votes + CASE WHEN i = list_position(list_transform(e, lambda q: abs(q.x - o.x) < 3), true) THEN o.n ELSE 0 END}) ELSE list_append(e, {'x': o.x, 'votes': o.n}) END
+  FROM f JOIN o ON f.page = o.page AND f.value = o.value AND f.y = o.y AND o.k = f.k + 1),
+d AS (SELECT page, value, y, unnest(e) AS u FROM (SELECT page, value, y, arg_max(e, k) AS e FROM f GROUP BY ALL))
+SELECT page, value, u.x AS x, y, 1.5::DOUBLE AS h, u.votes AS votes FROM d""")
+def q_pooled_votes(spark, sf_dir):
+    """All events as readings of their type at a place that value and day give, pooled by user."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000) % 2
+    readings = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("page"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("value"), (F.floor(F.col("value") / 4) * 2.0).alias("x"), (day * 10.0).alias("y"), F.lit(1.5).alias("h"))
+    return spatial.pooled_votes(readings)
