@@ -204,18 +204,15 @@ def checked_votes(zones: DataFrame, checked: list[str]) -> DataFrame:
 def reader_summary(results: DataFrame) -> DataFrame:
     """Per reader (reader, correct, attempted, error, ms): sums, accuracy, perfect images, errors, upper median and total time.
 
-    The upper median is the value at place n / 2, counted from zero. Times are
-    counted by whole milliseconds, which tells the millisecond it lies in; only
-    the rows of that one are ranked, so no task sorts a reader's times.
+    The upper median is the value at place n / 2, counted from zero; null times
+    come first. It is found from the counts of each time, so no reader's rows
+    are ranked.
     """
-    slot = F.floor("ms")
-    slots = results.groupBy("reader", slot.alias("_slot")).agg(F.count("*").alias("_in"))
-    before = F.sum("_in").over(Window.partitionBy("reader").orderBy("_slot")) - F.col("_in")
-    slots = slots.withColumn("_before", before).withColumn("_place", F.floor(F.sum("_in").over(Window.partitionBy("reader")) / 2) - F.col("_before"))
-    middle = slots.where("_place >= 0 AND _place < _in").select(F.col("reader").alias("_reader"), "_slot", "_place")
-    inside = results.select("reader", "ms").join(middle, F.col("reader").eqNullSafe(F.col("_reader")) & slot.eqNullSafe(F.col("_slot")))
-    ranked = inside.withColumn("_at", F.row_number().over(Window.partitionBy("_reader").orderBy("ms")) - 1).where("_at = _place")
-    medians = ranked.select("_reader", F.col("ms").alias("median_ms"))
+    times = results.groupBy("reader", "ms").agg(F.count("*").alias("_in"))
+    own = Window.partitionBy("reader")
+    upto = F.sum("_in").over(own.orderBy(F.col("ms").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.floor(F.sum("_in").over(own) / 2)
+    medians = times.select(F.col("reader").alias("_reader"), F.col("ms").alias("median_ms"), "_in", upto.alias("_upto"), place.alias("_place")).where("_place < _upto AND _place >= _upto - _in").drop("_in", "_upto", "_place")
     attempted = F.sum("attempted")
     sums = results.groupBy("reader").agg(
         F.sum("correct").alias("correct"), attempted.alias("attempted"), F.when(attempted > 0, F.sum("correct") / attempted).otherwise(0.0).alias("accuracy"),

@@ -208,13 +208,17 @@ def q_diff(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT unnest(['view', ' CLICK', 'sign', 'purch', 'o', 'zzz', 'abort']) AS value)
-SELECT value, CASE value WHEN 'view' THEN 'view' WHEN ' CLICK' THEN 'click' WHEN 'sign' THEN 'signup' WHEN 'purch' THEN 'purchase' WHEN 'abort' THEN 'error' WHEN 'o' THEN 'error' ELSE value END AS canonical, (SELECT count(*) FROM events) AS events FROM c""")
+WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lower(p_type) WHEN 1 THEN ' ' || substr(p_type, 1, 3) WHEN 2 THEN substr(p_type, 2, 3) ELSE p_name END AS value FROM part),
+o(o) AS (VALUES ('ECONOMY'), ('Small'), ('medium'), ('LARGE'), ('Promo'), ('STANDARD'), ('Standby'), ('red')),
+h AS (SELECT p_partkey, value, lower(trim(value)) AS v, max(o) FILTER (lower(o) = v) AS same, CASE v WHEN 'hot gear' THEN 'red' WHEN 'sta' THEN 'STANDARD' END AS word, count(*) FILTER (contains(lower(o), v)) AS n, max(o) FILTER (contains(lower(o), v)) AS inside,
+  count(*) FILTER (starts_with(lower(o), v)) AS s, max(o) FILTER (starts_with(lower(o), v)) AS starts FROM p, o GROUP BY ALL)
+SELECT p_partkey, value, coalesce(same, word, CASE WHEN n = 1 THEN inside END, CASE WHEN s = 1 THEN starts END, value) AS canonical FROM h""")
 def q_canonical(spark, sf_dir):
-    """Choices as a site writes them: equal but for case, by synonym, or the only one that contains the value."""
-    values = spark.createDataFrame([(v,) for v in ("view", " CLICK", "sign", "purch", "o", "zzz", "abort")], "value string")
-    n = table(spark, sf_dir, "events").agg(F.count("*").alias("events"))
-    return matching.canonical(values, ["view", "click", "signup", "purchase", "error"], {"abort": "error"}).join(F.broadcast(n))
+    """Types of all parts in other case, cut, or replaced by the part's name, as a site's choices write them."""
+    k, kind = F.col("p_partkey") % 4, F.col("p_type")
+    value = F.when(k == 0, F.lower(kind)).when(k == 1, F.concat(F.lit(" "), F.substring(kind, 1, 3))).when(k == 2, F.substring(kind, 2, 3)).otherwise(F.col("p_name"))
+    options = ["ECONOMY", "Small", "medium", "LARGE", "Promo", "STANDARD", "Standby", "red"]
+    return matching.canonical(table(spark, sf_dir, "part").select("p_partkey", value.alias("value")), options, {"hot gear": "red", "sta": "STANDARD"})
 
 
 @query("""SELECT doc_id AS key, min(doc_id) OVER (PARTITION BY sha256(text)) AS kept FROM documents""")
@@ -224,11 +228,11 @@ def q_dedup(spark, sf_dir):
 
 
 @query("""
-SELECT x, y, scale, mode, (SELECT count(*) FROM region) AS regions FROM unnest([-2, -1, 0, 1, 2]) a(x), unnest([0, 1]) b(y), unnest([1.0::DOUBLE, 1.5::DOUBLE]) c(scale), unnest(['plain', 'contrast']) d(mode)""")
+SELECT s_suppkey, x, y, scale, mode, s_suppkey * 1000 + x * 100 + y * 10 + scale AS setting FROM supplier, unnest([-2, -1, 0, 1, 2]) a(x), unnest([0, 1]) b(y), unnest([1.0::DOUBLE, 1.5::DOUBLE]) c(scale), unnest(['plain', 'contrast']) d(mode)""")
 def q_grid(spark, sf_dir):
-    """Every setting of a reader, as a literal grid."""
-    n = table(spark, sf_dir, "region").agg(F.count("*").alias("regions"))
-    return matching.grid(n, x=[-2, -1, 0, 1, 2], y=[0, 1], scale=[1.0, 1.5], mode=["plain", "contrast"]).select("x", "y", "scale", "mode", "regions")
+    """Every setting of a reader for each supplier, as rows."""
+    rows = matching.grid(table(spark, sf_dir, "supplier").select("s_suppkey"), x=[-2, -1, 0, 1, 2], y=[0, 1], scale=[1.0, 1.5], mode=["plain", "contrast"])
+    return rows.withColumn("setting", F.col("s_suppkey") * 1000 + F.col("x") * 100 + F.col("y") * 10 + F.col("scale"))
 
 
 @query("""
@@ -288,10 +292,12 @@ def q_redact_values(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", F.md5("r.text").alias("digest"), "r.removed")
 
 
-@query("""
-SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script\\s*>', '', 'gis'),
-  '<(iframe|frame|object|embed)\\b.*?(</(iframe|frame|object|embed)\\s*>|/?>)', '', 'gis'), '<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh[^>]*>', '', 'gi'),
-  '\\s+on[a-z]+\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', '', 'gi'), '(href|src|action)\\s*=\\s*(["'']?)\\s*javascript:[^"''>\\s]*', '\\1=\\2#', 'gi')) AS digest FROM pages""")
+@query(r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', '', 'gis'), '<iframe\b[^>]*>.*?</iframe\s*>', '', 'gis'), '<object\b[^>]*>.*?</object\s*>', '', 'gis'),
+  '<(frame|embed)\b[^>]*>.*?</(frame|embed)\s*>', '', 'gis'), '</?(script|iframe|frame|object|embed)\b[^>]*>', '', 'gis') AS h FROM pages),
+t AS (SELECT page_id, list_transform(regexp_extract_all(h, '<(?:[^<>"'']+|"[^"]*"|''[^'']*'')*>|<[^<>]*>|[^<]+|<'), lambda x: CASE WHEN NOT regexp_matches(x, '^<[A-Za-z]') THEN x WHEN regexp_matches(x, '^<meta\b.*http-equiv\s*=\s*["'']?refresh', 'i') THEN ''
+  ELSE regexp_replace(regexp_replace(x, '\son[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', '', 'gi'), '\b(href|src|action)\s*=\s*("\s*javascript:[^"]*"|''\s*javascript:[^'']*''|javascript:[^\s>]*)', '\1="#"', 'gi') END) AS x FROM a)
+SELECT page_id, md5(array_to_string(x, '')) AS digest FROM t""")
 def q_strip(spark, sf_dir):
     """Pages without active content."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(rules.strip_active_content(F.col("html"))).alias("digest"))
@@ -335,17 +341,39 @@ def q_check_digit(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s"), mrz.check_digit(s).alias("digit"))
 
 
-@query("""
-SELECT c_custkey, upper(c_mktsegment) AS surname, lpad(c_custkey::VARCHAR, 9, '0') AS number, true AS number_ok, '1985-07-13' AS birth, 'F' AS sex, '2031-02-28' AS expiry FROM customer""")
+def _digit_sql(x: str) -> str:
+    return "((" + " + ".join(f"{w} * substr({x}, {i}, 1)::INT" for i, w in enumerate((7, 3, 1, 7, 3, 1), 1)) + ") % 10)"
+
+
+def _date_sql(x: str) -> str:
+    return f"(substr({x}, 3, 2)::INT BETWEEN 1 AND 12 AND substr({x}, 5, 2)::INT BETWEEN 1 AND 31)"
+
+
+@query(f"""
+WITH g(glyph, others) AS (VALUES ('1', '74'), ('7', '1'), ('8', '635'), ('9', '48'), ('0', '86'), ('5', '68'), ('6', '58'), ('4', '19'), ('3', '8'), ('2', '7')),
+c AS (SELECT c_custkey AS k, c_mktsegment AS seg, strftime(DATE '1950-01-01' + (c_custkey * 37 % 18000)::INT, '%y%m%d') AS t, 1 + c_custkey % 6 AS p, 1 + c_custkey % 5 AS q FROM customer),
+m AS (SELECT c.*, {_digit_sql("t")} AS d, CASE WHEN k % 4 = 0 THEN t ELSE substr(t, 1, p - 1) || substr(a.others, 1, 1) || substr(t, p + 1) END AS v1 FROM c JOIN g a ON a.glyph = substr(t, p, 1)),
+v AS (SELECT m.*, CASE WHEN k % 4 = 2 THEN substr(v1, 1, q - 1) || substr(b.others, 1, 1) || substr(v1, q + 1) ELSE v1 END AS v FROM m JOIN g b ON b.glyph = substr(v1, q, 1)),
+r AS (SELECT k, v, d, i, a FROM (SELECT k, v, d, i, unnest(string_split(others, '')) AS a FROM (SELECT k, v, d, unnest([1, 2, 3, 4, 5, 6]) AS i FROM v) JOIN g ON glyph = substr(v, i, 1))),
+one AS (SELECT k, substr(v, 1, i - 1) || a || substr(v, i + 1) AS w, d FROM r), two AS (SELECT x.k, substr(x.v, 1, x.i - 1) || x.a || substr(x.v, x.i + 1, y.i - x.i - 1) || y.a || substr(x.v, y.i + 1) AS w, x.d FROM r x JOIN r y ON x.k = y.k AND x.i < y.i),
+n1 AS (SELECT k, count(DISTINCT w) AS n, min(w) AS w FROM one WHERE {_digit_sql("w")} = d AND {_date_sql("w")} GROUP BY k), n2 AS (SELECT k, count(DISTINCT w) AS n, min(w) AS w FROM two WHERE {_digit_sql("w")} = d AND {_date_sql("w")} GROUP BY k),
+f AS (SELECT v.*, CASE WHEN {_digit_sql("v")} = d THEN v WHEN n1.n = 1 THEN n1.w WHEN n1.n > 1 THEN v WHEN n2.n = 1 THEN n2.w ELSE v END AS x, {_digit_sql("v")} <> d AND (coalesce(n1.n, 0) = 1 OR (n1.n IS NULL AND coalesce(n2.n, 0) = 1)) AS repaired
+  FROM v LEFT JOIN n1 ON n1.k = v.k LEFT JOIN n2 ON n2.k = v.k)
+SELECT k AS c_custkey, upper(seg) AS surname, lpad(k::VARCHAR, 9, '0') AS number, k % 5 <> 0 AS number_ok, (CASE WHEN substr(x, 1, 2)::INT <= 30 THEN '20' ELSE '19' END) || substr(x, 1, 2) || '-' || substr(x, 3, 2) || '-' || substr(x, 5, 2) AS birth,
+       {_digit_sql("x")} = d AND {_date_sql("x")} AS birth_ok, CASE WHEN repaired THEN 'birth,expiry' ELSE 'expiry' END AS repaired, 'F' AS sex, '2031-02-28' AS expiry FROM f""")
 def q_mrz(spark, sf_dir):
-    """Lines built of customers, parsed back."""
-    number = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
-    birth, expiry = F.lit("850713"), F.lit("310228")
-    read = lambda d: F.when(F.col("c_custkey") % 2 == 0, d).otherwise(F.translate(d, "0", "O"))
+    """Lines built of all customers, some with a wrong digit and with one or two glyphs of a date misread, parsed and repaired."""
+    k, number, expiry = F.col("c_custkey"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit("310228")
+    wrong = F.create_map(*[F.lit(x) for kv in {g: o.replace(g, "")[:1] for g, o in mrz.AMBIGUOUS.items() if g.isdigit()}.items() for x in kv])
+    misread = lambda v, at: F.concat(F.substring(v, F.lit(1), at - 1), F.element_at(wrong, F.substring(v, at, F.lit(1))), F.substring(v, at + 1, F.lit(9)))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.expr("date_format(date_add(DATE'1950-01-01', CAST(c_custkey * 37 % 18000 AS INT)), 'yyMMdd')").alias("t"))
+    c = c.withColumn("v", F.when(k % 4 == 0, F.col("t")).otherwise(misread(F.col("t"), (1 + k % 6).cast("int"))))
+    c = c.withColumn("v", F.when(k % 4 == 2, misread(F.col("v"), (1 + k % 5).cast("int"))).otherwise(F.col("v")))
+    digit = (mrz.check_digit(number) + F.when(k % 5 == 0, 1).otherwise(0)) % 10
     line1 = F.rpad(F.concat(F.lit("P<UTO"), F.upper("c_mktsegment"), F.lit("<<ANN<MARIE")), 44, "<")
-    line2 = F.concat(number, mrz.check_digit(number), F.lit("UTO"), read(birth), mrz.check_digit(birth), F.lit("F"), read(expiry), mrz.check_digit(expiry), F.lit("<<<<<<<<<<<<<<00"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", mrz.parse_line1(line1).alias("a"), line2.alias("line2"))
-    return mrz.parse_line2(c, "line2", "b").select("c_custkey", "a.surname", "b.number", "b.number_ok", "b.birth", "b.sex", "b.expiry")
+    line2 = F.concat(number, digit, F.lit("UTO"), F.col("v"), mrz.check_digit(F.col("t")), F.lit("F"), F.translate(expiry, "0", "O"), mrz.check_digit(expiry), F.lit("<<<<<<<<<<<<<<00"))
+    read = mrz.parse_line2(c.select("c_custkey", mrz.parse_line1(line1).alias("a"), line2.alias("line2")), "line2", "b")
+    return read.select("c_custkey", "a.surname", "b.number", "b.number_ok", "b.birth", "b.birth_ok", F.array_join("b.repaired", ",").alias("repaired"), "b.sex", "b.expiry")
 
 
 @query("""

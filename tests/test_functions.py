@@ -36,7 +36,8 @@ def apply(spark):
     (lambda c: dates.birth_year(c), ("30",), 2030), (lambda c: dates.birth_year(c), ("31",), 1931), (lambda c: dates.expiry_year(c, F.lit("2080-01-01").cast("date")), ("05",), 2105),
     (mrz.check_digit, ("L898902C3",), 6), (mrz.check_digit, ("",), 0), (mrz.to_digits, ("O1Z<",), "0120"),
     (rules.name_fault, ("A1B",), "contains 1"), (rules.name_fault, ("Anna",), None), (rules.name_fault, ("Анна",), "is not in Latin letters"),
-    (rules.strip_active_content, ('<p onclick="x()">a<SCRIPT>b\n</script ><iframe src=x></iframe><a href="javascript:y">',), '<p>a</iframe><a href="#">'),
+    (rules.strip_active_content, ('<p onclick="x()">a<SCRIPT>b\n</script ><iframe src=x></iframe><a href="javascript:y">',), '<p>a<a href="#">'),
+    (rules.strip_active_content, ('<b a=1 ONLOAD=\'x > y\' c="on=1">on click=1 href=javascript:x<META http-equiv="Refresh" content=1><meta charset=u><embed src=x><OBJECT>p<p></object><form action= javascript:f() id=q>1 < 2',), '<b a=1 c="on=1">on click=1 href=javascript:x<meta charset=u><form action="#" id=q>1 < 2'),
     (readers.message_id, ("From: a\r\nMessage-Id: <1@x>\r\n\r\nMessage-ID: <2@x>",), "<1@x>"),
     (lambda c: order.split_message(c, 6), ("abc\n\n<b>de</b>\n\nfghijkl\n\nm",), ["abc", "<b>de</b>", "fghijkl", "m"]),
 ])
