@@ -163,3 +163,24 @@ def test_reports(make):
     assert [r.line for r in writers.fixed_width(make([("x", 10), ("long", 2)], "name string, n int")).collect()] == ["name  n", "long  2", "x     10"]
     facts = writers.facts(make([("c", "b", "1"), ("c", "a", "2"), ("c", "z", None)], "chat string, property string, value string"))
     assert [tuple(x) for x in facts.first().links] == [("a", "2"), ("b", "1")]
+
+
+def test_listed_rows_single_keys_and_json(make):
+    from docweave.operators import passport
+
+    df, listed = make([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "id int, v string"), make([(2,), (2,), (None,)], "id int")
+    assert [r.v for r in passport.select_or_skip(df, listed, "id").orderBy("v").collect()] == ["b", "c"]
+    assert [r.v for r in passport.select_or_skip(df, listed, "id", keep=False).orderBy("v").collect()] == ["a", "d"]
+    assert rows(passport.one_row_a_key(df.where("v <> 'c'"), "id")) == sorted([(1,), (2,), (None,)], key=repr)
+    with pytest.raises(Exception, match="several rows for 2"):
+        passport.one_row_a_key(df, "id").collect()
+    assert passport.select_or_skip(df, listed.where("false"), "id").count() == 0
+    one = make([("a", None, [1, 2])], "x string, y string, z array<int>").select(passport.pretty_json(F.struct("x", "y", "z")).alias("j")).first().j
+    assert one.split() == ["{", '"x"', ":", '"a",', '"z"', ":", "[", "1,", "2", "]", "}"] and "\n" in one
+
+
+def test_medians_and_manifests(make):
+    r = make([("a", 1, 1, None, 5.0), ("a", 0, 1, "x", 5.0), ("a", 1, 1, None, 7.0), ("a", 1, 1, None, None), ("b", 0, 0, None, 0.5), (None, 1, 2, None, 1.0), (None, 1, 1, None, 2.0)], "reader string, correct int, attempted int, error string, ms double")
+    assert {x.reader: x.median_ms for x in reconcile.reader_summary(r).collect()} == {"a": 5.0, "b": 0.5, None: 2.0}
+    judged = make([("s", (True, ["r1", "r2"])), (None, (False, [])), ("t", (True, []))], "subject string, verdict struct<relevant: boolean, reasons: array<string>>")
+    assert rows(rules.manifest(judged)) == sorted([(True, "s - r1; r2"), (False, " - "), (True, "t - ")], key=repr)
