@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import uuid
@@ -27,11 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of the warehouse where none is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, where all is on one machine, a folder of the warehouse if none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/docweave-work").rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within this, each query's shuffle files go as it ends, those of counts and other looks at a table too."""
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -52,7 +66,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``materialize`` gave and that nothing reads any more; frames made from them don't count as such tables."""
+    for t in tables:
+        path = t.__dict__.pop("_folder", None)
+        if path:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def trim_memory() -> None:

@@ -6,8 +6,9 @@ and a pair is dropped as soon as the posterior probability that it is similar
 enough falls below the chosen miss probability. Survivors are verified on whole
 sets. What a leader can't settle goes on: Jaccard distance is a metric, so a
 member need not be held against others if its distance to the leader shows that
-none of them can be near enough. After some leaders, those left are compared
-with each other in blocks. So a group of copies costs about a pair each.
+none of them can be near enough. After some leaders, signatures of those left
+are compared with each other in blocks, and what survives is verified in blocks
+of whole sets. So a group of copies costs about a pair each.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import frugal, hot_join, materialize, sized_join, trim_memory
+from docweave.llm.common import discard, frugal, hot_join, materialize, shuffles_dropped, sized_join, trim_memory
 from docweave.llm.graph import connected_components
-from docweave.llm.jaccard_join import shingles
+from docweave.llm.jaccard_join import _overlaps as common_items
+from docweave.llm.jaccard_join import _roots, shingles
 
 #: A signature has so many bands of so many values. A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42 = 3e-6.
 BANDS, ROWS = 42, 6
@@ -129,26 +131,31 @@ class Verifier:
     def __init__(self, docs: DataFrame, reps: DataFrame, words: int, similarity: tuple[int, int], miss: float):
         self.docs, self.reps, self.words, self.similarity, self.miss = docs, reps, words, similarity, miss
         self.known: DataFrame | None = None
+        self.edges: list[DataFrame] = []
 
     def test(self, pairs: DataFrame) -> DataFrame:
         """(node, leader, linked, apart) for each of ``pairs`` (node, leader): whether they are linked, and a distance that they have at least. Pairs met before aren't tested again."""
         new = pairs if self.known is None else pairs.join(self.known, ["node", "leader"], "left_anti")
         new = materialize(new, "pairs")
         leaders = new.groupBy("leader").agg(F.count("*").alias("n")).join(self.reps.select(F.col("node").alias("leader"), F.col("values").alias("theirs")), "leader")
-        both = hot_join(new, materialize(leaders, "leaders"), ["leader"], "n").join(self.reps.select("node", "values"), "node")
+        leaders = materialize(leaders, "leaders")
+        both = hot_join(new, leaders, ["leader"], "n").join(self.reps.select("node", "values"), "node")
         bounds = materialize(both.select("node", "leader", "values", "theirs").mapInArrow(self._bounds(), "node binary, leader binary, most double"), "bounds")
+        discard(new, leaders)
         num, den = self.similarity
         exact = self._verified(bounds.where(F.col("most") >= num / den).select("node", "leader"))
         linked = F.coalesce(F.col("common") * den >= F.col("total") * num, F.lit(False))
         apart = F.coalesce(1 - F.col("common") / F.col("total"), 1 - F.col("most"))
         done = materialize(bounds.join(exact, ["node", "leader"], "left").select("node", "leader", linked.alias("linked"), apart.alias("apart")), "tested")
+        discard(bounds, exact)
         self.known = done if self.known is None else self.known.unionByName(done)
+        self.edges.append(done.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b")))
         return done if self.known is done else pairs.join(self.known, ["node", "leader"])
 
     def links(self) -> DataFrame:
-        if self.known is None:
-            return self.reps.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
-        return self.known.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        """(a, b): the links found so far."""
+        none = self.reps.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
+        return functools.reduce(DataFrame.unionByName, self.edges, none)
 
     def _bounds(self):
         (num, den), miss = self.similarity, self.miss
@@ -162,19 +169,20 @@ class Verifier:
 
     def _verified(self, pairs: DataFrame, items: int = 1 << 18) -> DataFrame:
         """(node, leader, common, total): sizes of the intersection and the union of whole sets. A leader meets its nodes in chunks of about ``items`` shingles."""
-        texts = self._texts(pairs)
+        texts = self.texts(pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct())
         sized = pairs.join(self.reps.select("node", "n_items"), "node")
-        chunks = sized.groupBy("leader").agg(F.ceil(F.sum("n_items") / items).cast("int").alias("chunks"), F.count("*").alias("n"))
+        chunks = materialize(sized.groupBy("leader").agg(F.ceil(F.sum("n_items") / items).cast("int").alias("chunks"), F.count("*").alias("n")), "chunks")
         chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        dealt = materialize(hot_join(materialize(pairs, "alive"), materialize(chunks, "chunks"), ["leader"], "n").select("leader", chunk.alias("chunk"), "node"), "dealt")
+        dealt = materialize(hot_join(pairs, chunks, ["leader"], "n").select("leader", chunk.alias("chunk"), "node"), "dealt")
         heads = dealt.select("leader", "chunk", F.col("leader").alias("node")).distinct()
         rows = dealt.unionByName(heads).join(texts, "node")
-        return rows.groupBy("leader", "chunk").applyInArrow(_overlaps(self.words), "node binary, leader binary, common long, total long")
+        out = materialize(rows.groupBy("leader", "chunk").applyInArrow(_overlaps(self.words), "node binary, leader binary, common long, total long"), "exact")
+        discard(texts, chunks, dealt)
+        return out
 
-    def _texts(self, pairs: DataFrame) -> DataFrame:
-        """(node, packed): a compressed text of each set in ``pairs``, of the row of least id that has it."""
-        nodes = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct().join(self.reps.select("node", "least"), "node")
-        nodes = materialize(nodes, "nodes")
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, packed): a compressed text of each of ``nodes`` (node), of the rows of least id that have it."""
+        nodes = materialize(nodes.join(self.reps.select("node", "least"), "node"), "nodes")
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +194,9 @@ class Verifier:
         key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")
         ids = nodes.select(F.coalesce("least", F.lit(NO_ID)).alias("key")).distinct()
         found = sized_join(self.docs.select(key, "text"), ids, "key", "left_semi").select("text").mapInArrow(frugal(run), "node binary, packed binary")
-        return materialize(found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed")), "texts")
+        out = materialize(found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed")), "texts")
+        discard(nodes)
+        return out
 
 
 def _overlaps(words: int):
@@ -209,70 +219,112 @@ def _overlaps(words: int):
 
 
 def led_round(rows: DataFrame, verifier: Verifier) -> DataFrame:
-    """Holds each member of each bucket of ``rows`` (bucket, node) against the bucket's least node; gives the rows that are still open."""
-    sizes = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")), "sizes")
-    led = materialize(hot_join(rows, sizes, ["bucket"], "n").where("node <> leader"), "led")
+    """Holds each member of each bucket of ``rows`` (bucket, node) against the bucket's leader; gives the rows that are still open.
+
+    The leader is the member whose buckets hold most members: of copies of one
+    text, that is the text itself or what is nearest to it, in all buckets.
+    """
+    n = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")), "sizes")
+    sized = materialize(hot_join(rows, n.withColumn("members", F.col("n")), ["bucket"], "n"), "sized")
+    central = sized.groupBy("node").agg(F.sum("members").alias("central"))
+    leaders = sized.join(central, "node").groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("central"), "node"))["node"].alias("leader"))
+    leaders = materialize(leaders, "leaders")
+    led = materialize(hot_join(rows, leaders, ["bucket"], "n").where("node <> leader"), "led")
+    discard(n, sized, leaders)
     found = verifier.test(led.select("node", "leader").distinct())
     at = materialize(led.join(found, ["node", "leader"]).select("bucket", "node", "linked", "apart"), "at")
-    nearest = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.when(~F.col("linked"), F.col("apart"))).alias("nearest"))
+    nearest = materialize(at.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.when(~F.col("linked"), F.col("apart"))).alias("nearest")), "nearest")
     num, den = verifier.similarity
     near = F.col("apart") >= F.col("nearest") - (1 - num / den) - 1e-9
-    open_rows = hot_join(at, materialize(nearest, "nearest"), ["bucket"], "n").where(F.col("nearest").isNotNull() & (~F.col("linked") | near))
-    return _shared(materialize(open_rows.select("bucket", "node"), "open"))
+    open_rows = hot_join(at, nearest, ["bucket"], "n").where(F.col("nearest").isNotNull() & (~F.col("linked") | near))
+    open_rows = materialize(open_rows.select("bucket", "node"), "open")
+    out = _shared(open_rows)
+    discard(led, at, nearest, open_rows, rows)
+    return out
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """``rows`` (bucket, node) of buckets that hold more than one."""
-    several = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    return materialize(hot_join(rows, materialize(several, "several").where("n > 1"), ["bucket"], "n"), "rows")
+    several = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")), "several")
+    out = materialize(hot_join(rows, several.where("n > 1"), ["bucket"], "n"), "rows")
+    discard(several)
+    return out
+
+
+def _joined(nodes: list[bytes], near: np.ndarray) -> pa.Table:
+    """Links of each node to the first of its component under the relation ``near``."""
+    root = _roots(near)
+    some = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": pa.array([nodes[i] for i in some], pa.binary()), "b": pa.array([nodes[root[i]] for i in some], pa.binary())})
+
+
+def _survivors(similarity: float, miss: float):
+    """Links that join the sets of a bucket's two blocks that the signatures of different components leave possible."""
+
+    def go(t: pa.Table) -> pa.Table:
+        values, nodes = _matrix(t.column("values")), t.column("node").to_pylist()
+        group = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)[1]
+        near = np.zeros((len(nodes), len(nodes)), bool)
+        for i in range(len(nodes) - 1):
+            others = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+            alive = others[bounded(np.broadcast_to(values[i], (len(others), VALUES)), values[others], similarity, miss) >= similarity]
+            near[i, alive] = near[alive, i] = True
+        out = _joined(nodes, near)
+        trim_memory()
+        return out
+
+    return go
 
 
-def _survivors(similarity: float, miss: float, most: int):
-    """Of a bucket's two blocks, the ``most`` most alike candidates of each set outside its component; ``cut`` if it has more."""
+def _verified_block(words: int, similarity: tuple[int, int]):
+    """Links that join the linked sets of two blocks, by whole sets."""
+    num, den = similarity
 
     def go(t: pa.Table) -> pa.Table:
-        side, values, nodes, roots = t.column("own").to_numpy(), _matrix(t.column("values")), t.column("node").to_pylist(), t.column("root").to_pylist()
-        group = np.unique(np.array(roots, object), return_inverse=True)[1]
-        one = (side == side[0]).all()
-        a, b, cut = [], [], []
-        for i in range(len(nodes)):
-            others = np.flatnonzero((group != group[i]) & (np.full(len(nodes), one) | (side != side[i])))
-            if not len(others):
-                continue
-            bound = bounded(np.broadcast_to(values[i], (len(others), VALUES)), values[others], similarity, miss)
-            alive = bound >= similarity
-            others, bound = others[alive], bound[alive]
-            for k in others[np.lexsort((others, -bound))][:most]:
-                a.append(max(nodes[i], nodes[k]))
-                b.append(min(nodes[i], nodes[k]))
-                cut.append(len(others) > most)
+        unpack = zstandard.ZstdDecompressor().decompress
+        nodes, sets = t.column("node").to_pylist(), [word_set(unpack(x.as_py()).decode(), words) for x in t.column("packed")]
+        common, size = common_items(sets, 1 << 11), np.array([len(s) for s in sets])
+        near = den * common >= num * (size[:, None] + size - common)
+        out = _joined(nodes, near)
         trim_memory()
-        return pa.table({"node": pa.array(a, pa.binary()), "leader": pa.array(b, pa.binary()), "cut": pa.array(cut, pa.bool_())})
+        return out
 
     return go
 
 
-def compare_rest(rows: DataFrame, verifier: Verifier, block: int = 1024, most: int = 8) -> None:
-    """Tests what leaders left open in the buckets of ``rows`` (bucket, node), until no candidates of different components are untested.
+PAIR = "a binary, b binary"
+
+
+def _in_blocks(members: DataFrame, group: str, *others: str) -> DataFrame:
+    """``members`` (group, node, blocks, others) once for each two blocks of a group that a node's block is one of: (group, b1, b2, node, others)."""
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other")
+    return members.withColumn("_own", own).select("*", other).select(group, F.least("_own", "_other").alias("b1"), F.greatest("_own", "_other").alias("b2"), "node", *others)
+
 
-    A bucket is compared in pairs of blocks. A set meets its most alike
-    candidates outside its component first; linked ones become one component,
-    and eight times as many are taken next, so none is left out.
+def compare_rest(rows: DataFrame, verifier: Verifier, block: int = 1024, items: int = 1 << 20) -> None:
+    """Finds the links that leaders left open in the buckets of ``rows`` (bucket, node), each directly or through others.
+
+    Signatures of a bucket are compared in pairs of blocks. What survives joins
+    sets into groups, which are verified in pairs of blocks of at most ``block``
+    sets and about ``items`` shingles. A pair is no row at any step.
     """
     num, den = verifier.similarity
-    while True:
-        roots = connected_components(verifier.links())
-        live = materialize(rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "live")
-        sizes = live.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        members = hot_join(live, materialize(sizes, "sizes"), ["bucket"], "n").where("mixed").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        paired = members.join(verifier.reps.select("node", "values"), "node").select("*", other).select("bucket", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "root", "values")
-        found = paired.groupBy("bucket", "b1", "b2").applyInArrow(_survivors(num / den, verifier.miss, most), "node binary, leader binary, cut boolean")
-        found = materialize(found.groupBy("node", "leader").agg(F.max("cut").alias("cut")), "found")
-        verifier.test(found.select("node", "leader"))
-        if found.where("cut").isEmpty():
-            return
-        most *= 8
+    roots = connected_components(verifier.links())
+    live = materialize(rows.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "live")
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "sizes")
+    members = hot_join(live, sizes, ["bucket"], "n").where("mixed").join(verifier.reps.select("node", "values"), "node")
+    found = _in_blocks(members, "bucket", "root", "values").groupBy("bucket", "b1", "b2").applyInArrow(_survivors(num / den, verifier.miss), PAIR)
+    found = materialize(found.distinct(), "found")
+    discard(live, sizes)
+    groups = connected_components(found).join(verifier.reps.select("node", "n_items"), "node")
+    groups = materialize(groups.select(F.col("root").alias("head"), "node", "n_items"), "groups")
+    sizes = materialize(groups.groupBy("head").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / block, F.sum("n_items") / items)).cast("int").alias("blocks")), "sizes")
+    texts = verifier.texts(groups.select("node"))
+    blocks = _in_blocks(hot_join(groups, sizes, ["head"], "n"), "head").join(texts, "node")
+    links = materialize(blocks.groupBy("head", "b1", "b2").applyInArrow(_verified_block(verifier.words, verifier.similarity), PAIR).distinct(), "links")
+    discard(found, groups, sizes, texts)
+    verifier.edges.append(links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int] = (80, 100), miss: float = 1e-7, leaders: int = 3, block: int = 1024) -> DataFrame:
@@ -291,22 +343,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     never a component's id unless all its ids are null; ``kept`` says whether
     the row's id is the component's. An empty table gives no rows.
     """
-    named = materialize(document_signatures(docs, words), "signatures")
-    some = named.where("node IS NOT NULL")
-    reps = some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n_items").alias("n_items"), F.first("values").alias("values"))
-    reps = materialize(reps, "reps")
-    verifier = Verifier(docs, reps, words, similarity, miss)
-    rows = _shared(materialize(reps.select("node", "values").mapInArrow(_in_buckets, "bucket long, node binary"), "buckets"))
-    for _ in range(leaders):
-        rows = led_round(rows, verifier)
-        if rows.isEmpty():
-            break
-    else:
-        compare_rest(rows, verifier, block)
-    roots = connected_components(verifier.links())
-    whole = reps.select("node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(whole.join(least, "root").select("node", "copies", "component_id"), "classes")
+    with shuffles_dropped(docs.sparkSession):
+        named = materialize(document_signatures(docs, words), "signatures")
+        some = named.where("node IS NOT NULL")
+        reps = some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n_items").alias("n_items"), F.first("values").alias("values"))
+        reps = materialize(reps, "reps")
+        verifier = Verifier(docs, reps, words, similarity, miss)
+        every = materialize(reps.select("node", "values").mapInArrow(_in_buckets, "bucket long, node binary"), "buckets")
+        rows = _shared(every)
+        discard(every)
+        for _ in range(leaders):
+            rows = led_round(rows, verifier)
+            if rows.isEmpty():
+                break
+        else:
+            compare_rest(rows, verifier, block)
+        discard(rows)
+        roots = connected_components(verifier.links())
+        whole = reps.select("node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = materialize(whole.join(least, "root").select("node", "copies", "component_id"), "classes")
     out = hot_join(some.select("doc_id", "node", "n_items"), classes, ["node"], "copies").select("doc_id", "n_items", "component_id")
     out = out.unionByName(named.where("node IS NULL").select("doc_id", "n_items", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n_items").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

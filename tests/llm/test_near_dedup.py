@@ -80,16 +80,22 @@ def test_components_are_those_of_all_pairs(spark, seed, options):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows)
 
 
-def test_rest_is_compared_until_nothing_is_cut(spark, monkeypatch):
+def test_no_pair_of_the_rest_is_a_row(spark, monkeypatch):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(500)]
     base = [rng.choice(vocabulary) for _ in range(200)]
-    rows = [(i, " ".join(changed(rng, base, rng.randint(1, 5), vocabulary)), None) for i in range(60)]
-    calls, before = [], near_dedup._survivors
-    monkeypatch.setattr(near_dedup, "_survivors", lambda s, m, most: calls.append(most) or before(s, m, 1 if len(calls) == 1 else most))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), leaders=0, block=16)
+    rows = [(i, " ".join(changed(rng, base, rng.randint(1, 5), vocabulary)), None) for i in range(90)]
+    made, before = [], near_dedup._in_blocks
+
+    def spy(*args):
+        out = before(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_in_blocks", spy)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), leaders=0, block=32)
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows)
-    assert len(calls) > 1
+    assert made[1] <= 90 * 4
 
 
 def test_a_group_of_copies_costs_a_pair_each(spark):
