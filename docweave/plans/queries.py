@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import dates, extract, mrz, text
-from docweave.operators import addresses, contacts, forms, matching, order, pages, passport, patterns, reconcile, rules, spatial, wording
+from docweave.operators import addresses, contacts, forms, home_address, matching, order, pages, passport, patterns, reconcile, rules, spatial, wording
 from docweave.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -972,3 +972,18 @@ def q_pooled_votes(spark, sf_dir):
     readings = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("page"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("value"), (F.floor(F.col("value") / 4) * 2.0).alias("x"), (day * 10.0).alias("y"), F.lit(1.5).alias("h"))
     return spatial.pooled_votes(readings)
+
+
+@query(r"""
+SELECT c_custkey AS id, 'Russian Federation, ' || (100000 + c_custkey)::VARCHAR || CASE c_custkey % 4 WHEN 0 THEN ', Moscow' WHEN 1 THEN ', Moscow Region, Dubna' WHEN 2 THEN ', Krasnodar Krai, Sochi' ELSE ', Odintsovskii District, Lesnoi' END
+  || CASE c_custkey % 3 WHEN 0 THEN ', Mira street ' WHEN 1 THEN ', Leninskii avenue ' ELSE ', Tverskaia highway ' END || (1 + c_custkey % 90) || CASE WHEN c_custkey % 5 = 0 THEN 'a' ELSE '' END
+  || CASE WHEN c_custkey % 2 = 0 THEN ', bld. ' || (c_custkey % 7 + 1) ELSE '' END || ', apt. ' || (c_custkey % 300 + 1) AS address FROM customer""")
+def q_home_addresses(spark, sf_dir):
+    """Addresses of all customers as Russians write them, in Latin letters."""
+    k, s = F.col("c_custkey"), lambda c: c.cast("string")
+    pick = lambda n, *xs: F.coalesce(*[F.when(k % n == i, x) for i, x in enumerate(xs)])
+    line = F.concat_ws(
+        ", ", pick(2, "Россия", "РФ"), s(100000 + k), pick(4, "г. Москва", "Московская область, г.Дубна", "край Краснодарский, Сочи", "Одинцовский р-н, пос. Лесной"), pick(3, "ул. Мира", "Ленинский пр-т", "ш. Тверская"),
+        F.concat(pick(2, "д. ", "дом "), s(1 + k % 90), F.when(k % 5 == 0, "a").otherwise("")), F.when(k % 2 == 0, F.concat(pick(4, "корп. ", "", "к", ""), s(k % 7 + 1))), F.concat(pick(3, "кв. ", "кв.", "квартира "), s(k % 300 + 1)),
+    )
+    return table(spark, sf_dir, "customer").select(k.alias("id"), home_address.latin_address(line).alias("address"))
