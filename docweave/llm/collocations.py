@@ -84,17 +84,21 @@ class _Held:
             hashes = _longer(hashes[:-1], word[m - 1 :])
             ok = ok[:-1] & ok[1:] & _listed(tables[m - 1], hashes)
         place = np.flatnonzero(ok[:-1] & ok[1:])
-        gram, size = np.zeros(len(place), np.int64), 1
+        gram, size, whole = np.zeros(len(place), np.int64), 1, True
         for j in range(k):
-            if size * v >= 1 << 62:
-                gram = np.unique(gram, return_inverse=True)[1]
-                size = len(place)
+            if size * v >= 1 << 62:  # too many for the words' numbers side by side: phrases so far get numbers of their own
+                gram, size, whole = np.unique(gram, return_inverse=True)[1], len(place), False
             gram, size = gram * v + at[place + j], size * v
-        _, first, count = np.unique(gram, return_index=True, return_counts=True)
-        place = place[first]
-        for i in range(0, len(place), rows):
-            columns = [at[place[i : i + rows] + j].tolist() for j in range(k)]
-            yield _batch([langs[x] for x in columns[0]], [b" ".join(ws) for ws in zip(*(map(words.__getitem__, c) for c in columns))], count[i : i + rows])
+        if whole:
+            gram, count = np.unique(gram, return_counts=True)
+        else:
+            _, first, count = np.unique(gram, return_index=True, return_counts=True)
+            place = place[first]
+        for i in range(0, len(count), rows):
+            part = slice(i, i + rows)
+            columns = [gram[part] // v ** (k - 1 - j) % v if whole else at[place[part] + j] for j in range(k)]
+            columns = [c.tolist() for c in columns]
+            yield _batch([langs[x] for x in columns[0]], [b" ".join(ws) for ws in zip(*(map(words.__getitem__, c) for c in columns))], count[part])
 
 
 def _batch(langs: list[str], phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
