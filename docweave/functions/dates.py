@@ -75,10 +75,12 @@ def parse_date(c: Column) -> Column:
 
 
 def form_date(d: Column) -> Column:
+    """A date as dd/mm/yyyy; null for null."""
     return F.date_format(d, "dd/MM/yyyy")
 
 
 def inclusive_days(start: Column, end: Column) -> Column:
+    """Days from start to end with both counted, 0 or less where the end comes first; null if either is null."""
     return F.datediff(end, start) + 1
 
 

@@ -68,7 +68,7 @@ def evisa_fields(c: Column) -> Column:
     return F.struct(number.alias("number"), application.alias("application"), *[capture(c, p).alias(n) for n, p in EVISA_LABELS.items()])
 
 
-#: Places whose name says that a flight lands in Viet Nam.
+# Places whose name says that a flight lands in Viet Nam.
 ARRIVALS = "(?i)VIET\\s?NAM|HO CHI MINH|HANOI|HA NOI|DA NANG|NHA TRANG|CAM RANH|PHU QUOC"
 
 

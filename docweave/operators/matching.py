@@ -11,6 +11,7 @@ from docweave.operators.reconcile import edit_variants
 
 
 def pair(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Each row of ``left`` with each of ``right`` of its key; null keys pair with none, repeated rows as often as they come."""
     return left.join(right, on)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import let, place_key, plain_latin, text
 
-# Relationships by the pattern that tells them, the longer words first.
+# Patterns of words for relatives and the form's word for each; a pattern stands before those that its words contain.
 RELATIONSHIPS = [
     ("бабушк|бабул|grandmother|grandma", "Grandmother"),
     (r"дедушк|дед[аеу]?\b|grandfather|grandpa", "Grandfather"),

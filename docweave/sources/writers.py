@@ -83,7 +83,8 @@ def replace_table(df: DataFrame, path: str) -> None:
 
     A job that fails leaves the old table as it was. Between the two renames,
     a moment each on a file system, there is no table at ``path``; a reader that
-    has listed the old files finds them gone after it.
+    has listed the old files finds them gone after it. Where tables are replaced
+    while they are read, use ``versions.publish``.
     """
     spark = df.sparkSession
     path = path.rstrip("/")
@@ -104,6 +105,7 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def append_json(df: DataFrame, path: str) -> None:
+    """Add the rows of ``df`` to the JSON lines at ``path``; null fields are left out, and an empty frame adds none."""
     df.write.mode("append").json(path)
 
 
