@@ -57,8 +57,9 @@ class _Held:
     """Words of some texts as numbers, in order, -1 at the end of each piece. A word has a number in each language it occurs in."""
 
     def __init__(self):
-        self.number, self.runs, self.octets = itertools.count(), [], 0
-        self.known: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(self.number.__next__, {END: -1}))
+        self.runs, self.octets = [], 0
+        number = itertools.count()  # the factory mustn't hold self: a cycle would keep all words until the collector runs
+        self.known: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(number.__next__, {END: -1}))
 
     def add(self, lang: str, stretch: bytes) -> None:
         words = stretch.replace(END, b" \xff ").split()

@@ -1,7 +1,9 @@
 """Collocations against a plain count of every phrase."""
 
+import gc
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
 import pytest
@@ -80,3 +82,16 @@ def test_long_texts_are_cut_between_pieces():
 
 def test_no_documents(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_words_held_go_without_the_collector():
+    gc.disable()
+    try:
+        held = collocations._Held()
+        held.add("en", b"the sea of glass")
+        assert sum(b.num_rows for b in held.grams(1, [])) == 4
+        gone = weakref.ref(held)
+        del held
+        assert gone() is None
+    finally:
+        gc.enable()
