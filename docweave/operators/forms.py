@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import text
+from docweave.operators.joins import by_key
 from docweave.operators.order import text_lines
 
 # Keys of the visa application form, their printed labels, and whether a value goes on below its label.
@@ -68,12 +69,12 @@ def column_values(lines: DataFrame, labels: list[tuple[str, str, bool]], ends: l
     first = first.withColumn("width", F.col("start") + F.col("size") + F.length("head"))
 
     below = page.select("doc", F.col("line_no").alias("no"), F.col("line").alias("more"), (F.length("line") - F.length(F.ltrim("line"))).alias("indent"))
-    after = first.where("on").join(below, "doc").where((F.col("no") > F.col("line_no")) & F.coalesce(F.col("no") < F.col("until"), F.lit(True)))
+    after = by_key(first.where("on"), below, "doc").where((F.col("no") > F.col("line_no")) & F.coalesce(F.col("no") < F.col("until"), F.lit(True)))
     out = (F.col("indent") < F.col("start") - slack) | (F.col("indent") > F.col("width"))
     own = Window.partitionBy("doc", "key").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     kept = after.withColumn("left", F.max(out).over(own)).where("NOT left")
     wrapped = kept.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("no", F.substring("more", F.lit(1), F.col("width")).alias("part")))).alias("parts"))
-    both = first.join(wrapped, ["doc", "key"], "left")
+    both = by_key(first, wrapped, ["doc", "key"], "left")
     value = tidy(F.concat_ws(" ", "head", F.array_join(F.transform("parts", lambda x: x["part"]), " ")))
     return both.select("doc", "key", F.nullif(value, F.lit("")).alias("value")).where("value IS NOT NULL")
 
