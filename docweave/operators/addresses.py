@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import plain_latin, text
+from docweave.operators.joins import by_key, by_list
 
 # How a line names the country, and the words for a ward.
 COUNTRY = r"(?iu)^(viet\s*nam|вьетнам|socialist republic of viet\s*nam)$"
@@ -44,7 +45,7 @@ def places_named(parts: DataFrame, places: DataFrame, longest: int = LONGEST_NAM
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(k <= n, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(k.alias("k"), i.alias("i"), F.array_join(F.slice("w", i, k), " ").alias("key")))).otherwise(F.array())))
     each = words.where(n > 0).select("doc", "at", F.inline(runs))
     known = places.select(F.array_join(place_tokens(F.col("name")), " ").alias("key"), "town", "province").where("key <> ''").distinct()
-    found = each.join(known, "key")
+    found = by_list(each, known, "key")
     best = found.groupBy("doc", "at").agg(F.min(F.struct(-F.col("k"), -F.col("i"), "town", "province")).alias("b"))
     return best.select("doc", "at", "b.town", "b.province")
 
@@ -59,7 +60,7 @@ def split_addresses(lines: DataFrame, places: DataFrame) -> DataFrame:
     null without a street. ``doc`` is unique; null and empty lines have nulls.
     """
     parts = address_parts(lines)
-    named = parts.join(places_named(parts, places), ["doc", "at"], "left").withColumn("ward", ward_in(F.col("part")))
+    named = by_key(parts, places_named(parts, places), ["doc", "at"], "left").withColumn("ward", ward_in(F.col("part")))
     named = named.where(~F.col("part").rlike(COUNTRY))
     first_ward = F.min(F.when(F.col("ward").isNotNull(), F.col("at"))).over(Window.partitionBy("doc"))
     kinds = named.withColumn("is_ward", F.coalesce(F.col("at") == first_ward, F.lit(False)))
@@ -70,7 +71,7 @@ def split_addresses(lines: DataFrame, places: DataFrame) -> DataFrame:
     )
     shown = F.concat_ws(", ", "street", F.concat(F.initcap(F.lower("ward")), F.lit(" Ward")), F.initcap(F.lower("place.town")))
     out = whole.select("doc", F.when(F.col("street") != "", shown).alias("address"), "ward", "place.town", "place.province")
-    return lines.select("doc").join(out, "doc", "left")
+    return by_key(lines.select("doc"), out, "doc", "left")
 
 
 def best_address_line(lines: DataFrame, places: DataFrame, least: int = 3) -> DataFrame:
@@ -85,5 +86,5 @@ def best_address_line(lines: DataFrame, places: DataFrame, least: int = 3) -> Da
     points = lambda c, n: F.when(c, n).otherwise(0)
     line = F.col("line")
     score = F.coalesce("known", F.lit(0)) + points(line.rlike(WARD), 2) + points(line.rlike(r"\d+[/-]?\d*\s+[A-Za-z]"), 2) + points(line.contains(","), 1)
-    rated = page.join(known, "doc", "left").select("doc.doc", "doc.line_no", "line", score.alias("score")).where(F.col("score") >= least)
+    rated = by_key(page, known, "doc", "left").select("doc.doc", "doc.line_no", "line", score.alias("score")).where(F.col("score") >= least)
     return rated.groupBy("doc").agg(F.max_by("line", F.struct("score", -F.col("line_no"))).alias("line"))
