@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docweave.functions import mrz
 from docweave.functions.dates import calendar_date
 from docweave.functions.text import native_and_latin_words, text, unit_number
+from docweave.operators.joins import by_key, by_list
 from docweave.operators.passport import CONSULATE, EMBASSY, authority_body, consular_authority, zone_lines
 from docweave.operators.wording import assign_dates
 
@@ -89,10 +90,11 @@ def places_in(lines: DataFrame, places: DataFrame, countries: list[str] = COUNTR
     country = lambda w: F.get(F.filter(listed, lambda c: (c == w) | ((F.length(w) >= 4) & (F.levenshtein(c, w) <= 1))), F.lit(0))
     words = lines.select("doc", "line_no", _place_words(F.col("line")).alias("w"))
     natives = words.select("doc", "line_no", F.posexplode("w.native").alias("at", "word"))
-    known = natives.join(places.select(F.upper("word").alias("known")).where("known IS NOT NULL").distinct(), F.upper("word") == F.col("known"))
+    known = by_list(natives.withColumn("known", F.upper("word")), places.select(F.upper("word").alias("known")).where("known IS NOT NULL").distinct(), "known")
     first = known.groupBy("doc", "line_no").agg(F.min_by(F.upper("word"), "at").alias("native"))
-    halves = words.select("doc", "line_no", F.get(F.array_compact(F.transform("w.latin", lambda x: country(F.upper(x)))), F.lit(0)).alias("latin")).join(first, ["doc", "line_no"], "left")
-    return lines.join(halves.select("doc", "line_no", F.nullif(F.concat_ws("/", "native", "latin"), F.lit("")).alias("place")), ["doc", "line_no"], "left")
+    latin = words.select("doc", "line_no", F.get(F.array_compact(F.transform("w.latin", lambda x: country(F.upper(x)))), F.lit(0)).alias("latin"))
+    halves = by_key(latin, first, ["doc", "line_no"], "left")
+    return by_key(lines, halves.select("doc", "line_no", F.nullif(F.concat_ws("/", "native", "latin"), F.lit("")).alias("place")), ["doc", "line_no"], "left")
 
 
 def zone_fields(lines: DataFrame) -> DataFrame:
@@ -154,9 +156,9 @@ def read_pages(lines: DataFrame, places: DataFrame) -> DataFrame:
     # Each day once, at its first place: a page has no more than the calendar.
     days = stated.select("doc", "line_no", F.posexplode(dates_in(F.col("line"))).alias("at", "day")).groupBy("doc", "day").agg(F.min(F.struct("line_no", "at")).alias("at"))
     days = days.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "day"))), lambda x: x["day"]).alias("days"))
-    names = _names(stated.join(zones.select("doc", F.col("surname").alias("zone_surname"), F.col("given").alias("zone_given")), "doc", "left"))
+    names = _names(by_key(stated, zones.select("doc", F.col("surname").alias("zone_surname"), F.col("given").alias("zone_given")), "doc", "left"))
     known = zones.select("doc", F.col("birth").try_cast("date").alias("zone_birth"), F.col("expiry").try_cast("date").alias("zone_expiry"))
-    all_of = single.join(names, "doc", "left").join(days, "doc", "left").join(known, "doc", "left").withColumn("told", assign_dates(F.col("days"), F.col("zone_birth"), F.col("zone_expiry")))
+    all_of = by_key(by_key(by_key(single, names, "doc", "left"), days, "doc", "left"), known, "doc", "left").withColumn("told", assign_dates(F.col("days"), F.col("zone_birth"), F.col("zone_expiry")))
     return all_of.select("doc", "number", "surname", "given", "told.birth", "told.issue", "told.expiry", "sex", "place", "authority")
 
 
