@@ -1,8 +1,9 @@
 """Sides that grow with the input aren't broadcast, however small Spark's estimate of them is."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from docweave.operators import addresses, forms, joins, pages
+from docweave.operators import addresses, forms, joins, pages, wording
 
 
 def broadcasts(df):
@@ -39,3 +40,13 @@ def test_long_dictionaries_are_shuffled(spark):
     short, long = joins.by_list(rows, listed, "k"), joins.by_list(rows, listed, "k", limit=49)
     assert broadcasts(short) and not broadcasts(long)
     assert sorted(short.collect()) == sorted(long.collect()) and long.count() == 50
+
+
+def test_pairs_of_one_flat_are_dealt_out(spark):
+    left, right = (spark.range(n).selectExpr("id", "true AS house_matches", "7L AS osm_id", f"{flat} AS flat") for n, flat in ((300, "''"), (200, "CAST(NULL AS STRING)")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    pairs = wording.same_address(left, right)
+    groups = [r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(groups) == 60_000 and max(groups) < 60_000
+    assert pairs.distinct().count() == 60_000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
