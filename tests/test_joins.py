@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from docweave.operators import addresses, forms, joins, pages, wording
 
 
@@ -50,3 +51,8 @@ def test_pairs_of_one_flat_are_dealt_out(spark):
     assert sum(groups) == 60_000 and max(groups) < 60_000
     assert pairs.distinct().count() == 60_000
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_costly_rows_of_a_small_file_are_dealt_out(spark):
+    for name in ("q_home_addresses", "q_mrz"):
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 16
