@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from docweave.llm.common import fresh, frugal, materialize, sized_join, trim_memory
+from docweave.llm.common import discard, fresh, frugal, materialize, sized_join, trim_memory
 
 ORDER, FOLDS = 5, 5
 #: Bytes of text from which n-grams are drawn at once.
@@ -196,7 +196,9 @@ def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_octe
     bytes of its texts; only rows that repeat both share a block for sure. A
     block's distinct n-grams, not its documents', are joined with the counts. A
     frequent n-gram is asked for by every block: that join leans on the
-    splitting of skewed partitions by adaptive execution. ``part`` tells the
+    splitting of skewed partitions by adaptive execution. Its answers are
+    written before the texts travel again, so that they don't lie beside the
+    shuffles that made them; the result doesn't read ``model``. ``part`` tells the
     part of the model that scores a text; a block has texts of one part.
     """
     order = model.order
@@ -223,7 +225,8 @@ def perplexity(docs: DataFrame, model: KneserNey, keep: list[Column], block_octe
 
     asked = materialize(dealt.groupBy("block").applyInArrow(ask, "block long, key long"), "asked")
     answers = model.probabilities(asked.select("key").distinct())
-    answers = asked.join(answers, "key").select("block", "key", F.log("p").alias("log_p"))
+    answers = materialize(asked.join(answers, "key").select("block", "key", F.log("p").alias("log_p")), "answers")
+    discard(asked)
 
     schema = ", ".join(f"{n} {t}" for n, t in docs.select(*[c.alias(n) for c, n in zip(keep, names)]).dtypes)
 
@@ -311,6 +314,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, order:
     once = _alike_once(flagged)
     keep = [F.col("doc_id"), F.col("lang"), F.col("trusted"), F.length("text").cast("long"), F.xxhash64("text"), F.col("copies")]
     found = perplexity(once, model, keep, part=F.col("trusted")).toDF("doc_id", "lang", "trusted", "n_chars", "text_hash", "copies", "perplexity")
+    discard(*model.types.values())
     found = found.select("doc_id", "lang", "trusted", "n_chars", "text_hash", "perplexity", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
     scored = materialize(found, "scored")
     by_lang, overall = thresholds(scored.where("trusted > 0 AND perplexity IS NOT NULL"), quantile)

@@ -1,6 +1,8 @@
 """Thresholds of the quality classifier from few trusted documents."""
 
+import os
 import random
+import re
 
 import corpus_pipeline
 from docweave.llm import quality_lm
@@ -22,6 +24,27 @@ def test_rare_languages_keep_clean_documents(spark):
         assert len(ids & set(range(lo, hi))) >= 0.95 * (hi - lo)
 
 
+def test_texts_travel_to_their_scores_beside_the_answers_alone(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["ta", "ri", "mo", "nesu"]) for _ in range(40)), "aa") for i in range(60)]
+    written, there, exchanges = {}, set(), []
+
+    def spy(df, label):
+        if label == "scored":
+            there.update(name for name, path in written.items() if os.path.exists(path))
+            exchanges.extend(re.findall(r"Exchange (\w+\(\w+)", df._jdf.queryExecution().executedPlan().toString()))
+        out = materialize(df, label)
+        written[label] = out._folder.removeprefix("file://")
+        return out
+
+    monkeypatch.setattr(quality_lm, "materialize", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    assert quality_lm.classify(docs, labels).where("perplexity > 1").count() == 60
+    assert {"counts", "types1", "asked"} < set(written) and there == {"answers"}
+    assert exchanges.count("hashpartitioning(block") == 2 and "hashpartitioning(key" not in exchanges
+
+
 def test_many_scores_give_their_own_quantile(spark):
     scores = [("aa", 1 + i / 1000) for i in range(2000)] + [("bb", 9.0)]
     own, every = quality_lm.thresholds(spark.createDataFrame(scores, "lang string, perplexity double"))
