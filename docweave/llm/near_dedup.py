@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import discard, frugal, hot_join, materialize, shuffles_dropped, sized_join, trim_memory
+from docweave.llm.common import BROADCAST_ROWS, discard, frugal, hot_join, materialize, shuffles_dropped, sized_join, trim_memory
 from docweave.llm.graph import connected_components
 from docweave.llm.jaccard_join import _overlaps as common_items
 from docweave.llm.jaccard_join import _roots, shingles
@@ -243,10 +243,16 @@ def led_round(rows: DataFrame, verifier: Verifier) -> DataFrame:
     return out
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """``rows`` (bucket, node) of buckets that hold more than one."""
-    several = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")), "several")
-    out = materialize(hot_join(rows, several.where("n > 1"), ["bucket"], "n"), "rows")
+def _shared(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (bucket, node) of buckets that hold more than one.
+
+    Up to ``limit`` such buckets are broadcast, so that single rows, which are
+    most, aren't shuffled; more meet the rows by ``hot_join``.
+    """
+    several = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    few = several.count() <= limit
+    out = rows.join(F.broadcast(several.select("bucket")), "bucket", "left_semi") if few else hot_join(rows, several, ["bucket"], "n")
+    out = materialize(out.select("bucket", "node"), "rows")
     discard(several)
     return out
 

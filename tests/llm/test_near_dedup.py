@@ -118,6 +118,20 @@ def test_a_group_of_copies_costs_a_pair_each(spark):
     assert sum(seen) < 10 * len(rows)
 
 
+def test_single_rows_of_buckets_take_part_in_no_shuffle_join(spark, monkeypatch):
+    rows = [(1, b"%d" % i) for i in range(50)] + [(2, b"a"), (2, b"b")] + [(10 + i, b"%d" % i) for i in range(3000)]
+    met, join = [], near_dedup.hot_join
+
+    def spy(big, *args):
+        met.append(big.count())
+        return join(big, *args)
+
+    monkeypatch.setattr(near_dedup, "hot_join", spy)
+    table = spark.createDataFrame(rows, "bucket long, node binary")
+    got = [sorted((r.bucket, bytes(r.node)) for r in near_dedup._shared(table, *limit).collect()) for limit in ([], [2], [1])]
+    assert got == [sorted(rows[:52])] * 3 and met == [len(rows)]
+
+
 def test_bounds_are_those_of_the_posterior():
     miss = 1e-7
     for i, bound in enumerate(near_dedup.upper_bounds(miss)):
