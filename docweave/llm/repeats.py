@@ -27,13 +27,13 @@ from pyspark.sql.functions import pandas_udf
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docweave.llm.common import frugal, materialize
+from docweave.llm.common import discard, frugal, materialize
 
 DEPTH, GRAM = 100, 24
 #: Bytes of text hashed at once, and the rows and the bytes of text that a task holds before it gives them out.
 CHUNK, HELD, HELD_BYTES = 1 << 18, 1 << 18, 1 << 24
-#: Rows of runs with their bytes that are given out at once.
-GIVEN = 1 << 14
+#: Rows of runs with their bytes that are given out at once, and of which the bytes are gathered at once, by an index of eight bytes for each.
+GIVEN, GATHERED = 1 << 14, 1 << 10
 #: Documents without an id come after all others, in the order of a hash of their text; ids stay below.
 NO_ID = 1 << 62
 _MUL = np.uint64(0xFF51AFD7ED558CCD)
@@ -161,7 +161,7 @@ ALONE, SEVERAL, SIGN, SPAN = range(4)
 
 
 def _place(first: np.ndarray, offset: np.ndarray | int, more: np.ndarray | int, kind: int) -> np.ndarray:
-    return first << 16 | np.asarray(offset) << 9 | np.asarray(more) << 2 | kind
+    return first << 16 | np.asarray(offset, np.int64) << 9 | np.asarray(more, np.int64) << 2 | kind
 
 
 def _run_rows(key, doc, place, until=None, data: pa.Array | None = None) -> pa.RecordBatch:
@@ -171,10 +171,13 @@ def _run_rows(key, doc, place, until=None, data: pa.Array | None = None) -> pa.R
 
 
 def _cut_out(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
-    ends = np.cumsum(size)
-    index = np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[index])])
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    out = np.empty(offsets[-1], np.uint8)
+    for i in range(0, len(at), GATHERED):
+        a, n, starts = at[i : i + GATHERED], size[i : i + GATHERED], offsets[i : min(i + GATHERED, len(at))]
+        low, high = int(starts[0]), int(starts[-1] + n[-1])
+        out[low:high] = raw[np.repeat(a - starts, n) + np.arange(low, high)]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
 def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -188,29 +191,47 @@ def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
 
 
 class _Held:
-    """Runs that a task has found, with the text that they lie in, until they are given out."""
+    """Runs that a task has found, with the text that they lie in, until they are given out.
+
+    Columns are digit, digest, document, first, how many suffixes follow (a
+    byte), distance to the anchor (a byte), and place in the text (four bytes).
+    """
 
     def __init__(self, with_bytes: bool, last: bool = False):
-        self.with_bytes, self.last, self.runs, self.raws, self.rows, self.size = with_bytes, last, [], [], 0, 0
+        self.with_bytes, self.last, self.columns, self.raws, self.rows, self.size = with_bytes, last, [[] for _ in range(7)], [], 0, 0
 
     def add(self, raw: np.ndarray, at: np.ndarray, digit, digest, doc, first, last, offset) -> None:
         """Runs at the places ``at`` of ``raw``; ``first`` and ``last`` are places in their documents."""
-        self.runs.append((digit, digest, doc, first, last, offset, at + self.size))
+        for parts, x in zip(self.columns, (digit, digest, doc, first, (last - first).astype(np.uint8), offset.astype(np.uint8), (at + self.size).astype(np.int32))):
+            parts.append(x)
         self.raws.append(raw)
         self.rows, self.size = self.rows + len(at), self.size + len(raw)
 
     def full(self) -> bool:
         return self.rows >= HELD or self.size >= HELD_BYTES
 
+    def _taken(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The text and the columns, each in one piece; the pieces that it was made of go at once."""
+
+        def joined(parts: list[np.ndarray]) -> np.ndarray:
+            out = np.concatenate(parts)
+            parts.clear()
+            return out
+
+        raw, columns = joined(self.raws), [joined(parts) for parts in self.columns]
+        self.rows = self.size = 0
+        return raw, columns
+
     def give(self) -> Iterator[pa.RecordBatch]:
         """Of equal runs only the earliest goes on; the bytes of the others are to be removed."""
         if not self.rows:
             return
-        columns, raw = [np.concatenate(x) for x in zip(*self.runs)], np.concatenate(self.raws)
-        self.__init__(self.with_bytes, self.last)
+        raw, columns = self._taken()
         order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
-        digit, digest, doc, first, last, offset, at = (x[order] for x in columns)
-        size = last - first + DEPTH
+        for i in range(len(columns)):
+            columns[i] = columns[i][order]
+        digit, digest, doc, first, more, offset, at = columns
+        size = more.astype(np.int32) + DEPTH
         new_digit = np.append(True, digit[1:] != digit[:-1])
         new_digest = np.append(True, new_digit[1:] | (digest[1:] != digest[:-1]))
         lead = np.flatnonzero(new_digest)
@@ -227,14 +248,14 @@ class _Held:
             which = np.flatnonzero(which)
             for i in range(0, len(which), GIVEN):
                 w = which[i : i + GIVEN]
-                yield _run_rows(key[w], doc[w], _place(first[w], offset[w], (last - first)[w], kind), data=_cut_out(raw, at[w], size[w]) if self.with_bytes else None)
+                yield _run_rows(key[w], doc[w], _place(first[w], offset[w], more[w], kind), data=_cut_out(raw, at[w], size[w]) if self.with_bytes else None)
 
         yield from rows(~later & ~several, ALONE, digit)
         yield from rows(~later & several, SEVERAL, _mix(digit.view(np.uint64) ^ digest.view(np.uint64) * _MUL).view(np.int64))
         sign = digit[new_digit & several]
         none = np.zeros(len(sign), np.int64)
         yield _run_rows(sign, none, _place(none, 0, 0, SIGN))
-        spans = _joined(doc[later], first[later], last[later] + DEPTH)
+        spans = _joined(doc[later], first[later], first[later] + size[later])
         yield _run_rows(_mix(spans[0].view(np.uint64)).view(np.int64), spans[0], _place(spans[1], 0, 0, SPAN), until=spans[2])
 
 
@@ -357,8 +378,8 @@ def _of_document(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
 
-def repeated_spans(docs: DataFrame, packed: DataFrame | None = None, together: int = 8) -> DataFrame:
-    """(doc_id, spans): the bytes of ``docs`` (doc_id, text) covered by a string of ``DEPTH`` bytes that also starts earlier.
+def repeated_spans(docs: DataFrame, packed: DataFrame | None = None, together: int = 8) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, spans), and the tables that it reads: the bytes of ``docs`` (doc_id, text) covered by a string of ``DEPTH`` bytes that also starts earlier.
 
     ``doc_id`` is the number of ``_packed``. Earlier is in a document of smaller
     number, or in the same one before. ``spans`` is an array of (first, last),
@@ -369,12 +390,21 @@ def repeated_spans(docs: DataFrame, packed: DataFrame | None = None, together: i
     """
     packed = _packed(docs) if packed is None else packed
     done = _first_pass(docs.select(_number().alias("doc_id"), "text").mapInArrow(_find_runs, RUN))
-    spans = done.where("NOT open").select("doc_id", "first", "last")
+    spans, tables = done.where("NOT open").select("doc_id", "first", "last"), [done]
     for step in (None, together, 1):
         open_runs = _of_document(done.where("open"), "runs", "first", "last", "offset")
         done = _sort_pass(packed.select("doc_id", "packed").join(open_runs, "doc_id").mapInArrow(_take_apart(step), RUN))
         spans = spans.unionByName(done.where("NOT open").select("doc_id", "first", "last"))
-    return _of_document(spans, "spans", "first", "last")
+        tables.append(done)
+    return _of_document(spans, "spans", "first", "last"), tables
+
+
+def _written(docs: DataFrame, packed: DataFrame, run, schema: str) -> DataFrame:
+    """What ``run`` makes of ``packed`` joined with its spans, written here: whoever reads the result sends texts to Python in batches of any size."""
+    spans, tables = repeated_spans(docs, packed)
+    out = materialize(packed.join(spans, "doc_id", "left").mapInArrow(run, schema), "cut")
+    discard(*tables)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple]:
@@ -418,8 +448,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.binary()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
-    packed = _packed(docs)
-    return packed.join(repeated_spans(docs, packed), "doc_id", "left").mapInArrow(_rows(make, names, types), REMOVED)
+    return _written(docs, _packed(docs), _rows(make, names, types), REMOVED)
 
 
 def _rows(make, names: list[str], types: list[pa.DataType]):
@@ -450,8 +479,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     carried = docs.select(*others).schema
-    spans = repeated_spans(docs)
     schema = f"text string, n_chars long, carried {carried.simpleString()}"
     types = [pa.string(), pa.int64(), to_arrow_type(carried)]
-    cut = _packed(docs, *others).join(spans, "doc_id", "left").mapInArrow(_rows(make, ["text", "n_chars", "carried"], types), schema)
+    cut = _written(docs, _packed(docs, *others), _rows(make, ["text", "n_chars", "carried"], types), schema)
     return cut.select(*[F.col(f"carried.{c}") if c in others else F.col(c) for c in docs.columns])
